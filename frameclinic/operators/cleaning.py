@@ -159,7 +159,9 @@ class FittedCleaning:
 
     # -- applying -------------------------------------------------------------
 
-    def _parameter_values(self, group: tuple, methods: Sequence[str]) -> dict[str, tuple[object, T.DataType]]:
+    def _parameter_values(
+        self, group: tuple, methods: Sequence[str], encoding: bool
+    ) -> dict[str, tuple[object, T.DataType]]:
         """Everything a projection needs to know about one key group."""
         doubles, texts = T.DoubleType(), T.ArrayType(T.StringType())
         out: dict[str, tuple[object, T.DataType]] = {}
@@ -178,21 +180,23 @@ class FittedCleaning:
             s = self.category_stats[group][c]
             out[f"c{i}_valid"] = (list(s.valid), texts)
             out[f"c{i}_mode"] = (s.mode, T.StringType())
-            if self.keys:
+            if self.keys and encoding:
                 for m in methods:
                     r = recipe(m)
                     out[f"c{i}_{m}_known"] = (list(s.categories(r.remove, r.fill)), texts)
         return out
 
-    def attach(self, df: DataFrame, methods: Sequence[str]) -> tuple[DataFrame, dict[str, Column]]:
+    def attach(
+        self, df: DataFrame, methods: Sequence[str], encoding: bool = False
+    ) -> tuple[DataFrame, dict[str, Column]]:
         """``df`` with the parameters reachable as columns: literals, or a joined struct."""
         if not self.keys:
             literals = {
                 name: F.lit(value).cast(kind) if not isinstance(kind, T.ArrayType) else F.array(*map(F.lit, value)).cast(kind)
-                for name, (value, kind) in self._parameter_values((), methods).items()
+                for name, (value, kind) in self._parameter_values((), methods, encoding).items()
             }
             return df, literals
-        tables = [self._parameter_values(g, methods) for g in self.groups]
+        tables = [self._parameter_values(g, methods, encoding) for g in self.groups]
         names = list(tables[0])
         schema = T.StructType(
             [*self.key_schema.fields, *[T.StructField(n, tables[0][n][1]) for n in names]]
@@ -269,7 +273,7 @@ class FittedCleaning:
 
     def transform(self, df: DataFrame, method: str, keep: Sequence[str] = ()) -> DataFrame:
         """``keep`` columns plus the model-ready matrix of ``method``."""
-        joined, params = self.attach(nan_to_null(df), [method])
+        joined, params = self.attach(nan_to_null(df), [method], encoding=True)
         columns = self.matrix(method, params)
         return joined.select(
             *[ref(k) for k in keep], *[value.alias(name) for name, value in columns.items()]

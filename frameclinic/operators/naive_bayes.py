@@ -1,7 +1,9 @@
-"""Gaussian naive Bayes as one aggregation and one expression.
+"""Gaussian naive Bayes as two aggregations and one expression.
 
-All key groups (variant x method x seed x fold) are fitted by a single grouped
-aggregation and scored through a broadcast of one row per group.
+All key groups (variant x method x seed x fold) are fitted together and scored
+through a broadcast of one row per group. One-hot features are never spelled out:
+a 0/1 column's mean and variance in a class are p and p(1 - p), so the block of a
+categorical column follows from its value counts per class.
 """
 
 from __future__ import annotations
@@ -17,49 +19,107 @@ from ..functions.columns import ref
 VAR_SMOOTHING = 1e-9
 
 
+def _evidence(x: Column, m0: Column, v0: Column, m1: Column, v1: Column) -> Column:
+    """ln N(x; m1, v1) - ln N(x; m0, v0)."""
+    return (x - m0) * (x - m0) / (v0 * 2.0) - (x - m1) * (x - m1) / (v1 * 2.0) + (F.ln(v0) - F.ln(v1)) / 2.0
+
+
+def _hot_key(column: str, value: Column) -> Column:
+    return F.concat(F.lit(f"{column}="), value.cast("string"))
+
+
 def fit_gaussian_nb(
-    df: DataFrame, features: Sequence[str], label: str, keys: Sequence[str] = ()
+    df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], label: str, keys: Sequence[str] = ()
 ) -> DataFrame:
-    """One row per key group: ``prior`` (log odds), and arrays ``means0/1``, ``vars0/1``."""
-    y = ref(label)
+    """One row per key group with both classes: ``offset`` (prior and all-zero one-hot
+    evidence), ``hot`` (value -> change of evidence), arrays ``means0/1`` and ``vars0/1``.
+
+    The ``hot`` map holds the vocabulary of the group; cleaning bounds it.
+    """
+    keys, y = list(keys), ref(label)
     parts = []
-    for i, f in enumerate(features):
+    for i, f in enumerate(numeric):
         x = ref(f).cast("double")
         parts.append(F.var_pop(x).alias(f"v{i}"))
         for k in (0, 1):
             x_k = F.when(y == k, x)
             parts += [F.avg(x_k).alias(f"m{k}_{i}"), F.var_pop(x_k).alias(f"v{k}_{i}")]
     grouped = df.groupBy(*keys).agg(F.count_if(y == 0).alias("n0"), F.count_if(y == 1).alias("n1"), *parts)
-    order = range(len(features))
-    smoothing = F.array_max(F.array(*[F.col(f"v{i}") for i in order])) * VAR_SMOOTHING
-    return grouped.where((F.col("n0") > 0) & (F.col("n1") > 0)).select(
+    if categorical:
+        cells = F.array(*[_hot_key(c, ref(c)) for c in categorical])
+        shown = (
+            df.select(*keys, y.alias("y"), F.explode(cells).alias("value"))
+            .where(F.col("value").isNotNull())
+            .groupBy(*keys, "value")
+            .agg(F.count_if(F.col("y") == 0).alias("h0"), F.count_if(F.col("y") == 1).alias("h1"))
+            .groupBy(*keys)
+            .agg(F.sort_array(F.collect_list(F.struct("value", "h0", "h1"))).alias("shown"))
+        )
+        grouped = grouped.join(shown, keys, "left") if keys else grouped.crossJoin(F.broadcast(shown))
+    else:
+        grouped = grouped.withColumn("shown", F.lit(None).cast("array<struct<value:string,h0:bigint,h1:bigint>>"))
+
+    n0, n1 = F.col("n0").cast("double"), F.col("n1").cast("double")
+    order = range(len(numeric))
+
+    def spread(h: Column) -> Column:
+        p = (h["h0"] + h["h1"]) / (n0 + n1)
+        return p * (1.0 - p)
+
+    widest = F.array_max(
+        F.concat(F.array(*[F.col(f"v{i}") for i in order]).cast("array<double>"),
+                 F.coalesce(F.transform("shown", spread), F.array().cast("array<double>")))
+    )
+    with_smoothing = grouped.where((n0 > 0) & (n1 > 0)).withColumn("smoothing", widest * VAR_SMOOTHING)
+    smoothing = F.col("smoothing")
+
+    def hot(h: Column) -> Column:
+        p0, p1 = h["h0"] / n0, h["h1"] / n1
+        v0, v1 = p0 * (1.0 - p0) + smoothing, p1 * (1.0 - p1) + smoothing
+        zero, one = F.lit(0.0), F.lit(1.0)
+        at_zero = _evidence(zero, p0, v0, p1, v1)
+        return F.struct(
+            h["value"].alias("value"), at_zero.alias("cold"), (_evidence(one, p0, v0, p1, v1) - at_zero).alias("gain")
+        )
+
+    weighed = with_smoothing.withColumn("weighed", F.transform("shown", hot))
+    cold = F.aggregate(F.coalesce(F.transform("weighed", lambda w: w["cold"]), F.array().cast("array<double>")),
+                       F.lit(0.0), lambda a, b: a + b)
+    return weighed.select(
         *keys,
-        (F.ln(F.col("n1")) - F.ln(F.col("n0"))).alias("prior"),
+        (F.ln(n1) - F.ln(n0) + cold).alias("offset"),
+        F.map_from_entries(F.transform("weighed", lambda w: F.struct(w["value"], w["gain"]))).alias("hot"),
         *[F.array(*[F.col(f"m{k}_{i}") for i in order]).alias(f"means{k}") for k in (0, 1)],
         *[F.array(*[F.col(f"v{k}_{i}") + smoothing for i in order]).alias(f"vars{k}") for k in (0, 1)],
     )
 
 
-def log_odds(features: Sequence[str]) -> Column:
-    """Log posterior odds of class 1 for a row joined with its fitted group."""
-    total = F.col("prior")
-    for i, f in enumerate(features):
-        x = ref(f).cast("double")
-        m0, m1 = F.col("means0")[i], F.col("means1")[i]
-        v0, v1 = F.col("vars0")[i], F.col("vars1")[i]
-        total = total + (
-            (x - m0) * (x - m0) / (v0 * 2.0) - (x - m1) * (x - m1) / (v1 * 2.0) + (F.ln(v0) - F.ln(v1)) / 2.0
+def log_odds(numeric: Sequence[str], categorical: Sequence[str]) -> Column:
+    """Log posterior odds of class 1 for a row joined with its fitted group.
+
+    A category that the training rows did not have adds nothing.
+    """
+    total = F.col("offset")
+    for i, f in enumerate(numeric):
+        total = total + _evidence(
+            ref(f).cast("double"), F.col("means0")[i], F.col("vars0")[i], F.col("means1")[i], F.col("vars1")[i]
         )
+    for c in categorical:
+        total = total + F.coalesce(F.try_element_at("hot", _hot_key(c, ref(c))), F.lit(0.0))
     return total
 
 
 def score_gaussian_nb(
-    df: DataFrame, fitted: DataFrame, features: Sequence[str], keys: Sequence[str] = ()
+    df: DataFrame,
+    fitted: DataFrame,
+    numeric: Sequence[str],
+    categorical: Sequence[str] = (),
+    keys: Sequence[str] = (),
 ) -> DataFrame:
     """``df`` with ``score``, the probability of class 1."""
-    # One row per key group of the grid; features are plan-sized.
+    # One row per key group of the grid, each with a bounded vocabulary.
     joined = df.join(F.broadcast(fitted), list(keys)) if keys else df.crossJoin(F.broadcast(fitted))
-    odds = log_odds(features)
+    odds = log_odds(numeric, categorical)
     return joined.withColumn("score", 1.0 / (1.0 + F.exp(-odds))).drop(
-        "prior", "means0", "means1", "vars0", "vars1"
+        "offset", "hot", "means0", "means1", "vars0", "vars1"
     )
