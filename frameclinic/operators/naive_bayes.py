@@ -21,7 +21,11 @@ VAR_SMOOTHING = 1e-9
 
 def _evidence(x: Column, m0: Column, v0: Column, m1: Column, v1: Column) -> Column:
     """ln N(x; m1, v1) - ln N(x; m0, v0)."""
-    return (x - m0) * (x - m0) / (v0 * 2.0) - (x - m1) * (x - m1) / (v1 * 2.0) + (F.ln(v0) - F.ln(v1)) / 2.0
+    return _distance(x, m0, v0) - _distance(x, m1, v1) + (F.ln(v0) - F.ln(v1)) / 2.0
+
+
+def _distance(x: Column, mean: Column, var: Column) -> Column:
+    return F.try_divide((x - mean) * (x - mean), var * 2.0)
 
 
 def _hot_key(column: str, value: Column) -> Column:
@@ -34,6 +38,9 @@ def fit_gaussian_nb(
     """One row per key group with both classes: ``offset`` (prior and all-zero one-hot
     evidence), ``hot`` (value -> change of evidence), arrays ``means0/1`` and ``vars0/1``.
 
+    A one-hot cell that contradicts a class without exception weighs 1 / (2 smoothing),
+    some 1e8 times the rest. Such cells are counted (``strong``) instead of added, so
+    opposite ones cancel exactly and do not swamp the other evidence.
     The ``hot`` map holds the vocabulary of the group; cleaning bounds it.
     """
     keys, y = list(keys), ref(label)
@@ -57,7 +64,7 @@ def fit_gaussian_nb(
         )
         grouped = grouped.join(shown, keys, "left") if keys else grouped.crossJoin(F.broadcast(shown))
     else:
-        grouped = grouped.withColumn("shown", F.lit(None).cast("array<struct<value:string,h0:bigint,h1:bigint>>"))
+        grouped = grouped.withColumn("shown", F.array().cast("array<struct<value:string,h0:bigint,h1:bigint>>"))
 
     n0, n1 = F.col("n0").cast("double"), F.col("n1").cast("double")
     order = range(len(numeric))
@@ -68,7 +75,7 @@ def fit_gaussian_nb(
 
     widest = F.array_max(
         F.concat(F.array(*[F.col(f"v{i}") for i in order]).cast("array<double>"),
-                 F.coalesce(F.transform("shown", spread), F.array().cast("array<double>")))
+                 F.transform("shown", spread))
     )
     with_smoothing = grouped.where((n0 > 0) & (n1 > 0)).withColumn("smoothing", widest * VAR_SMOOTHING)
     smoothing = F.col("smoothing")
@@ -76,37 +83,56 @@ def fit_gaussian_nb(
     def hot(h: Column) -> Column:
         p0, p1 = h["h0"] / n0, h["h1"] / n1
         v0, v1 = p0 * (1.0 - p0) + smoothing, p1 * (1.0 - p1) + smoothing
-        zero, one = F.lit(0.0), F.lit(1.0)
-        at_zero = _evidence(zero, p0, v0, p1, v1)
+
+        def at(x: float, never0: Column, never1: Column) -> tuple[Column, Column]:
+            """(evidence, strong) of a cell ``x`` that classes 0 and 1 never show."""
+            zero, cell = F.lit(0.0), F.lit(x)
+            small = F.when(never0, zero).otherwise(_distance(cell, p0, v0)) - F.when(never1, zero).otherwise(
+                _distance(cell, p1, v1)
+            )
+            return small + (F.ln(v0) - F.ln(v1)) / 2.0, never0.cast("int") - never1.cast("int")
+
+        cold, cold_strong = at(0.0, h["h0"] == F.col("n0"), h["h1"] == F.col("n1"))
+        warm, warm_strong = at(1.0, h["h0"] == 0, h["h1"] == 0)
         return F.struct(
-            h["value"].alias("value"), at_zero.alias("cold"), (_evidence(one, p0, v0, p1, v1) - at_zero).alias("gain")
+            h["value"].alias("value"), cold.alias("cold"), cold_strong.alias("cold_strong"),
+            F.struct((warm - cold).alias("gain"), (warm_strong - cold_strong).alias("strong")).alias("change"),
         )
 
     weighed = with_smoothing.withColumn("weighed", F.transform("shown", hot))
-    cold = F.aggregate(F.coalesce(F.transform("weighed", lambda w: w["cold"]), F.array().cast("array<double>")),
-                       F.lit(0.0), lambda a, b: a + b)
+
+    def total(field: str, zero: Column) -> Column:
+        return F.aggregate(F.transform("weighed", lambda w: w[field]), zero, lambda a, b: a + b)
+
     return weighed.select(
         *keys,
-        (F.ln(n1) - F.ln(n0) + cold).alias("offset"),
-        F.map_from_entries(F.transform("weighed", lambda w: F.struct(w["value"], w["gain"]))).alias("hot"),
+        "smoothing",
+        (F.ln(n1) - F.ln(n0) + total("cold", F.lit(0.0))).alias("offset"),
+        total("cold_strong", F.lit(0)).alias("offset_strong"),
+        F.map_from_entries(F.transform("weighed", lambda w: F.struct(w["value"], w["change"]))).alias("hot"),
         *[F.array(*[F.col(f"m{k}_{i}") for i in order]).alias(f"means{k}") for k in (0, 1)],
         *[F.array(*[F.col(f"v{k}_{i}") + smoothing for i in order]).alias(f"vars{k}") for k in (0, 1)],
     )
 
 
+FITTED = ("smoothing", "offset", "offset_strong", "hot", "means0", "means1", "vars0", "vars1")
+
+
 def log_odds(numeric: Sequence[str], categorical: Sequence[str]) -> Column:
     """Log posterior odds of class 1 for a row joined with its fitted group.
 
     A category that the training rows did not have adds nothing.
     """
-    total = F.col("offset")
+    total, strong = F.col("offset"), F.col("offset_strong")
     for i, f in enumerate(numeric):
         total = total + _evidence(
             ref(f).cast("double"), F.col("means0")[i], F.col("vars0")[i], F.col("means1")[i], F.col("vars1")[i]
         )
     for c in categorical:
-        total = total + F.coalesce(F.try_element_at("hot", _hot_key(c, ref(c))), F.lit(0.0))
-    return total
+        change = F.try_element_at("hot", _hot_key(c, ref(c)))
+        total = total + F.coalesce(change["gain"], F.lit(0.0))
+        strong = strong + F.coalesce(change["strong"], F.lit(0))
+    return total + F.when(strong == 0, F.lit(0.0)).otherwise(F.try_divide(strong, F.col("smoothing") * 2.0))
 
 
 def score_gaussian_nb(
@@ -120,6 +146,4 @@ def score_gaussian_nb(
     # One row per key group of the grid, each with a bounded vocabulary.
     joined = df.join(F.broadcast(fitted), list(keys)) if keys else df.crossJoin(F.broadcast(fitted))
     odds = log_odds(numeric, categorical)
-    return joined.withColumn("score", 1.0 / (1.0 + F.exp(-odds))).drop(
-        "offset", "hot", "means0", "means1", "vars0", "vars1"
-    )
+    return joined.withColumn("score", 1.0 / (1.0 + F.exp(-odds))).drop(*FITTED)
