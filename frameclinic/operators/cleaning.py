@@ -28,7 +28,7 @@ from ..specs import (
     RECIPES,
     recipe,
 )
-from .quantiles import VALUES_PER_TASK, narrowed_quantiles, percentiles
+from .quantiles import VALUES_PER_TASK, held_in_one_task, narrowed_quantiles, percentiles
 
 # Widest one-hot block per column; wider vocabularies need the long form.
 MAX_CATEGORIES = 1_000
@@ -339,6 +339,7 @@ def fit_cleaning(
         fields = [f for f in df.schema.fields if f.name not in keys]
         numeric = [f.name for f in fields if is_numeric(f.dataType)]
         categorical = [f.name for f in fields if not is_numeric(f.dataType)]
+    numeric, categorical = list(numeric), list(categorical)
     recipes = [recipe(m) for m in methods]
     removing = any(r.remove for r in recipes)
     key_schema = T.StructType([f for k in keys for f in df.schema.fields if f.name == k])
@@ -364,7 +365,7 @@ def fit_cleaning(
     most = {c: max((profile[g][f"d{i}"] for g in groups), default=0) for i, c in enumerate(features)}
     least = {c: min((profile[g][f"d{i}"] for g in groups), default=0) for i, c in enumerate(features)}
 
-    held_in_task = [c for c in numeric if most[c] <= values_per_task // 2]
+    held_in_task = held_in_one_task({c: most[c] for c in numeric}, values_per_task)
     narrowed = [c for c in numeric if c not in held_in_task]
     need_median = any(r.fill for r in recipes)
 
@@ -380,7 +381,10 @@ def fit_cleaning(
                 # No group of these columns has more values than a task may hold.
                 parts.append(F.size(F.collect_set(v)).alias(f"u{i}"))
         found = {_group(r, keys): r for r in rows.groupBy(*keys).agg(*parts).collect()}
-        far = narrowed_quantiles(rows, narrowed, probs, keys, values_per_task) if probs and narrowed else {}
+        far = {}
+        if probs and narrowed:
+            present = {(*g, c): found[g][f"n{numeric.index(c)}"] for g in groups for c in narrowed}
+            far = narrowed_quantiles(rows, narrowed, probs, keys, values_per_task, counts=present)
         out = {}
         for g in groups:
             r = found[g]
@@ -397,7 +401,7 @@ def fit_cleaning(
     numeric_stats: dict[tuple, dict[str, NumericStats]] = {g: {} for g in groups}
     if numeric:
         probs = [0.25, 0.5, 0.75] if removing else ([0.5] if need_median else [])
-        gate = [c for c in numeric if removing and least[c] < FEW_VALUES and most[c] <= values_per_task // 2]
+        gate = [c for c in held_in_task if removing and least[c] < FEW_VALUES]
         first = moments_and_quantiles(source, probs, gate)
         few = _few_valued(source, keys, key_schema, profile, features, narrowed) if removing else {}
         for g in groups:

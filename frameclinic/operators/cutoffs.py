@@ -2,14 +2,17 @@
 
 Picking exactly k of n rows, or cutting n rows into folds whose sizes differ by
 at most one, both come down to one number per group: the digest of the row at a
-given rank. A prefix histogram (combined map-side, 4096 buckets per group) finds
-the bucket that holds the rank; only that bucket's rows are ranked, and a bucket
-that is still large is split by the next digits first. With the cutoffs known,
-the choice itself is a comparison inside a projection: no row is ever shuffled.
+given rank. Digests are uniform, so that digest lies within a few standard
+deviations of k / n: rows outside that window are only counted, map-side, and the
+few inside are put in order. One scan is enough. If a window misses, or would be
+too large for a task, prefix histograms (4096 buckets per group) narrow the rank
+down instead. With the cutoffs known, the choice itself is a comparison inside a
+projection: no row is ever shuffled.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -24,31 +27,72 @@ ROWS_PER_TASK = 1_000_000
 DIGEST_DIGITS = 32
 
 
+# Standard deviations that a window reaches to each side.
+REACH = 6.0
+# A group may have this many times fewer rows than the largest and still be in reach.
+SMALLER_GROUPS = 4
+WINDOW_DIGITS = 8
+
+
+def window_around(share: float, most_rows: int) -> tuple[str, str]:
+    """Digest prefixes between which the row at rank ``share * n`` is expected."""
+    fewest = max(most_rows / SMALLER_GROUPS, 1.0)
+    margin = REACH * math.sqrt(share * (1.0 - share) / fewest) + 2.0 / fewest
+    scale = 16**WINDOW_DIGITS
+    low, high = int(max(share - margin, 0.0) * scale), int(min(share + margin, 1.0) * scale)
+    return f"{low:0{WINDOW_DIGITS}x}", f"{min(high, scale - 1):0{WINDOW_DIGITS}x}"
+
+
+def fits_window(share: float, most_rows: int, rows_per_task: int = ROWS_PER_TASK) -> bool:
+    low, high = window_around(share, most_rows)
+    return (int(high, 16) - int(low, 16) + 1) / 16**WINDOW_DIGITS * most_rows <= rows_per_task
+
+
+def outside_collapsed(digest: Column, windows: list[tuple[Column, Column]]) -> Column:
+    """``digest`` within the ascending windows; one stand-in per gap, in sort order, elsewhere."""
+    prefix = digest_prefix(digest, WINDOW_DIGITS)
+    out = F.concat(windows[-1][1], F.lit("~"))
+    for i in reversed(range(len(windows))):
+        low, high = windows[i]
+        gap = F.concat(windows[i - 1][1], F.lit("~")) if i else F.lit("")
+        out = F.when(prefix < low, gap).when(prefix <= high, digest).otherwise(out)
+    return out
+
+
+def near_cutoffs(near: DataFrame, groups: list[str], wanted: Callable[[Column], Column]) -> tuple[list[dict], bool]:
+    """Cutoffs from rows whose digests are collapsed outside the windows.
+
+    Also tells whether every wanted rank fell into a window.
+    """
+    by_group = Window.partitionBy(*groups)
+    counts = (
+        near.groupBy(*groups, "digest")
+        .agg(F.count("*").alias("held"))
+        .withColumn("n", F.sum("held").over(by_group))
+        .withColumn("upto", F.sum("held").over(by_group.orderBy("digest")))
+    )
+    hits = F.filter(
+        wanted(F.col("n")), lambda r: (r > F.col("upto") - F.col("held")) & (r <= F.col("upto"))
+    )
+    found = counts.select(*groups, F.explode(hits).alias("rank"), F.col("digest").alias("cutoff")).collect()
+    rows = [r.asDict() for r in found]
+    return rows, all(len(r["cutoff"]) == DIGEST_DIGITS for r in rows)
+
+
 def digest_cutoffs(
     rows: DataFrame,
     groups: list[str],
     wanted: Callable[[Column], Column],
-    most_rows: int,
     rows_per_task: int = ROWS_PER_TASK,
 ) -> list[dict]:
-    """The digests at the wanted ranks of every group.
+    """The digests at the wanted ranks of every group, by prefix histograms.
 
     ``rows`` has the ``groups`` columns and a unique ``digest`` per group;
     ``wanted`` maps the row count of a group to an array of 1-based ranks (ranks
-    outside 1..n are ignored). ``most_rows`` bounds the size of any group: where
-    that fits one task, the groups are ranked at once, without a histogram.
-    Returns one dict per (group, rank) with the group columns, ``rank`` and
-    ``cutoff``.
+    outside 1..n are ignored). Returns one dict per (group, rank) with the group
+    columns, ``rank`` and ``cutoff``.
     """
     by_group = Window.partitionBy(*groups)
-    if most_rows <= rows_per_task:
-        ranked = (
-            rows.withColumn("n", F.count("*").over(by_group))
-            .withColumn("rank", F.row_number().over(by_group.orderBy("digest")).cast("long"))
-            .where(F.array_contains(wanted(F.col("n")), F.col("rank")))
-        )
-        return [r.asDict() for r in ranked.select(*groups, "rank", F.col("digest").alias("cutoff")).collect()]
-
     histogram = (
         rows.groupBy(*groups, digest_prefix("digest").alias("prefix"))
         .agg(F.count("*").alias("held"))

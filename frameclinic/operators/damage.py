@@ -20,9 +20,10 @@ from ..functions.columns import is_numeric, nan_to_null, present, ref, whole_div
 from ..functions.digests import digest_choice, row_digest
 from ..sources.workspace import small_table
 from ..specs import DamageProfile, DatasetSpec
-from .cutoffs import ROWS_PER_TASK, digest_cutoffs
+from .cutoffs import ROWS_PER_TASK, digest_cutoffs, fits_window, near_cutoffs, outside_collapsed, window_around
 
 VARIANT = ("damage_level", "damage_repeat")
+WINDOWS = ("blank_low", "blank_high", "hit_low", "hit_high")
 
 
 @dataclass(frozen=True)
@@ -82,19 +83,31 @@ class DamagePlan:
         by_step = {"missing": r.candidates, "outlier": r.continuous, "noise": r.categorical}
         return [(s, c) for s in self.steps for c in by_step[s]]
 
-    def _variant_table(self, df: DataFrame) -> DataFrame:
-        """One row per variant with the cutoffs known so far; NULL selects nothing."""
+    def _variant_table(self, df: DataFrame, most_rows: int | None = None) -> DataFrame:
+        """One row per variant with the cutoffs known so far; NULL selects nothing.
+
+        With ``most_rows`` also the windows in which cutoffs are to be expected.
+        """
         slots = self._slots()
         schema = T.StructType(
             [T.StructField(n, T.IntegerType(), False) for n in (*VARIANT, "seed")]
             + [T.StructField(self._slot(s, c), T.StringType()) for s, c in slots]
+            + [T.StructField(n, T.StringType()) for n in WINDOWS if most_rows is not None]
         )
-        rows = [
-            (lv, rp, self.profile.seed(lv, rp), *[self.cutoffs.get((lv, rp, s, c)) for s, c in slots])
-            for lv, rp in self.variants
-        ]
+        rows = []
+        for lv, rp in self.variants:
+            row = [lv, rp, self.profile.seed(lv, rp), *[self.cutoffs.get((lv, rp, s, c)) for s, c in slots]]
+            if most_rows is not None:
+                for share in self._shares(lv):
+                    row += window_around(share, most_rows)
+            rows.append(row)
         return small_table(df.sparkSession, rows, schema)
 
+    def _shares(self, level: int) -> tuple[float, float]:
+        """Share of the rows to blank, and of the remaining cells to hit."""
+        hit = max(self.profile.share_floor, self.profile.share_scale * level) / 1000
+        return level / 100, min(hit, 1.0)
+
     def _chosen(self, step: str, column: str) -> Column:
         """Is the cell among those the step hits? False where there is no cutoff."""
         if step not in self.steps:
@@ -105,41 +118,48 @@ class DamagePlan:
     def _survives(self, column: str) -> Column:
         return ref(column).isNotNull() & ~self._chosen("missing", column)
 
-    def _with_variants(self, df: DataFrame) -> DataFrame:
+    def _with_variants(self, df: DataFrame, most_rows: int | None = None) -> DataFrame:
         # One row per variant: the grid fixes its size, not the data.
-        return df.crossJoin(F.broadcast(self._variant_table(df)))
+        return df.crossJoin(F.broadcast(self._variant_table(df, most_rows)))
 
     def _fit_step(self, df: DataFrame, steps: tuple[str, ...], most_rows: int, rows_per_task: int) -> None:
         slots = [(s, c) for s, c in self._slots() if s in steps]
         if not slots:
             return
+        blanking = steps == ("missing",)
+        low, high = WINDOWS[:2] if blanking else WINDOWS[2:]
         cells = F.array(
             *[
                 F.struct(
-                    F.lit(s).alias("step"),
-                    F.lit(c).alias("column"),
-                    (
-                        self._digest(s, c)
-                        if s == "missing"
-                        else F.when(self._survives(c), self._digest(s, c))
-                    ).alias("digest"),
+                    F.lit(i).alias("slot"),
+                    (self._digest(s, c) if blanking else F.when(self._survives(c), self._digest(s, c))).alias("digest"),
                 )
-                for s, c in slots
+                for i, (s, c) in enumerate(slots)
             ]
         )
-        rows = self._with_variants(df).select(*VARIANT, F.inline(cells)).where(F.col("digest").isNotNull())
+        rows = (
+            self._with_variants(df, most_rows)
+            .select(*VARIANT, low, high, F.inline(cells))
+            .where(F.col("digest").isNotNull())
+        )
         percent = F.col("damage_level").cast("long")
 
         def wanted(n: Column) -> Column:
-            blank = whole_div(n * percent, 100)
+            if blanking:
+                return F.array(whole_div(n * percent, 100))
             share = F.greatest(F.lit(self.profile.share_floor).cast("long"), percent * self.profile.share_scale)
-            hit = F.greatest(F.lit(1).cast("long"), whole_div(n * share, 1000))
-            return F.array(F.when(F.col("step") == "missing", blank).otherwise(hit))
-
-        for r in digest_cutoffs(
-            rows, [*VARIANT, "step", "column"], wanted, most_rows, rows_per_task
-        ):
-            self.cutoffs[(r["damage_level"], r["damage_repeat"], r["step"], r["column"])] = r["cutoff"]
+            return F.array(F.greatest(F.lit(1).cast("long"), whole_div(n * share, 1000)))
+
+        groups = [*VARIANT, "slot"]
+        found, complete = [], False
+        shares = [self._shares(lv)[0 if blanking else 1] for lv, _ in self.variants]
+        if all(fits_window(p, most_rows, rows_per_task) for p in shares):
+            near = rows.withColumn("digest", outside_collapsed(F.col("digest"), [(F.col(low), F.col(high))]))
+            found, complete = near_cutoffs(near, groups, wanted)
+        if not complete:
+            found = digest_cutoffs(rows.drop(low, high), groups, wanted, rows_per_task)
+        for r in found:
+            self.cutoffs[(r["damage_level"], r["damage_repeat"], *slots[r["slot"]])] = r["cutoff"]
 
     def fit(self, df: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> "DamagePlan":
         source = _prepared(df, self.roles)
@@ -158,7 +178,7 @@ class DamagePlan:
                 return ref(name)
             kept = ref(name)
             if name in self.roles.continuous:
-                factor = digest_choice(self._digest("factor", name), self.profile.factors)
+                factor = digest_choice(self._digest("outlier", name), self.profile.factors)
                 kept = F.when(self._chosen("outlier", name), kept * factor).otherwise(kept)
             else:
                 noise = F.lit(self.profile.noise_value).cast(types[name])

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from ..functions.columns import ref, whole_div
 from ..functions.digests import row_digest
 from ..sources.workspace import small_table
-from .cutoffs import ROWS_PER_TASK, digest_cutoffs
+from .cutoffs import ROWS_PER_TASK, digest_cutoffs, fits_window, near_cutoffs, outside_collapsed, window_around
 
 # Classes a label may have: seeds x classes x folds cutoffs are broadcast.
 MAX_CLASSES = 1_000
@@ -48,9 +48,19 @@ def fold_table(
         # Row r (from 0) is in fold r*k div n, so fold f starts at ceil(f*n/k).
         return F.array(*[whole_div(n * f + (folds - 1), folds) for f in range(1, folds)])
 
-    cuts: dict[tuple, list[str]] = {}
-    most_rows = max((r["count"] for r in classes), default=0)
-    for r in digest_cutoffs(rows, ["cv_seed", "class"], wanted, most_rows, rows_per_task):
+    # A class much smaller than the largest may fall outside; the exact search follows.
+    sizes = [r["count"] for r in classes] or [0]
+    shares = [f / folds for f in range(1, folds)]
+    found, complete = [], not shares
+    if shares and all(fits_window(p, max(sizes), rows_per_task) for p in shares):
+        edges = _separate([window_around(p, max(sizes)) for p in shares])
+        windows = [(F.lit(low), F.lit(high)) for low, high in edges]
+        near = rows.withColumn("digest", outside_collapsed(F.col("digest"), windows))
+        found, complete = near_cutoffs(near, ["cv_seed", "class"], wanted)
+    if not complete:
+        found = digest_cutoffs(rows, ["cv_seed", "class"], wanted, rows_per_task)
+    cuts: dict[tuple, list[tuple[int, str]]] = {}
+    for r in found:
         cuts.setdefault((r["cv_seed"], r["class"]), []).append((r["rank"], r["cutoff"]))
     schema = T.StructType(
         [
@@ -70,10 +80,24 @@ def fold_table(
     return small_table(spark, table, schema)
 
 
-def fold_column(row_key: str) -> Column:
-    """0-based fold of a row joined with its ``fold_table`` row."""
+def _separate(windows: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """Merge windows that overlap."""
+    out: list[tuple[str, str]] = []
+    for low, high in windows:
+        if out and low <= out[-1][1]:
+            out[-1] = (out[-1][0], max(high, out[-1][1]))
+        else:
+            out.append((low, high))
+    return out
+
+
+def fold_column(row_key: str, folds: int) -> Column:
+    """0-based fold of a row joined with its ``fold_table`` row: the cutoffs below its digest."""
     digest = row_digest(F.col("cv_seed"), F.lit("fold"), ref(row_key))
-    return F.size(F.filter(F.col("cuts"), lambda cut: digest > cut))
+    fold = F.lit(0)
+    for i in range(folds - 1):
+        fold = fold + (digest > F.col("cuts")[i]).cast("int")
+    return fold
 
 
 def assign_folds(
@@ -88,7 +112,7 @@ def assign_folds(
     table = fold_table(df, row_key, label, folds, seeds) if table is None else table
     return (
         df.join(F.broadcast(table), label)
-        .withColumn("fold", fold_column(row_key))
+        .withColumn("fold", fold_column(row_key, folds))
         .select("cv_repeat", "cv_seed", "fold", *[ref(c) for c in df.columns])
     )
 

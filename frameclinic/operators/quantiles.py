@@ -18,8 +18,8 @@ from pyspark.sql import types as T
 from ..functions.columns import ref
 from ..sources.workspace import small_table
 
-# Distinct values of one column and group that one task may hold.
-VALUES_PER_TASK = 200_000
+# Distinct values that one task may hold, over all columns of a group.
+VALUES_PER_TASK = 1_000_000
 # Points of the equi-depth sketch; its rank error is a tenth of a step.
 SKETCH_STEPS = 500
 
@@ -39,6 +39,16 @@ def distinct_estimates(df: DataFrame, columns: Sequence[str], keys: Sequence[str
     return {c: row[f"d{i}"] or 0 for i, c in enumerate(columns)}
 
 
+def held_in_one_task(distinct: dict[str, int], values_per_task: int) -> list[str]:
+    """Columns, fewest values first, whose estimated values together take half the room."""
+    held, used = [], 0
+    for c, d in sorted(distinct.items(), key=lambda item: item[1]):
+        used += d
+        if used <= values_per_task // 2:
+            held.append(c)
+    return held
+
+
 def narrowed_quantiles(
     df: DataFrame,
     columns: Sequence[str],
@@ -46,8 +56,12 @@ def narrowed_quantiles(
     keys: Sequence[str] = (),
     values_per_task: int = VALUES_PER_TASK,
     sketch_steps: int = SKETCH_STEPS,
+    counts: dict[tuple, int] | None = None,
 ) -> dict[tuple, list[float | None]]:
-    """{(key values..., column): [quantile per prob]} by bracketing ranks."""
+    """{(key values..., column): [quantile per prob]} by bracketing ranks.
+
+    ``counts`` are the non-null counts by the same keys, if they are known.
+    """
     spark = df.sparkSession
     keys = list(keys)
     cells = F.array(
@@ -55,7 +69,9 @@ def narrowed_quantiles(
     )
     values = df.select(*keys, F.inline(cells)).where(F.col("value").isNotNull())
     ids = [*keys, "column"]
-    counted = values.groupBy(*ids).agg(F.count("*").alias("n")).collect()
+    if counts is None:
+        counted = values.groupBy(*ids).agg(F.count("*").alias("n")).collect()
+        counts = {tuple(r[k] for k in ids): r["n"] for r in counted}
 
     key_fields = [f for f in values.schema.fields if f.name in ids]
     key_fields.sort(key=lambda f: ids.index(f.name))
@@ -72,9 +88,10 @@ def narrowed_quantiles(
     )
     # One target per (group, column, prob); ranks are 0-based, low/high NULL = open.
     targets = [
-        {**{k: r[k] for k in ids}, "prob": i, "rank": int(p * (r["n"] - 1)), "low": None, "high": None,
-         "below": 0, "held": r["n"], "n": r["n"]}
-        for r in counted
+        {**dict(zip(ids, group)), "prob": i, "rank": int(p * (n - 1)), "low": None, "high": None,
+         "below": 0, "held": n, "n": n}
+        for group, n in counts.items()
+        if n > 0
         for i, p in enumerate(probs)
     ]
 
@@ -159,8 +176,8 @@ def exact_quantiles(
     """
     keys = list(keys)
     distinct = distinct_estimates(df, columns, keys)
-    small = [c for c in columns if distinct[c] <= values_per_task // 2]
-    large = [c for c in columns if c not in small]
+    held = held_in_one_task(distinct, values_per_task)
+    small, large = [c for c in columns if c in held], [c for c in columns if c not in held]
     parts = []
     if small:
         wide = df.groupBy(*keys).agg(*[percentiles(ref(c).cast("double"), probs).alias(f"q{i}") for i, c in enumerate(small)])

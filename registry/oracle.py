@@ -55,7 +55,7 @@ def damaged(
     out = []
     for c in columns:
         if c in continuous:
-            draw = f"CAST(('0x' || substr({md5('factor', c)}, 26, 7)) AS BIGINT) % 4 + 1"
+            draw = f"CAST(('0x' || substr({md5('outlier', c)}, 26, 7)) AS BIGINT) % 4 + 1"
             out.append(f"CASE WHEN hit_{c} THEN {c} * CAST({factors}[{draw}] AS DOUBLE) ELSE {c} END AS {c}")
         else:
             out.append(f"CASE WHEN hit_{c} THEN CAST('9' AS {categorical[c]}) ELSE {c} END AS {c}")
@@ -584,7 +584,7 @@ ORACLE: dict[str, str] = {
         {r6('accuracy')} AS accuracy FROM best WHERE place = 1""",
     "threshold_report": threshold_report(),
     "nb_cv_auc": f"{nb_details()} SELECT * FROM details",
-    "nb_study": f"{nb_details()}, summed AS ({summary_sql('details', 4)}) {delta_sql('summed', 4)}",
+    "nb_study": f"{nb_details()}, summed AS ({summary_sql('details', 6)}) {delta_sql('summed', 6)}",
     "result_summary": f"WITH {RUNS} SELECT * FROM summed",
     "baseline_delta": f"WITH {RUNS} {delta_sql('summed', 5)}",
     "delta_curve": f"""WITH {RUNS}, deltas AS ({delta_sql('summed', 4)}) SELECT dataset, model, method, damage_level,
