@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from ..functions.columns import is_numeric, nan_to_null, present, ref, whole_div
 from ..functions.digests import digest_choice, row_digest
-from ..sources.workspace import small_table
+from ..sources.workspace import small_table, spread
 from ..specs import DamageProfile, DatasetSpec
 from .cutoffs import ROWS_PER_TASK, digest_cutoffs, fits_window, near_cutoffs, outside_collapsed, window_around
 
@@ -71,6 +71,7 @@ class DamagePlan:
         self.spec, self.profile, self.roles = spec, profile, roles
         self.variants, self.steps = variants, steps
         self.cutoffs: dict[tuple[int, int, str, str], str] = {}
+        self.most_rows = 0
 
     def _digest(self, step: str, column: str) -> Column:
         return row_digest(F.col("seed"), F.lit(step), F.lit(column), ref(self.spec.row_key))
@@ -162,15 +163,15 @@ class DamagePlan:
             self.cutoffs[(r["damage_level"], r["damage_repeat"], *slots[r["slot"]])] = r["cutoff"]
 
     def fit(self, df: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> "DamagePlan":
-        source = _prepared(df, self.roles)
-        most_rows = df.count()
+        self.most_rows = most_rows = df.count()
+        source = spread(_prepared(df, self.roles), most_rows)
         self._fit_step(source, ("missing",), most_rows, rows_per_task)
         self._fit_step(source, ("outlier", "noise"), most_rows, rows_per_task)
         return self
 
     def apply(self, df: DataFrame) -> DataFrame:
         """The damaged rows of every variant, with ``damage_level`` and ``damage_repeat``."""
-        source = _prepared(df, self.roles)
+        source = spread(_prepared(df, self.roles), self.most_rows)
         types = {f.name: f.dataType for f in source.schema.fields}
 
         def damaged(name: str) -> Column:

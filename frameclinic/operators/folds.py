@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from ..functions.columns import ref, whole_div
 from ..functions.digests import row_digest
-from ..sources.workspace import small_table
+from ..sources.workspace import small_table, spread
 from .cutoffs import ROWS_PER_TASK, digest_cutoffs, fits_window, near_cutoffs, outside_collapsed, window_around
 
 # Classes a label may have: seeds x classes x folds cutoffs are broadcast.
@@ -39,7 +39,8 @@ def fold_table(
     seed_table = small_table(
         spark, [[s] for s in seeds], T.StructType([T.StructField("cv_seed", T.IntegerType())])
     )
-    rows = df.crossJoin(F.broadcast(seed_table)).select(
+    n_rows = sum(r["count"] for r in classes)
+    rows = spread(df.select(ref(row_key), ref(label)), n_rows).crossJoin(F.broadcast(seed_table)).select(
         "cv_seed", ref(label).alias("class"), row_digest(F.col("cv_seed"), F.lit("fold"), ref(row_key)).alias("digest")
     )
 

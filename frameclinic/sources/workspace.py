@@ -48,6 +48,16 @@ def materialise(df: DataFrame, label: str = "stage", partition_by: tuple[str, ..
     return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
+# A table with fewer rows per core than this may sit in fewer files than there are cores.
+FEW_ROWS_PER_CORE = 100_000
+
+
+def spread(df: DataFrame, rows: int) -> DataFrame:
+    """Deal a small table out to all cores before costly work; larger ones stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if rows <= FEW_ROWS_PER_CORE * cores else df
+
+
 def small_table(spark: SparkSession, rows: Sequence[Sequence[object]], schema: T.StructType) -> DataFrame:
     """A local relation of plan-sized rows, for example one per variant or fold."""
     arrow_schema = to_arrow_schema(schema)
