@@ -28,7 +28,13 @@ from ..specs import (
     RECIPES,
     recipe,
 )
-from .quantiles import VALUES_PER_TASK, held_in_one_task, narrowed_quantiles, percentiles
+from .quantiles import (
+    VALUES_PER_TASK,
+    held_in_one_task,
+    narrowed_quantiles,
+    percentiles,
+    sharpened_quantiles,
+)
 
 # Widest one-hot block per column; wider vocabularies need the long form.
 MAX_CATEGORIES = 1_000
@@ -404,6 +410,16 @@ def fit_cleaning(
         gate = [c for c in held_in_task if removing and least[c] < FEW_VALUES]
         first = moments_and_quantiles(source, probs, gate)
         few = _few_valued(source, keys, key_schema, profile, features, narrowed) if removing else {}
+        quartiles = {}
+        if removing:
+            rough = {
+                (*g, c, name): (p, first[g][c][3][i], first[g][c][0])
+                for g in groups
+                for c in held_in_task
+                if first[g][c][3]
+                for name, p, i in (("q1", 0.25, 0), ("q3", 0.75, 2))
+            }
+            quartiles = sharpened_quantiles(source, rough, keys)
         for g in groups:
             for c in numeric:
                 n, mean, var, q, unique = first[g][c]
@@ -411,7 +427,7 @@ def fit_cleaning(
                 if unique is None:
                     unique = few.get((g, c), profile[g][f"d{features.index(c)}"])
                 if removing and q and unique >= min_unique:
-                    q1, q3 = q[0], q[2]
+                    q1, q3 = quartiles.get((*g, c, "q1"), q[0]), quartiles.get((*g, c, "q3"), q[2])
                     iqr = q3 - q1
                     if iqr != 0 and not math.isnan(iqr):
                         lower, upper = q1 - iqr_multiplier * iqr, q3 + iqr_multiplier * iqr

@@ -9,6 +9,7 @@ Every pass is a scan with map-side combined state; rows are not shuffled.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -30,6 +31,62 @@ def percentiles(column: Column | str, probs: Sequence[float]) -> Column:
     return F.percentile(c, F.array(*[F.lit(float(p)) for p in probs]))
 
 
+def between(low: float, high: float, share: float) -> float:
+    """Linear interpolation from the nearer end, so that round numbers stay round."""
+    gap = high - low
+    return high - gap * (1.0 - share) if share >= 0.5 else low + gap * share
+
+
+def sharpened_quantiles(
+    df: DataFrame,
+    wanted: dict[tuple, tuple[float, float, int]],
+    keys: Sequence[str] = (),
+) -> dict[tuple, float]:
+    """Interpolate again what ``percentile`` interpolated, from the two neighbours themselves.
+
+    ``wanted`` maps (key values..., column, name) to (prob, value, non-null count).
+    ``percentile`` may be a rounding error off, which decides whether a cell that
+    equals a bound is an outlier. One pass finds the neighbours of each value.
+    """
+    out, open_ = {}, {}
+    for key, (prob, value, n) in wanted.items():
+        share = prob * (n - 1) - int(prob * (n - 1))
+        if share == 0:
+            out[key] = value
+        else:
+            open_[key] = (share, value)
+    if not open_:
+        return out
+    keys = list(keys)
+    groups = sorted({k[:-2] for k in open_}, key=str)
+    slots = {slot: i for i, slot in enumerate(dict.fromkeys(k[-2:] for k in open_))}
+    edges = []
+    for g in groups:
+        row = list(g)
+        for slot in slots:
+            value = open_.get((*g, *slot), (0, None))[1]
+            slack = None if value is None else 4 * math.ulp(value)
+            row += [None, None] if value is None else [value + slack, value - slack]
+        edges.append(row)
+    fields = [f for k in keys for f in df.schema.fields if f.name == k]
+    schema = T.StructType(
+        fields + [T.StructField(f"{n}{i}", T.DoubleType()) for i in range(len(slots)) for n in ("top", "bottom")]
+    )
+    table = F.broadcast(small_table(df.sparkSession, edges, schema))
+    joined = df.join(table, keys) if keys else df.crossJoin(table)
+    parts = []
+    for (column, _), i in slots.items():
+        v = ref(column).cast("double")
+        parts.append(F.max(F.when(v <= F.col(f"top{i}"), v)).alias(f"a{i}"))
+        parts.append(F.min(F.when(v >= F.col(f"bottom{i}"), v)).alias(f"b{i}"))
+    for r in joined.groupBy(*keys).agg(*parts).collect():
+        g = tuple(r[k] for k in keys)
+        for slot, i in slots.items():
+            if (*g, *slot) in open_:
+                out[(*g, *slot)] = between(r[f"a{i}"], r[f"b{i}"], open_[(*g, *slot)][0])
+    return out
+
+
 def distinct_estimates(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> dict[str, int]:
     """Largest estimated distinct count over the key groups, per column."""
     per_key = df.groupBy(*keys).agg(
@@ -157,7 +214,7 @@ def narrowed_quantiles(
         last = t["rank"] + 1 >= t["n"]
         if r["at"] is None or (r["after"] is None and not last):
             raise RuntimeError(f"quantile bracket missed rank {t['rank']} of {t['column']}")
-        value = r["at"] if last or share == 0 else (1 - share) * r["at"] + share * r["after"]
+        value = r["at"] if last or share == 0 else between(r["at"], r["after"], share)
         result.setdefault(tuple(t[k] for k in ids), [None] * len(probs))[t["prob"]] = value
     return result
 
