@@ -135,87 +135,87 @@ def narrowed_quantiles(
     schema = T.StructType(
         [
             *key_fields,
-            T.StructField("prob", T.IntegerType()),
             T.StructField("rank", T.LongType()),
             T.StructField("low", T.DoubleType()),
             T.StructField("high", T.DoubleType()),
-            T.StructField("below", T.LongType()),
-            T.StructField("held", T.LongType()),
         ]
     )
-    # One target per (group, column, prob); ranks are 0-based, low/high NULL = open.
-    targets = [
-        {**dict(zip(ids, group)), "prob": i, "rank": int(p * (n - 1)), "low": None, "high": None,
-         "below": 0, "held": n, "n": n}
+    # One target per (group, column, 0-based rank); low/high NULL = open end.
+    targets = {
+        (*group, rank): {"rank": rank, "low": None, "high": None, "held": n}
         for group, n in counts.items()
         if n > 0
-        for i, p in enumerate(probs)
-    ]
-
-    def bracketed(open_targets: list[dict]) -> DataFrame:
-        table = small_table(spark, [[t[f] for f in schema.fieldNames()] for t in open_targets], schema)
+        for p in probs
+        for rank in {int(p * (n - 1)), min(int(p * (n - 1)) + 1, n - 1)}
+    }
+    answers: dict[tuple, float] = {}
+
+    def bracketed(keys_of_targets) -> DataFrame:
+        rows = [[*k, targets[k]["low"], targets[k]["high"]] for k in keys_of_targets]
+        table = small_table(spark, rows, schema)
         return values.join(F.broadcast(table), ids).where(F.col("high").isNull() | (F.col("value") <= F.col("high")))
 
-    is_below = F.col("low").isNotNull() & (F.col("value") < F.col("low"))
+    target_ids = [*ids, "rank"]
+    value, low, high = F.col("value"), F.col("low"), F.col("high")
+    above_low = low.isNull() | (value > low)
+    inside = above_low & (high.isNull() | (value < high))
     grid = [i / sketch_steps for i in range(sketch_steps + 1)]
-    wide = [t for t in targets if t["held"] > values_per_task]
+    wide = [k for k, t in targets.items() if t["held"] > values_per_task]
     while wide:
         sketched = (
             bracketed(wide)
-            .groupBy(*ids, "prob")
+            .groupBy(*target_ids)
             .agg(
-                F.count_if(is_below).alias("below"),
-                F.count_if(~is_below).alias("held"),
-                F.approx_count_distinct(F.when(~is_below, F.col("value"))).alias("distinct"),
-                F.percentile_approx(F.when(~is_below, F.col("value")), grid, sketch_steps * 10).alias("steps"),
+                F.count_if(~above_low).alias("upto_low"),
+                F.count_if(inside).alias("inside"),
+                F.approx_count_distinct(F.when(inside, value)).alias("distinct"),
+                F.percentile_approx(F.when(inside, value), grid, sketch_steps * 10).alias("steps"),
             )
             .collect()
         )
-        seen = {tuple(r[k] for k in (*ids, "prob")): r for r in sketched}
         again = []
-        for t in wide:
-            r = seen[tuple(t[k] for k in (*ids, "prob"))]
-            t["below"] = r["below"]
-            if r["distinct"] <= values_per_task // 2:
-                continue
-            at = (t["rank"] - r["below"]) / max(r["held"] - 1, 1) * sketch_steps
-            low, high = r["steps"][max(int(at) - 1, 0)], r["steps"][min(int(at) + 3, sketch_steps)]
-            # The outermost steps are only near the ends, so an end bracket keeps its old bound.
-            t["low"] = low if at >= 2 else t["low"]
-            t["high"] = high if at <= sketch_steps - 4 else t["high"]
-            t["held"] = int(r["held"] * 6 / sketch_steps) + 1
-            if t["held"] > values_per_task and t["low"] != t["high"]:
-                again.append(t)
+        for r in sketched:
+            k = tuple(r[c] for c in target_ids)
+            t = targets[k]
+            offset = t["rank"] - r["upto_low"]
+            # A bound that many rows share is the answer itself or is left behind.
+            if offset < 0:
+                answers[k] = t["low"]
+            elif offset >= r["inside"]:
+                answers[k] = t["high"]
+            elif r["distinct"] > values_per_task // 2:
+                at = int(offset / max(r["inside"] - 1, 1) * sketch_steps)
+                # The outermost steps are only near the ends, so an end bracket keeps its old bound.
+                t["low"] = r["steps"][at - 1] if at >= 2 else t["low"]
+                t["high"] = r["steps"][at + 3] if at <= sketch_steps - 4 else t["high"]
+                again.append(k)
         wide = again
 
-    if not targets:
-        return {}
-    in_order = Window.partitionBy(*ids, "prob").orderBy(F.col("value").asc_nulls_first())
-    upto = F.sum("count").over(in_order)
-    picked = (
-        bracketed(targets)
-        .groupBy(*ids, "prob", "rank", F.when(~is_below, F.col("value")).alias("value"))
-        .count()
-        .select(*ids, "prob", "rank", "value", upto.alias("upto"), (upto - F.col("count")).alias("before"))
-        .groupBy(*ids, "prob")
-        .agg(
-            F.max(F.when((F.col("before") <= F.col("rank")) & (F.col("rank") < F.col("upto")), F.col("value"))).alias("at"),
-            F.max(
-                F.when((F.col("before") <= F.col("rank") + 1) & (F.col("rank") + 1 < F.col("upto")), F.col("value"))
-            ).alias("after"),
+    left = [k for k in targets if k not in answers]
+    if left:
+        in_order = Window.partitionBy(*target_ids).orderBy(F.col("value").asc_nulls_first())
+        upto = F.sum("count").over(in_order)
+        picked = (
+            bracketed(left)
+            .groupBy(*target_ids, F.when(low.isNull() | (value >= low), value).alias("value"))
+            .count()
+            .select(*target_ids, "value", upto.alias("upto"), (upto - F.col("count")).alias("before"))
+            .where((F.col("before") <= F.col("rank")) & (F.col("rank") < F.col("upto")))
         )
-        .collect()
-    )
-    found = {tuple(r[k] for k in (*ids, "prob")): r for r in picked}
+        answers.update({tuple(r[c] for c in target_ids): r["value"] for r in picked.collect()})
+
     result: dict[tuple, list[float | None]] = {}
-    for t in targets:
-        r = found[tuple(t[k] for k in (*ids, "prob"))]
-        share = probs[t["prob"]] * (t["n"] - 1) - t["rank"]
-        last = t["rank"] + 1 >= t["n"]
-        if r["at"] is None or (r["after"] is None and not last):
-            raise RuntimeError(f"quantile bracket missed rank {t['rank']} of {t['column']}")
-        value = r["at"] if last or share == 0 else between(r["at"], r["after"], share)
-        result.setdefault(tuple(t[k] for k in ids), [None] * len(probs))[t["prob"]] = value
+    for group, n in counts.items():
+        if n == 0:
+            continue
+        found = []
+        for p in probs:
+            rank, share = int(p * (n - 1)), p * (n - 1) - int(p * (n - 1))
+            at, after = answers.get((*group, rank)), answers.get((*group, min(rank + 1, n - 1)))
+            if at is None or after is None:
+                raise RuntimeError(f"no value found at rank {rank} of {group}")
+            found.append(at if share == 0 else between(at, after, share))
+        result[group] = found
     return result
 
 
