@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import is_numeric, nan_to_null, ref
-from ..sources.workspace import small_table
+from ..sources.workspace import broadcast_if_small, small_table
 from ..specs import (
     CATEGORY_FILL,
     IQR_MULTIPLIER,
@@ -319,9 +319,16 @@ def _few_valued(source, keys, key_schema, profile, features, columns) -> dict:
 def value_shares(df: DataFrame, categorical: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """Relative frequency of each value among the non-null values of its column."""
     keys = list(keys)
+    present = df.groupBy(*keys).agg(*[F.count(ref(c)).alias(f"n{i}") for i, c in enumerate(categorical)])
+    cells = F.array(
+        *[F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("total")) for i, c in enumerate(categorical)]
+    )
+    # Joining by column would put a whole vocabulary in one task.
+    totals = broadcast_if_small(present.select(*keys, F.inline(cells)))
     counts = _value_counts(df, keys, categorical)
-    totals = counts.groupBy(*keys, "column").agg(F.sum("n").alias("total"))
-    return counts.join(totals, [*keys, "column"]).withColumn("share", F.col("n") / F.col("total"))
+    return counts.join(totals, [*keys, "column"]).select(
+        *keys, "column", "value", "n", "total", (F.col("n") / F.col("total")).alias("share")
+    )
 
 
 def fit_cleaning(

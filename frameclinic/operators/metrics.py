@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import ref
-from ..sources.workspace import materialise
+from ..sources.workspace import broadcast_if_small, materialise
 
 # Distinct scores one task may order.
 SCORES_PER_TASK = 2_000_000
@@ -101,8 +101,7 @@ def roc_points(
         counts, keys, "score", ["pos", "neg"], descending=True, rows_per_task=rows_per_task
     )
     totals = counts.groupBy(*keys).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
-    # One row per key group.
-    joined = ordered.join(totals, list(keys)) if keys else ordered.crossJoin(F.broadcast(totals))
+    joined = ordered.join(broadcast_if_small(totals), list(keys)) if keys else ordered.crossJoin(F.broadcast(totals))
     return joined.select(
         *keys,
         F.col("score").alias("threshold"),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import ref
 from ..functions.levels import MODELS, ORIGINAL, level_order, model_order
+from ..sources.workspace import broadcast_if_small
 from .quantiles import exact_quantiles
 
 CELL = ("dataset", "damage_level", "method", "model")
@@ -87,7 +88,7 @@ def boxplot_stats(df: DataFrame, group: str, value: str) -> DataFrame:
 def _beyond_whiskers(df: DataFrame, group: str, value: str, quartiles: DataFrame) -> DataFrame:
     v, reach = ref(value).cast("double"), 1.5 * (F.col("q3") - F.col("q1"))
     beyond = (v < F.col("q1") - reach) | (v > F.col("q3") + reach)
-    return df.select(group, value).join(quartiles, group).withColumn("beyond", beyond)
+    return df.select(group, value).join(broadcast_if_small(quartiles), group).withColumn("beyond", beyond)
 
 
 def boxplot_outliers(df: DataFrame, group: str, value: str) -> DataFrame:

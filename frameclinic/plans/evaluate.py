@@ -48,13 +48,17 @@ def variant_table(
     return materialise(clean.unionByName(dirty), "variants")
 
 
+def folded_rows(table: DataFrame, spec: DatasetSpec, folds: int, seeds: Sequence[int]) -> DataFrame:
+    """``table`` once per seed, with ``fold``; the same row has the same fold in every variant."""
+    cuts = fold_table(table.where(F.col("damage_level") == 0), spec.row_key, spec.target, folds, seeds)
+    return assign_folds(table, spec.row_key, spec.target, folds, seeds, cuts)
+
+
 def held_out_rows(
     table: DataFrame, spec: DatasetSpec, folds: int, seeds: Sequence[int]
 ) -> DataFrame:
     """``table`` once per seed and held-out fold, with ``in_training``."""
-    source = table.where(F.col("damage_level") == 0) if "damage_level" in table.columns else table
-    cuts = fold_table(source, spec.row_key, spec.target, folds, seeds)
-    return hold_out(assign_folds(table, spec.row_key, spec.target, folds, seeds, cuts), folds)
+    return hold_out(folded_rows(table, spec, folds, seeds), folds)
 
 
 def _features(table: DataFrame, spec: DatasetSpec) -> tuple[list[str], list[str]]:
@@ -141,6 +145,10 @@ def cross_validate_nb(
     return run_details(aucs, spec.name, "NB")
 
 
+def cv_seed_of(group: tuple) -> int:
+    return group[FOLD_KEYS.index("cv_seed")]
+
+
 def cross_validate_models(
     table: DataFrame,
     spec: DatasetSpec,
@@ -151,47 +159,52 @@ def cross_validate_models(
     params: dict | None = None,
     threads: int = FIT_THREADS,
 ) -> DataFrame:
-    """Detail rows for Spark ML models: one distributed fit per variant, method, seed and fold."""
+    """Detail rows for Spark ML models: one distributed fit per variant, method, seed and fold.
+
+    The rows of a variant and seed are kept while its folds and methods are fitted.
+    """
     spark = table.sparkSession
-    rows = held_out_rows(table, spec, folds, seeds)
-    fitted = fit_by_fold(rows, table, spec, methods)
-    cuts = fold_table(table.where(F.col("damage_level") == 0), spec.row_key, spec.target, folds, seeds)
-    folded = assign_folds(table, spec.row_key, spec.target, folds, seeds, cuts)
-    evaluator_of = lambda: BinaryClassificationEvaluator(
-        rawPredictionCol="probability", labelCol="label", metricName="areaUnderROC", numBins=0
-    )
+    folded = folded_rows(table, spec, folds, seeds)
+    fitted = fit_by_fold(hold_out(folded, folds), table, spec, methods)
 
-    def run(cell: tuple) -> list[list]:
-        group, method = cell
-        level, repeat, cv_repeat, cv_seed, held_out = group
-        own = folded.where(
-            (F.col("damage_level") == level) & (F.col("damage_repeat") == repeat) & (F.col("cv_seed") == cv_seed)
-        )
+    def run(own: DataFrame, group: tuple, method: str) -> list[list]:
+        held_out = group[-1]
         local = FittedCleaning(
             fitted.numeric, fitted.categorical, T.StructType([]),
             {(): fitted.numeric_stats[group]}, {(): fitted.category_stats[group]},
         )
-        matrix = local.transform(
-            own.withColumn("label", ref(spec.target)), method, keep=["label", "fold"]
-        )
+        matrix = local.transform(own, method, keep=["label", "fold"])
         features = [c for c in matrix.columns if c not in ("label", "fold")]
         vectors = assembled(matrix, features, ["label", "fold"]).persist()
+        evaluator = BinaryClassificationEvaluator(
+            rawPredictionCol="probability", labelCol="label", metricName="areaUnderROC", numBins=0
+        )
         try:
             out = []
             for model in models:
-                estimator = get_estimator(model, cv_seed, len(features), params)
+                estimator = get_estimator(model, cv_seed_of(group), len(features), params)
                 trained = estimator.fit(vectors.where(F.col("fold") != held_out))
-                auc = evaluator_of().evaluate(trained.transform(vectors.where(F.col("fold") == held_out)))
+                auc = evaluator.evaluate(trained.transform(vectors.where(F.col("fold") == held_out)))
                 out.append([*group, method, model, float(auc)])
             return out
         finally:
             vectors.unpersist()
 
-    cells = [
-        (g, m) for g in fitted.groups for m in (methods if g[0] != 0 or "raw" not in methods else ["raw"])
-    ]
+    found: list[list] = []
     with ThreadPoolExecutor(max_workers=threads) as pool:
-        found = [row for part in pool.map(run, cells) for row in part]
+        for level, repeat, seed in dict.fromkeys((g[0], g[1], cv_seed_of(g)) for g in fitted.groups):
+            own = (
+                folded.where(
+                    (F.col("damage_level") == level) & (F.col("damage_repeat") == repeat) & (F.col("cv_seed") == seed)
+                )
+                .withColumn("label", ref(spec.target))
+                .persist()
+            )
+            mine = [g for g in fitted.groups if (g[0], g[1], cv_seed_of(g)) == (level, repeat, seed)]
+            tried = ["raw"] if level == 0 and "raw" in methods else methods
+            jobs = [pool.submit(run, own, g, m) for g in mine for m in tried]
+            found += [row for job in jobs for row in job.result()]
+            own.unpersist()
     schema = T.StructType(
         [T.StructField(k, T.IntegerType()) for k in FOLD_KEYS]
         + [T.StructField("method", T.StringType()), T.StructField("model", T.StringType()),

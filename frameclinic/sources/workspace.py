@@ -8,6 +8,7 @@ from uuid import uuid4
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -48,6 +49,8 @@ def materialise(df: DataFrame, label: str = "stage", partition_by: tuple[str, ..
     return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
+# Rows up to which a table may be broadcast; checked by counting, not assumed.
+BROADCAST_ROWS = 50_000
 # A table with fewer rows per core than this may sit in fewer files than there are cores.
 FEW_ROWS_PER_CORE = 100_000
 
@@ -65,3 +68,13 @@ def small_table(spark: SparkSession, rows: Sequence[Sequence[object]], schema: T
         pa.array([r[i] for r in rows], type=field.type) for i, field in enumerate(arrow_schema)
     ]
     return spark.createDataFrame(pa.Table.from_arrays(columns, schema=arrow_schema), schema)
+
+
+def broadcast_if_small(df: DataFrame, most_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` as a broadcast local relation if it has at most ``most_rows`` rows, else as it is.
+
+    Fetches one row more than the limit at most. For per-group results whose join
+    would otherwise shuffle a large side by a possibly hot key.
+    """
+    rows = df.limit(most_rows + 1).collect()
+    return F.broadcast(small_table(df.sparkSession, rows, df.schema)) if len(rows) <= most_rows else df
