@@ -135,9 +135,10 @@ def narrowed_quantiles(
     schema = T.StructType(
         [
             *key_fields,
-            T.StructField("rank", T.LongType()),
+            T.StructField("bracket", T.IntegerType()),
             T.StructField("low", T.DoubleType()),
             T.StructField("high", T.DoubleType()),
+            T.StructField("ranks", T.ArrayType(T.LongType())),
         ]
     )
     # One target per (group, column, 0-based rank); low/high NULL = open end.
@@ -150,21 +151,32 @@ def narrowed_quantiles(
     }
     answers: dict[tuple, float] = {}
 
-    def bracketed(keys_of_targets) -> DataFrame:
-        rows = [[*k, targets[k]["low"], targets[k]["high"]] for k in keys_of_targets]
-        table = small_table(spark, rows, schema)
-        return values.join(F.broadcast(table), ids).where(F.col("high").isNull() | (F.col("value") <= F.col("high")))
+    def brackets(open_targets: list[tuple]) -> tuple[list[list[tuple]], DataFrame]:
+        """Targets that share a bracket, and the table of brackets."""
+        shared: dict[tuple, list[tuple]] = {}
+        for k in open_targets:
+            shared.setdefault((*k[:-1], targets[k]["low"], targets[k]["high"]), []).append(k)
+        rows = [
+            [*bracket[:-2], i, *bracket[-2:], sorted(k[-1] for k in members)]
+            for i, (bracket, members) in enumerate(shared.items())
+        ]
+        return list(shared.values()), small_table(spark, rows, schema)
 
-    target_ids = [*ids, "rank"]
     value, low, high = F.col("value"), F.col("low"), F.col("high")
     above_low = low.isNull() | (value > low)
     inside = above_low & (high.isNull() | (value < high))
+
+    def bracketed(table: DataFrame) -> DataFrame:
+        joined = values.join(F.broadcast(table.drop("ranks")), ids)
+        return joined.where(high.isNull() | (value <= high)).drop(*ids)
+
     grid = [i / sketch_steps for i in range(sketch_steps + 1)]
     wide = [k for k, t in targets.items() if t["held"] > values_per_task]
     while wide:
+        members, table = brackets(wide)
         sketched = (
-            bracketed(wide)
-            .groupBy(*target_ids)
+            bracketed(table)
+            .groupBy("bracket")
             .agg(
                 F.count_if(~above_low).alias("upto_low"),
                 F.count_if(inside).alias("inside"),
@@ -175,34 +187,39 @@ def narrowed_quantiles(
         )
         again = []
         for r in sketched:
-            k = tuple(r[c] for c in target_ids)
-            t = targets[k]
-            offset = t["rank"] - r["upto_low"]
-            # A bound that many rows share is the answer itself or is left behind.
-            if offset < 0:
-                answers[k] = t["low"]
-            elif offset >= r["inside"]:
-                answers[k] = t["high"]
-            elif r["distinct"] > values_per_task // 2:
-                at = int(offset / max(r["inside"] - 1, 1) * sketch_steps)
-                # The outermost steps are only near the ends, so an end bracket keeps its old bound.
-                t["low"] = r["steps"][at - 1] if at >= 2 else t["low"]
-                t["high"] = r["steps"][at + 3] if at <= sketch_steps - 4 else t["high"]
-                again.append(k)
+            for k in members[r["bracket"]]:
+                t = targets[k]
+                offset = t["rank"] - r["upto_low"]
+                # A bound that many rows share is the answer itself or is left behind.
+                if offset < 0:
+                    answers[k] = t["low"]
+                elif offset >= r["inside"]:
+                    answers[k] = t["high"]
+                elif r["distinct"] > values_per_task // 2:
+                    at = int(offset / max(r["inside"] - 1, 1) * sketch_steps)
+                    # The outermost steps are only near the ends, so an end bracket keeps its old bound.
+                    t["low"] = r["steps"][at - 1] if at >= 2 else t["low"]
+                    t["high"] = r["steps"][at + 3] if at <= sketch_steps - 4 else t["high"]
+                    again.append(k)
         wide = again
 
     left = [k for k in targets if k not in answers]
     if left:
-        in_order = Window.partitionBy(*target_ids).orderBy(F.col("value").asc_nulls_first())
+        members, table = brackets(left)
+        in_order = Window.partitionBy("bracket").orderBy(value.asc_nulls_first())
         upto = F.sum("count").over(in_order)
         picked = (
-            bracketed(left)
-            .groupBy(*target_ids, F.when(low.isNull() | (value >= low), value).alias("value"))
+            bracketed(table)
+            .groupBy("bracket", F.when(low.isNull() | (value >= low), value).alias("value"))
             .count()
-            .select(*target_ids, "value", upto.alias("upto"), (upto - F.col("count")).alias("before"))
-            .where((F.col("before") <= F.col("rank")) & (F.col("rank") < F.col("upto")))
+            .select("bracket", "value", upto.alias("upto"), (upto - F.col("count")).alias("before"))
+            .join(F.broadcast(table.select("bracket", "ranks")), "bracket")
+            .select("bracket", "value", F.explode(
+                F.filter("ranks", lambda r: (r >= F.col("before")) & (r < F.col("upto")))
+            ).alias("rank"))
         )
-        answers.update({tuple(r[c] for c in target_ids): r["value"] for r in picked.collect()})
+        for r in picked.collect():
+            answers[(*members[r["bracket"]][0][:-1], r["rank"])] = r["value"]
 
     result: dict[tuple, list[float | None]] = {}
     for group, n in counts.items():
