@@ -21,7 +21,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from frameclinic.llm.common import RollingHash, binary_values, broadcast_checked, mix, steps, utf8
 from frameclinic.llm.graph import components
@@ -314,7 +313,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     described = materialise(
         docs.select("doc_id", utf8("text").alias("text")).mapInArrow(
-            _described(size), T.StructType.fromDDL("doc_id long, n_shingles long, set_id long, sig binary")
+            _described(size), "doc_id long, n_shingles long, set_id long, sig binary"
         ),
         "minhash-signatures",
     )
