@@ -92,3 +92,24 @@ class RollingHash:
     def every(self, width: int) -> np.ndarray:
         """Hashes of all slices of ``width`` bytes."""
         return mix((self.sums[width:] - self.sums[:-width]) * self.back[: len(self.sums) - width])
+
+
+def find_words(data: np.ndarray, offsets: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of the texts that ``offsets`` cut out of ``data``, A to Z counted as a to z.
+
+    ``letters`` says for each byte whether words are made of it. Returns the lower-cased bytes, the words' starts and
+    stops in them, and for each text the number of words before it (one entry more than texts).
+    """
+    data = data[offsets[0] : offsets[-1]]
+    begin = offsets - offsets[0]
+    data = np.where((data >= 65) & (data <= 90), data | np.uint8(32), data)
+    inside = letters[data]
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    heads = begin[:-1][begin[:-1] < len(data)]
+    first[heads] |= inside[heads]
+    tails = begin[1:][begin[1:] > 0] - 1
+    last[tails] |= inside[tails]
+    start, stop = np.flatnonzero(first), np.flatnonzero(last) + 1
+    return data, start, stop, np.searchsorted(start, begin)

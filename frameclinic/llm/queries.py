@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frameclinic.llm.common import table
+from frameclinic.llm.decontaminate import find_contamination, with_digest
 from frameclinic.llm.minhash_dedup import near_duplicates
 from frameclinic.llm.suffix_dedup import remove_repeats
 
@@ -16,6 +17,10 @@ def op1_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"), size=4, percent=80)
 
 
+def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return with_digest(find_contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"), window=10))
+
+
 def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return remove_repeats(table(spark, folder, "documents"), width=200).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256")
@@ -26,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_minhash_dedup,
+        op2_decontamination,
         op3_suffix_dedup,
     )
 }
