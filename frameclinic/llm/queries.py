@@ -4,14 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frameclinic.llm.common import table
 from frameclinic.llm.decontaminate import find_contamination, with_digest
 from frameclinic.llm.minhash_dedup import near_duplicates
+from frameclinic.llm.packing import pack
 from frameclinic.llm.suffix_dedup import remove_repeats
 
+#: The public vocabulary that the packing query counts by.
+VOCABULARY = "word_bpe_49k.json"
+
 
 def op1_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"), size=4, percent=80)
@@ -27,11 +32,16 @@ def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack(table(spark, folder, "documents"), public_tokenizers.path(VOCABULARY), length=4096, end_id=2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_minhash_dedup,
         op2_decontamination,
         op3_suffix_dedup,
+        op4_packing,
     )
 }
