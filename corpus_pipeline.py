@@ -4,10 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from frameclinic.llm.common import table
+from frameclinic.llm.decontaminate import remove_contamination
+from frameclinic.llm.language_id import UNKNOWN, learn, predict, remainder
 from frameclinic.llm.minhash_dedup import near_duplicates
+from frameclinic.llm.packing import pack
+from frameclinic.llm.queries import VOCABULARY
+from frameclinic.llm.suffix_dedup import remove_repeats
 from frameclinic.sources.workspace import materialise
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -15,17 +22,57 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def deduplicate(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the least number."""
-    kept = near_duplicates(docs, size=5, percent=80).where("kept").select("doc_id").distinct()
-    return docs.join(kept.withColumnRenamed("doc_id", "kept_id"), docs.doc_id.eqNullSafe(kept.doc_id), "left_semi").select(*COLUMNS)
+def identify_language(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Documents whose language the n-gram filters can name, with that language; those without a letter go."""
+    filters = learn(docs.where(remainder(4) != 2))
+    named = predict(docs, filters, tuple(COLUMNS)).where(F.col("lang_pred") != UNKNOWN)
+    return named.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """One document of each group of near-duplicates (five-word shingles, similarity 0.8): that of the least number.
+
+    Documents without a word are linked with nothing and stay. A number stands for one document, so rows that repeat a
+    kept number stay together.
+    """
+    found = near_duplicates(docs, size=5, percent=80)
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
+    kept = docs.join(gone, docs.doc_id.eqNullSafe(gone.gone), "left_anti")
+    return kept.select(*COLUMNS)
+
+
+def _replaced(docs: DataFrame, column: str) -> DataFrame:
+    """``column`` (bytes) as the text; broken characters at its cuts and documents with nothing left go."""
+    text = F.decode(F.col(column), "UTF-8")
+    docs = docs.withColumn("text", F.regexp_replace(text, "\ufffd", "")).withColumn("n_chars", F.length("text").cast("long"))
+    return docs.where(F.length(F.trim("text")) > 0).select(*COLUMNS)
+
+
+def drop_repeated_strings(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Texts without the bytes of strings of 200 bytes that start anywhere else too."""
+    return _replaced(remove_repeats(docs, width=200, keep=("lang", "source")), "kept_bytes")
+
+
+def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Texts without the merged stretches of ten words that a benchmark item has too."""
+    clean = remove_contamination(docs, table(spark, folder, "benchmark"), window=10, keep=("lang", "source"))
+    return _replaced(clean, "clean")
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Pieces of all documents, with their ids, in sequences of at most 4096."""
+    return pack(docs, public_tokenizers.path(VOCABULARY), length=4096, end_id=2, with_ids=True)
 
 
 STAGES: list[tuple[str, Stage]] = [
-    ("minhash_dedup", deduplicate),
+    ("language_id", identify_language),
+    ("minhash_dedup", drop_near_duplicates),
+    ("suffix_dedup", drop_repeated_strings),
+    ("decontamination", drop_benchmark_passages),
+    ("packing", pack_sequences),
 ]
 
-#: Classifiers, packing and near-duplicates have no SQL form; the stages are tested by brute force.
+#: Classifiers, near-duplicates and packing have no SQL form; the stages are tested by brute force.
 ORACLE_SQL = None
 
 

@@ -8,9 +8,10 @@ some key, without exception. A pair of similarity 0.8 exceeds that distance with
 
 Pairs that meet are confirmed on their full shingle sets. Identical sets are one class from the start, so copies
 cost nothing further. Under a key that few classes share all pairs are confirmed; under a large key each class is
-first compared with the least one. What these links do not join is then compared in blocks of signatures, and only
-pairs within the distance whose components still differ go to the confirmation: no link that could change a
-component is left out, and a large group never yields all its pairs.
+first compared with the least one. Classes that large keys connect but these links leave in several components are
+then dealt into blocks; each pair of blocks meets in a task that confirms the pairs within the distance whose
+components still differ, and merges as it goes. No link that could change a component is left out, and a large group
+never yields its pairs as rows.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from frameclinic.llm.common import RollingHash, binary_values, broadcast_checked, mix, steps, utf8
+from frameclinic.llm.common import RollingHash, binary_values, broadcast_checked, find_words, mix, steps, utf8
 from frameclinic.llm.graph import components
 from frameclinic.sources.workspace import materialise
 
@@ -31,15 +32,15 @@ SYMBOLS, CHUNK = 64, 4
 DISTANCE = 2 * (SYMBOLS // CHUNK) - 1
 #: Classes under a key up to which all their pairs are compared at once.
 FEW = 12
-#: Classes in one block of the later comparison under a large key.
-BLOCK = 1024
+#: Classes, and bytes of their shingle sets, in one block of the later comparison.
+BLOCK, BLOCK_BYTES = 512, 4 << 20
 
 _rng = np.random.Generator(np.random.PCG64(1))
 _FACTOR = _rng.integers(0, 2**32, SYMBOLS, dtype=np.uint32) | np.uint32(1)
 _SHIFT = _rng.integers(0, 2**32, SYMBOLS, dtype=np.uint32)
 _PLACE = _rng.integers(0, 2**63, 64, dtype=np.uint64) | np.uint64(1)
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
+LETTERS = np.ones(256, bool)
+LETTERS[[9, 10, 11, 12, 13, 32]] = False
 
 
 def shingle_sets(texts: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -49,22 +50,8 @@ def shingle_sets(texts: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.
     one shingle, one without words has none.
     """
     n = len(offsets) - 1
-    data = texts[offsets[0] : offsets[-1]]
-    begin = offsets - offsets[0]
-    data = np.where((data >= 65) & (data <= 90), data | np.uint8(32), data)
-    word = ~_SPACE[data]
-    first = word.copy()
-    first[1:] &= ~word[:-1]
-    first[begin[:-1][begin[:-1] < len(data)]] |= word[begin[:-1][begin[:-1] < len(data)]]
-    start = np.flatnonzero(first)
-    last = word.copy()
-    last[:-1] &= ~word[1:]
-    ends = begin[1:] - 1
-    ends = ends[ends >= 0]
-    last[ends] |= word[ends]
-    stop = np.flatnonzero(last) + 1
+    data, start, stop, edge = find_words(texts, offsets, LETTERS)
     words = RollingHash(data).of(start, stop)
-    edge = np.searchsorted(start, begin)
     count = np.diff(edge)
     long = np.maximum(count - size + 1, 0)
     total = np.where(count >= size, long, (count > 0).astype(np.int64))
@@ -248,37 +235,66 @@ def _confirmed(percent: int):
     return run
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of one pair of blocks under a large key: near signatures, different components.
+def _blocks(percent: int):
+    """Rows of pairs of blocks (cluster, p, q), sorted together -> links that join different components.
 
-    The rows of a block pair come sorted together; there are at most two blocks of them.
+    Labels start as the components found so far and are merged with every link, so within a dense group few pairs
+    are confirmed and at most one link for each member leaves the task. Pairs with equal labels or distant
+    signatures are skipped, all others are confirmed.
     """
-    pending: list[dict] = []
 
-    def emit(rows):
+    def joined(rows: list[dict]) -> pa.RecordBatch:
         ids = np.array([r["id"] for r in rows], np.int64)
-        root = np.array([r["root"] for r in rows], np.int64)
+        label = np.array([r["root"] for r in rows], np.int64)
         block = np.array([r["block"] for r in rows])
         sig = np.stack([np.frombuffer(r["sig"], np.uint16) for r in rows])
-        left = np.flatnonzero(block == rows[0]["p"])
+        sets = [np.frombuffer(r["hashes"], np.uint64) for r in rows]
+        size = np.array([len(x) for x in sets])
         right = np.flatnonzero(block == rows[0]["q"])
         us, vs = [], []
-        for i in left:
-            j = right[(ids[right] > ids[i]) if rows[0]["p"] == rows[0]["q"] else slice(None)]
-            j = j[root[j] != root[i]]
-            j = j[np.count_nonzero(sig[j] != sig[i], axis=1) <= DISTANCE]
-            us.append(np.minimum(ids[i], ids[j]))
-            vs.append(np.maximum(ids[i], ids[j]))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (us, vs)], names=["u", "v"])
+        for i in np.flatnonzero(block == rows[0]["p"]).tolist():
+            j = right[(label[right] != label[i])]
+            if not len(j):
+                continue
+            apart = np.count_nonzero(sig[j] != sig[i], axis=1)
+            j, apart = j[apart <= DISTANCE], apart[apart <= DISTANCE]
+            j = j[np.argsort(apart, kind="stable")]
+            take = 2
+            while len(j):
+                some, j = j[:take], j[take:]
+                take = 256
+                found = np.isin(np.concatenate([sets[x] for x in some]), sets[i], assume_unique=False)
+                shared = np.add.reduceat(found, np.concatenate([[0], np.cumsum(size[some])[:-1]]), dtype=np.int64)
+                for x in some[100 * shared >= percent * (size[some] + size[i] - shared)].tolist():
+                    if label[x] != label[i]:
+                        us.append(ids[i])
+                        vs.append(ids[x])
+                        label[label == label[x]] = label[i]
+                j = j[label[j] != label[i]]
+        return pa.RecordBatch.from_arrays([pa.array(np.array(x, np.int64)) for x in (us, vs)], names=["u", "v"])
 
-    for batch in batches:
-        for r in batch.to_pylist():
-            if pending and (r["key"], r["p"], r["q"]) != (pending[0]["key"], pending[0]["p"], pending[0]["q"]):
-                yield emit(pending)
-                pending = []
-            pending.append(r)
-    if pending:
-        yield emit(pending)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pending: list[dict] = []
+        for batch in batches:
+            for r in batch.to_pylist():
+                if pending and (r["cluster"], r["p"], r["q"]) != tuple(pending[0][x] for x in ("cluster", "p", "q")):
+                    yield joined(pending)
+                    pending = []
+                pending.append(r)
+        if pending:
+            yield joined(pending)
+
+    return run
+
+
+def _set_table(ids: DataFrame, classes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """(id, hashes) of the classes in ``ids``, made anew from one text of each."""
+    wanted = classes.join(ids, "id").select(F.col("doc_id").alias("wanted"))
+    texts = docs.join(broadcast_checked(wanted, 32), F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
+    sets = texts.select(utf8("text").alias("text")).mapInArrow(_sets(size), "id long, hashes binary")
+    # several rows of one document number, or copies of a text, may come along: one set for each class
+    sets = materialise(sets.join(broadcast_checked(ids, 16), "id", "left_semi"), "minhash-sets")
+    return sets.groupBy("id").agg(F.any_value("hashes").alias("hashes"))
 
 
 def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -291,11 +307,7 @@ def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, per
     )
     near = materialise(near, "minhash-near")
     ids = near.select(F.col("u").alias("id")).unionByName(near.select(F.col("v").alias("id"))).distinct()
-    wanted = classes.join(ids, "id").select(F.col("doc_id").alias("wanted"))
-    texts = docs.join(broadcast_checked(wanted, 32), F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
-    sets = texts.select(utf8("text").alias("text")).mapInArrow(_sets(size), "id long, hashes binary")
-    # several rows of one document number, or copies of a text, may come along: one set for each class
-    sets = materialise(sets.join(broadcast_checked(ids, 16), "id", "left_semi"), "minhash-sets").dropDuplicates(["id"])
+    sets = _set_table(ids, classes, docs, size)
     met = near.join(sets.select(F.col("id").alias("v"), F.col("hashes").alias("set_v")), "v").join(
         sets.select(F.col("id").alias("u"), F.col("hashes").alias("set_u")), "u"
     )
@@ -320,7 +332,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     classes = materialise(
         described.where("n_shingles > 0")
         .groupBy(F.col("set_id").alias("id"))
-        .agg(F.min("doc_id").alias("doc_id"), F.any_value("sig").alias("sig")),
+        .agg(F.min("doc_id").alias("doc_id"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("sig").alias("sig")),
         "minhash-classes",
     )
     met = materialise(
@@ -339,24 +351,32 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     large = large.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     open_keys = (
         large.groupBy("key")
-        .agg(F.count("*").alias("n"), F.min("root").alias("a"), F.max("root").alias("b"))
+        .agg(F.min("id").alias("first"), F.min("root").alias("a"), F.max("root").alias("b"))
         .where("a <> b")
-        .select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    )
-    rest = large.join(open_keys, "key").join(classes.select("id", "sig"), "id")
-    rest = rest.withColumn("block", F.pmod(F.hash("id"), F.col("blocks")))
-    # a class goes to each pair of blocks that its own takes part in
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "id", "root", "sig")
-    more = (
-        rest.repartition("key", "p", "q")
-        .sortWithinPartitions("key", "p", "q")
-        .mapInArrow(_across, "u long, v long")
-        .distinct()
+        .select("key", "first")
     )
-    more = materialise(more.join(pairs, ["u", "v"], "left_anti"), "minhash-across")
-    if not more.isEmpty():
-        links = materialise(links.unionByName(_links(more, classes, docs, size, percent)), "minhash-links")
+    rest = materialise(large.join(open_keys, "key").select("id", "root", "first"), "minhash-open")
+    if not rest.isEmpty():
+        # classes that such keys connect form a cluster; every pair of its blocks goes to a task
+        cluster = components(rest.select(F.col("id").alias("u"), F.col("first").alias("v")), "minhash-clusters")
+        member = rest.select("id", "root").distinct().join(cluster.withColumnRenamed("root", "cluster"), "id")
+        member = materialise(member.join(classes.select("id", "n_shingles", "sig"), "id"), "minhash-members")
+        blocks = member.groupBy("cluster").agg(
+            F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") * 8 / BLOCK_BYTES)).cast("int").alias("blocks")
+        )
+        member = member.join(blocks, "cluster").join(_set_table(member.select("id"), classes, docs, size), "id")
+        member = member.withColumn("block", F.pmod(F.hash("id"), F.col("blocks")))
+        member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        more = (
+            member.select(
+                "cluster", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"),
+                "block", "id", "root", "sig", "hashes",
+            )
+            .repartition("cluster", "p", "q")
+            .sortWithinPartitions("cluster", "p", "q")
+            .mapInArrow(_blocks(percent), "u long, v long")
+        )
+        links = materialise(links.unionByName(more), "minhash-links")
         roots = materialise(components(links, "minhash-components"), "minhash-roots")
     named = classes.select("id", "doc_id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))

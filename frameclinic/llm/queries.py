@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from frameclinic.llm.common import table
 from frameclinic.llm.decontaminate import find_contamination, with_digest
+from frameclinic.llm.language_id import learn, predict, remainder
 from frameclinic.llm.minhash_dedup import near_duplicates
 from frameclinic.llm.packing import pack
 from frameclinic.llm.suffix_dedup import remove_repeats
@@ -36,6 +37,13 @@ def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents"), public_tokenizers.path(VOCABULARY), length=4096, end_id=2)
 
 
+def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    held_out = F.coalesce(remainder(4) == 2, F.lit(False))
+    filters = learn(docs.where(remainder(4) != 2))
+    return predict(docs.withColumn("held_out", held_out), filters, ("doc_id", "held_out"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -43,5 +51,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_decontamination,
         op3_suffix_dedup,
         op4_packing,
+        op7_language_id,
     )
 }
