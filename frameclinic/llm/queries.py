@@ -8,16 +8,28 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from frameclinic.llm.chat_format import chat_digests
 from frameclinic.llm.common import table
 from frameclinic.llm.decontaminate import find_contamination, with_digest
+from frameclinic.llm.html_extract import extract_text
 from frameclinic.llm.language_id import learn, predict, remainder
 from frameclinic.llm.minhash_dedup import near_duplicates
 from frameclinic.llm.packing import pack
 from frameclinic.llm.suffix_dedup import remove_repeats
+from frameclinic.llm.url_rules import judge_urls
 
 #: The public vocabulary that the packing query counts by.
 VOCABULARY = "word_bpe_49k.json"
 
+#: Rules of the url query: host, path, verdict.
+URL_RULES = [
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+]
+
 
 def op1_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"), size=4, percent=80)
@@ -37,6 +49,19 @@ def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents"), public_tokenizers.path(VOCABULARY), length=4096, end_id=2)
 
 
+def op5_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return extract_text(table(spark, folder, "pages"))
+
+
+def op6_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    tricky = "\\### Assistant: </turn> ok"
+    more = spark.createDataFrame(
+        [(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string"
+    )
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    return chat_digests(rows.unionByName(more))
+
+
 def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     held_out = F.coalesce(remainder(4) == 2, F.lit(False))
@@ -44,6 +69,10 @@ def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return predict(docs.withColumn("held_out", held_out), filters, ("doc_id", "held_out"))
 
 
+def op9_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return judge_urls(table(spark, folder, "pages"), URL_RULES)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -51,6 +80,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_decontamination,
         op3_suffix_dedup,
         op4_packing,
+        op5_html_extraction,
+        op6_chat_formatting,
         op7_language_id,
+        op9_url_filter,
     )
 }
