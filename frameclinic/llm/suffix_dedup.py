@@ -3,16 +3,18 @@
 A byte goes if some string of ``width`` bytes that covers it also starts anywhere else, in the same text or another.
 
 Suffix orders need the strings that may be equal side by side. Every window of ``width`` bytes holds an anchor: the
-100-byte slice with the least hash among the slices inside it. Equal windows hold equal anchors at equal places, so
-it is enough to compare the neighbourhoods (blocks) of equal anchors: the ``width`` bytes windows that hold it.
-Anchors that occur once settle their windows at once. For the others the distinct blocks of an anchor, with the
-number of times each occurs, are ordered by ``suffix_order``; windows that are equal stand next to each other there.
-An anchor with very many distinct blocks is ordered in several chunks, and windows met in several chunks are
-brought together by their hash. No text is sent anywhere but the blocks that differ from all others.
+slice of ``ANCHOR`` bytes with the least hash among the slices inside it. Equal windows hold equal anchors at equal
+places, so it is enough to compare the neighbourhoods (blocks) of equal anchors. Anchors that occur once settle
+their windows at once, and so do blocks that occur twice. The blocks that differ, with one of each repeated one, are
+split by the place of the window's start into four strips. All windows of a strip share a core, so only strips of
+equal core can hold equal windows; the core is one symbol, the bytes left and right of it are one each, and the
+strips of a core are ordered by ``suffix_order``: equal windows stand next to each other there. Cores with very many
+strips are ordered in parts, and windows met in several parts are brought together by their hash.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -21,14 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from frameclinic.llm.common import RollingHash, binary_values, broadcast_checked, steps, utf8
+from frameclinic.llm.common import BROADCAST_BYTES, RollingHash, binary_values, broadcast_checked, mix, steps, utf8
 from frameclinic.llm.lyndon import suffix_order
 from frameclinic.sources.workspace import materialise
 
 #: Bytes of an anchor; at most the width of the windows.
 ANCHOR = 100
-#: Distinct blocks that are ordered together.
-CHUNK = 400
+#: Strips a block's windows are split into, and strips of one core that are ordered together.
+STRIPS, TOGETHER = 4, 4_000
 #: Rows of one anchor that are held in memory.
 HOLD = 50_000
 
@@ -112,58 +114,38 @@ def _anchor_rows(width: int):
     return run
 
 
-_FOUND = "settled boolean, doc_id long, spot long, anchor long, chunk int, hot boolean, copies int"
+_FOUND = "settled boolean, doc_id long, spot long, copies int"
 
 
 def _sorted_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by anchor and block: blocks met twice are settled, the other blocks of repeated anchors are not.
 
     For an anchor with open blocks one row of each settled block comes along to be compared with. Rows of an
-    anchor beyond HOLD are treated as several chunks of it.
+    anchor beyond HOLD are judged in parts; blocks met once in a part stay open, whatever the others hold.
     """
-    names = [x.split()[0] for x in _FOUND.split(", ")]
 
-    def emit(k, b, ids, s, hot_part: bool, chunk0: int):
+    def emit(k, b, ids, s, part: bool):
         n = len(k)
-        start_k = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-        new_b = np.concatenate([[True], (k[1:] != k[:-1]) | (b[1:] != b[:-1])])
-        start_b = np.flatnonzero(new_b)
-        times = np.diff(np.concatenate([start_b, [n]]))
-        row_block = np.cumsum(new_b) - 1
-        row_key = np.cumsum(np.concatenate([[True], k[1:] != k[:-1]])) - 1
-        size = np.diff(np.concatenate([start_k, [n]]))
-        single = times[row_block] == 1
-        settled = ~single
-        opened = single & ((size[row_key] > 1) | hot_part)
-        has_open = np.bincount(row_key[opened], minlength=len(start_k)) > 0
-        shown = opened | (new_b & settled & (has_open[row_key] | hot_part))
-        # number the shown rows within their anchor
-        i = np.flatnonzero(shown)
-        rank = np.cumsum(shown) - 1
-        before = np.concatenate([[0], np.cumsum(shown)])[start_k][row_key]
-        nth = rank - before
-        many = np.bincount(row_key[i], minlength=len(start_k)) > CHUNK
-        out = [
-            pa.RecordBatch.from_arrays(
+        new_k = np.concatenate([[True], k[1:] != k[:-1]])
+        new_b = new_k | np.concatenate([[True], b[1:] != b[:-1]])
+        row_k, row_b = np.cumsum(new_k) - 1, np.cumsum(new_b) - 1
+        size = np.bincount(row_k)
+        times = np.bincount(row_b)[row_b]
+        opened = (times == 1) & ((size[row_k] > 1) | part)
+        has_open = np.bincount(row_k[opened], minlength=len(size)) > 0
+        shown = opened | (new_b & (times > 1) & (has_open[row_k] | part))
+        for rows, settled in ((np.flatnonzero(shown), False), (np.flatnonzero(times > 1), True)):
+            yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.zeros(len(i), bool)), ids.take(pa.array(i)), pa.array(s[i]), pa.array(k[i]),
-                    pa.array((chunk0 + nth[i] // CHUNK).astype(np.int32)), pa.array(many[row_key[i]] | hot_part),
-                    pa.array(times[row_block[i]].astype(np.int32)),
+                    pa.array(np.full(len(rows), settled)),
+                    ids.take(pa.array(rows)),
+                    pa.array(s[rows]),
+                    pa.array(times[rows].astype(np.int32)),
                 ],
-                names=names,
-            )
-        ]
-        j = np.flatnonzero(settled)
-        out.append(
-            pa.RecordBatch.from_arrays(
-                [pa.array(np.ones(len(j), bool)), ids.take(pa.array(j)), pa.array(s[j])]
-                + [pa.nulls(len(j), t) for t in (pa.int64(), pa.int32(), pa.bool_(), pa.int32())],
-                names=names,
+                names=["settled", "doc_id", "spot", "copies"],
             )
-        )
-        return out, int(nth[i].max(initial=-1)) // CHUNK + 1
 
-    held, part_of, chunk0 = None, None, 0
+    held, part_of = None, None
     for batch in _and_end(batches):
         if batch is not None:
             held = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
@@ -172,22 +154,16 @@ def _sorted_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         k, b, s = (held.column(c).to_numpy() for c in ("anchor", "block", "spot"))
         ids = held.column("doc_id").combine_chunks()
         cut = len(k) if batch is None else int(np.searchsorted(k, k[-1], "left"))
-        held = held.slice(cut)
-        if cut:
-            first = int(np.searchsorted(k[:cut], k[0], "right")) if part_of == k[0] else 0
-            if first:  # the end of an anchor whose beginning is out already
-                yield from emit(k[:first], b[:first], ids.slice(0, first), s[:first], True, chunk0)[0]
-            if cut > first:
-                yield from emit(k[first:cut], b[first:cut], ids.slice(first, cut - first), s[first:cut], False, 0)[0]
-            part_of = None
-        if held.num_rows > HOLD:
-            k, b, s = (held.column(c).to_numpy() for c in ("anchor", "block", "spot"))
-            if part_of != k[0]:
-                part_of, chunk0 = k[0], 0
-            out, chunks = emit(k, b, held.column("doc_id").combine_chunks(), s, True, chunk0)
-            chunk0 += chunks
-            yield from out
+        first = int(np.searchsorted(k[:cut], k[0], "right")) if cut and part_of == k[0] else 0
+        for x, y, part in ((0, first, True), (first, cut, False)):
+            if y > x:
+                yield from emit(k[x:y], b[x:y], ids.slice(x, y - x), s[x:y], part)
+        if len(k) - cut > HOLD:
+            part_of = k[cut]
+            yield from emit(k[cut:], b[cut:], ids.slice(cut), s[cut:], True)
             held = None
+        else:
+            held = held.slice(cut)
 
 
 def _and_end(batches):
@@ -195,102 +171,146 @@ def _and_end(batches):
     yield None
 
 
-def _blocks(width: int):
-    """Cuts the open blocks out of the texts."""
+def _strips(width: int):
+    """The strips of the open blocks: hash of core, hash of all bytes, the bytes left and right of the core."""
+    reach = width - ANCHOR
+    edges = [-reach + (reach + 1) * i // STRIPS for i in range(STRIPS + 1)]
+    names = ["core", "core_strip", "strip", "doc_id", "mark", "first", "copies", "left", "right"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = binary_values(batch.column("text"))
-            for i, (doc, mark, places) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "mark", "places")))):
-                text = data[offsets[i] : offsets[i + 1]].tobytes()
-                rows = []
-                for p in places:
-                    at = p["spot"] & 0xFFFFFFFF
-                    left = max(0, at - (width - ANCHOR))
-                    rows.append((p["anchor"], p["chunk"], p["hot"], p["copies"], doc, mark, left, text[left : at + width]))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(c, t)
-                        for c, t in zip(
-                            zip(*rows),
-                            (pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()),
-                        )
-                    ],
-                    names=["anchor", "chunk", "hot", "copies", "doc_id", "mark", "left", "bytes"],
-                )
+            places = batch.column("places").to_pylist()
+            for x, y in steps(offsets):
+                part = data[offsets[x] : offsets[y]]
+                roll, raw = RollingHash(part), part.tobytes()
+                many = np.array([len(places[i]) for i in range(x, y)])
+                row = np.repeat(np.arange(x, y), many)
+                begin, end = offsets[row] - offsets[x], offsets[row + 1] - offsets[x]
+                at = begin + np.array([p["spot"] & 0xFFFFFFFF for i in range(x, y) for p in places[i]], np.int64)
+                copies = np.array([p["copies"] for i in range(x, y) for p in places[i]], np.int32)
+                for i in range(STRIPS):
+                    a, b = at + edges[i], at + edges[i + 1] - 1
+                    low, high = np.maximum(a, begin), np.minimum(b + width, end)
+                    good = np.flatnonzero(np.minimum(b, end - width) >= low)
+                    a, b, low, high, own = a[good], b[good], low[good], high[good], row[good]
+                    core = roll.of(b, a + width) ^ np.uint64(i)
+                    strip = roll.of(low, high) ^ mix((low - a).astype(np.uint64))
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(core.view(np.int64)),
+                            pa.array(np.full(len(good), i, np.int32)),
+                            pa.array(strip.view(np.int64)),
+                            batch.column("doc_id").take(pa.array(own)),
+                            batch.column("mark").take(pa.array(own)),
+                            pa.array(low - begin[good]),
+                            pa.array(copies[good]),
+                            pa.array([raw[u:v] for u, v in zip(low.tolist(), b.tolist())], pa.binary()),
+                            pa.array([raw[u:v] for u, v in zip((a + width).tolist(), high.tolist())], pa.binary()),
+                        ],
+                        names=names,
+                    )
 
     return run
 
 
-def equal_windows(blocks: Sequence[bytes], width: int) -> Iterator[list[tuple[int, int]]]:
-    """Runs of (block, offset) whose windows of ``width`` bytes are equal, each window in one run."""
-    begin, owner, text = [], [], []
-    at = 0
-    for b in blocks:
-        begin.append(at)
-        text.append(bytes(b))
-        at += len(b) + 1
-    # a separator below all bytes: symbols are bytes + 1
-    symbols = np.zeros(at, np.int16)
-    owner = np.zeros(at, np.int32)
-    valid = np.zeros(at, bool)
-    for j, (a, b) in enumerate(zip(begin, text)):
-        symbols[a : a + len(b)] = np.frombuffer(b, np.uint8).astype(np.int16) + 1
-        owner[a : a + len(b)] = j
-        valid[a : a + max(0, len(b) - width + 1)] = True
-    order = np.array(suffix_order(symbols.tolist()), np.int64)
-    order = order[valid[order]]
-    joined = b"\0".join(text)
+def equal_windows(strips: Sequence[tuple[bytes, bytes]], width: int) -> Iterator[list[tuple[int, int]]]:
+    """Runs of (strip, offset) whose windows are equal, each window in one run.
+
+    A strip is the bytes left and right of the common core; a window is ``width`` symbols with the core as one.
+    """
+    symbols: list[int] = []
+    owner: list[tuple[int, int]] = []
+    for j, (left, right) in enumerate(strips):
+        # a separator (0) below all bytes (1 to 256); the core is above them
+        symbols += [x + 1 for x in left]
+        symbols.append(257)
+        symbols += [x + 1 for x in right]
+        symbols.append(0)
+        last = len(left) + 1 + len(right) - width
+        owner += [(j, o if o <= min(last, len(left)) else -1) for o in range(len(left) + len(right) + 2)]
     run: list[int] = []
-    for i in order.tolist():
-        if run and joined[run[-1] : run[-1] + width] != joined[i : i + width]:
-            yield [(int(owner[x]), x - begin[owner[x]]) for x in run]
+    for i in suffix_order(symbols):
+        if owner[i][1] < 0:
+            continue
+        if run and symbols[run[-1] : run[-1] + width] != symbols[i : i + width]:
+            yield [owner[x] for x in run]
             run = []
         run.append(i)
     if run:
-        yield [(int(owner[x]), x - begin[owner[x]]) for x in run]
+        yield [owner[x] for x in run]
 
 
 def _ordered(width: int):
-    """Blocks sorted by anchor and chunk -> repeated stretches (window null), and for hot anchors their windows."""
+    """Strips sorted by core (and part) -> repeated stretches (window null); for cores in parts also their windows."""
     names = ["window", "doc_id", "mark", "start", "stop"]
     kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
-
-    def settle(rows: list[dict]):
-        out = []
-        hot = rows[0]["hot"]
-        if len(rows) > 1 or hot:
-            hashes = [RollingHash(np.frombuffer(r["bytes"], np.uint8)).every(width).view(np.int64) for r in rows] if hot else None
-            hit = [np.zeros(len(r["bytes"]) + 1, bool) for r in rows]
-            for run in equal_windows([r["bytes"] for r in rows], width):
-                spots = {(rows[b]["doc_id"], rows[b]["mark"], rows[b]["left"] + o) for b, o in run}
-                if len(spots) > 1 or any(rows[b]["copies"] > 1 for b, _ in run):
-                    for b, o in run:
-                        hit[b][o] = True
-                    if hot:  # two equal rows: whatever is equal elsewhere is repeated too
-                        b, o = run[0]
-                        out += [(int(hashes[b][o]), None, None, None, None)] * 2
-                elif hot:
-                    b, o = run[0]
-                    at = rows[b]["left"] + o
-                    out.append((int(hashes[b][o]), rows[b]["doc_id"], rows[b]["mark"], at, at + width))
-            for r, h in zip(rows, hit):
-                if r["copies"] == 1 and h.any():
-                    edge = np.flatnonzero(np.diff(np.concatenate([[False], h])))
-                    for a, b in edge.reshape(-1, 2).tolist():
-                        out.append((None, r["doc_id"], r["mark"], r["left"] + a, r["left"] + b - 1 + width))
-        return [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)] if out else []
+    reach = width - ANCHOR
+    symbols = [(reach + 1) * (i + 1) // STRIPS - (reach + 1) * i // STRIPS for i in range(STRIPS)]
+
+    def settle(rows: list[dict], out: list[tuple]) -> None:
+        parts = rows[0]["parts"] > 1
+        alike: dict[int, list[dict]] = {}
+        for r in rows:
+            alike.setdefault(r["strip"], []).append(r)
+        strips = [v[0] for v in alike.values()]
+        often = [len(v) > 1 or v[0]["copies"] > 1 for v in alike.values()]
+        # a window is one symbol for the core and as many bytes as the strip has further starts
+        size = symbols[rows[0]["core_strip"]]
+        hit = [[False] * (len(r["left"]) + 1) for r in strips]
+        if len(strips) > 1 or parts:
+            for run in equal_windows([(r["left"], r["right"]) for r in strips], size):
+                spots = {(strips[j]["doc_id"], strips[j]["mark"], strips[j]["first"] + o) for j, o in run}
+                again = len(spots) > 1 or any(often[j] for j, _ in run)
+                if again:
+                    for j, o in run:
+                        hit[j][o] = True
+                if parts:  # what is repeated here is so for every equal window of other parts
+                    j, o = run[0]
+                    r = strips[j]
+                    window = hashlib.blake2b(
+                        rows[0]["core"].to_bytes(8, "big", signed=True) + bytes(r["left"][o:]) + b"|" + bytes(r["right"][: size - 1 - len(r["left"]) + o]),
+                        digest_size=8,
+                    ).digest()
+                    at = r["first"] + o
+                    row = (int.from_bytes(window, "big", signed=True), r["doc_id"], r["mark"], at, at + width)
+                    out += [row] * (2 if again else 1)
+        for j, group in enumerate(alike.values()):
+            # equal strips: every window of theirs is repeated
+            last = min(len(group[0]["left"]), len(group[0]["left"]) + 1 + len(group[0]["right"]) - size)
+            flags = [True] * (last + 1) if often[j] else hit[j]
+            edge = np.flatnonzero(np.diff(np.array([False, *flags, False], np.int8))).reshape(-1, 2).tolist()
+            for r in group:
+                if r["copies"] == 1:
+                    out += [(None, r["doc_id"], r["mark"], r["first"] + a, r["first"] + b - 1 + width) for a, b in edge]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pending: list[dict] = []
-        for batch in batches:
-            for r in batch.to_pylist():
-                if pending and (r["anchor"], r["chunk"]) != (pending[0]["anchor"], pending[0]["chunk"]):
-                    yield from settle(pending)
-                    pending = []
-                pending.append(r)
-        if pending:
-            yield from settle(pending)
+        held = None
+        for batch in _and_end(batches):
+            if batch is not None:
+                held = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
+            if held is None or not held.num_rows:
+                continue
+            core, part = held.column("core").to_numpy(), held.column("part").to_numpy()
+            new = np.concatenate([[True], (core[1:] != core[:-1]) | (part[1:] != part[:-1])])
+            cut = len(core) if batch is None else int(np.flatnonzero(new)[-1])
+            which = np.cumsum(new[:cut]) - 1
+            lone = np.bincount(which)[which] == 1 if cut else np.empty(0, bool)
+            keep = ~lone | (held.column("parts").to_numpy()[:cut] > 1)
+            done = held.slice(0, cut).append_column("group", pa.array(which)).filter(pa.array(keep))
+            out: list[tuple] = []
+            rows: list[dict] = []
+            for small in done.to_batches(max_chunksize=5_000):
+                for r in small.to_pylist():
+                    if rows and r["group"] != rows[0]["group"]:
+                        settle(rows, out)
+                        rows = []
+                    rows.append(r)
+            if rows:
+                settle(rows, out)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
+            held = held.slice(cut)
 
     return run
 
@@ -352,23 +372,24 @@ def remove_repeats(docs: DataFrame, width: int = 200, keep: tuple[str, ...] = ()
     settled = found.where("settled").select(
         "doc_id", "mark", F.greatest(place - (width - ANCHOR), F.lit(0)).alias("start"), (place + width).alias("stop")
     )
-    opened = (
-        found.where("not settled")
-        .groupBy("doc_id", "mark")
-        .agg(F.collect_list(F.struct("spot", "anchor", "chunk", "hot", "copies")).alias("places"))
-    )
+    opened = found.where("not settled").groupBy("doc_id", "mark").agg(F.collect_list(F.struct("spot", "copies")).alias("places"))
     opened = materialise(opened, "suffix-open")
     total = opened.agg(F.sum(F.size("places"))).first()[0] or 0
     opened = opened.select(F.col("doc_id").alias("of"), F.col("mark").alias("its"), "places")
     same = F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("its"))
-    blocks = docs.select("doc_id", "mark", "text").join(F.broadcast(opened) if total * 64 <= 32 << 20 else opened, same)
+    blocks = docs.select("doc_id", "mark", "text").join(F.broadcast(opened) if total * 40 <= BROADCAST_BYTES else opened, same)
+    strips = blocks.select("doc_id", "mark", "text", "places").mapInArrow(
+        _strips(width),
+        "core long, core_strip int, strip long, doc_id long, mark int, first long, copies int, left binary, right binary",
+    )
+    strips = materialise(strips, "suffix-strips")
+    large = strips.groupBy("core").agg(F.count("*").alias("n")).where(F.col("n") > TOGETHER)
+    large = large.select("core", F.ceil(F.col("n") / TOGETHER).cast("int").alias("parts"))
+    strips = strips.join(broadcast_checked(large, 32), "core", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     ordered = (
-        blocks.select("doc_id", "mark", "text", "places")
-        .mapInArrow(
-            _blocks(width), "anchor long, chunk int, hot boolean, copies int, doc_id long, mark int, left long, bytes binary"
-        )
-        .repartition("anchor", "chunk")
-        .sortWithinPartitions("anchor", "chunk")
+        strips.withColumn("part", F.pmod(F.hash("strip"), F.col("parts")))
+        .repartition("core", "part")
+        .sortWithinPartitions("core", "part", "strip")
         .mapInArrow(_ordered(width), "window long, doc_id long, mark int, start long, stop long")
     )
     ordered = materialise(ordered, "suffix-ordered")
@@ -380,7 +401,7 @@ def remove_repeats(docs: DataFrame, width: int = 200, keep: tuple[str, ...] = ()
     every = every.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
     every = materialise(every.withColumnsRenamed({"doc_id": "of", "mark": "its"}), "suffix-spans")
     total = every.agg(F.sum(F.size("spans"))).first()[0] or 0
-    every = F.broadcast(every) if total * 64 <= 32 << 20 else every
+    every = F.broadcast(every) if total * 40 <= BROADCAST_BYTES else every
     columns = ["doc_id", *keep]
     out = docs.join(every, same, "left").select(*columns, "text", "spans")
     schema = T.StructType(
