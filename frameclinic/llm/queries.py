@@ -16,6 +16,7 @@ from frameclinic.llm.language_id import learn, predict, remainder
 from frameclinic.llm.minhash_dedup import near_duplicates
 from frameclinic.llm.packing import pack
 from frameclinic.llm.suffix_dedup import remove_repeats
+from frameclinic.llm.toxicity import fit, score_toxicity
 from frameclinic.llm.url_rules import judge_urls
 
 #: The public vocabulary that the packing query counts by.
@@ -73,6 +74,13 @@ def op9_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return judge_urls(table(spark, folder, "pages"), URL_RULES)
 
 
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    held_out = F.coalesce(remainder(5) == 0, F.lit(False))
+    model = fit(docs.where(remainder(5) != 0), table(spark, folder, "labels").where(remainder(5) != 0))
+    return score_toxicity(docs.withColumn("held_out", held_out), model, ("doc_id", "held_out"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -84,5 +92,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_chat_formatting,
         op7_language_id,
         op9_url_filter,
+        op10_toxicity,
     )
 }
