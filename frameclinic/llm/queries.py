@@ -15,6 +15,7 @@ from frameclinic.llm.html_extract import extract_text
 from frameclinic.llm.language_id import learn, predict, remainder
 from frameclinic.llm.minhash_dedup import near_duplicates
 from frameclinic.llm.packing import pack
+from frameclinic.llm.pivot_index import similar_vectors
 from frameclinic.llm.suffix_dedup import remove_repeats
 from frameclinic.llm.toxicity import fit, score_toxicity
 from frameclinic.llm.url_rules import judge_urls
@@ -70,6 +71,10 @@ def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return predict(docs.withColumn("held_out", held_out), filters, ("doc_id", "held_out"))
 
 
+def op8_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return similar_vectors(table(spark, folder, "embeddings"), least=0.9)
+
+
 def op9_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return judge_urls(table(spark, folder, "pages"), URL_RULES)
 
@@ -91,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_html_extraction,
         op6_chat_formatting,
         op7_language_id,
+        op8_embedding_dedup,
         op9_url_filter,
         op10_toxicity,
     )
