@@ -119,7 +119,7 @@ def _search(columns: list[str], shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases: Phrases = shared.value
         for batch in batches:
-            data, offsets = binary_values(batch.column("utf8"))
+            data, offsets = binary_values(batch.column("__bytes"))
             words_before = batch.column("hit_words").to_pylist()
             items_before = batch.column("hit_items").to_pylist()
             for a, b in steps(offsets, SHARD_BYTES):
@@ -185,15 +185,15 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
         T.StructField("hit_bytes", spans), T.StructField("hit_items", T.ArrayType(T.StringType())),
     ]
     now = docs.select(
-        *columns, utf8("text").alias("utf8"), F.lit(None).cast(spans).alias("hit_words"),
+        *columns, utf8("text").alias("__bytes"), F.lit(None).cast(spans).alias("hit_words"),
         F.lit(None).cast("array<string>").alias("hit_items"),
     )
     for block in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item", "utf8"), F.lit(blocks)) == block)
         phrases = Phrases.of([(r["item"], bytes(r["utf8"])) for r in part.toLocalIterator()], window)
         shared = docs.sparkSession.sparkContext.broadcast(phrases)
-        out = columns if block == blocks - 1 else [*columns, "utf8"]
-        schema = T.StructType([fields.get(c, T.StructField("utf8", T.BinaryType())) for c in out] + new)
+        out = columns if block == blocks - 1 else [*columns, "__bytes"]
+        schema = T.StructType([fields.get(c, T.StructField("__bytes", T.BinaryType())) for c in out] + new)
         now = now.mapInArrow(_search(out, shared), schema)
     return now
 

@@ -320,9 +320,9 @@ def _cut(columns: list[str]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = binary_values(batch.column("text"))
+            data, offsets = binary_values(batch.column("__text"))
             size, removed, spans, kept = [], [], [], []
-            for i, s in enumerate(batch.column("spans").to_pylist()):
+            for i, s in enumerate(batch.column("__spans").to_pylist()):
                 text = data[offsets[i] : offsets[i + 1]].tobytes()
                 gone = count = at = 0
                 parts = []
@@ -356,12 +356,11 @@ def remove_repeats(docs: DataFrame, width: int = 200, keep: tuple[str, ...] = ()
     """
     if width < ANCHOR:
         raise ValueError(f"width must be at least {ANCHOR}")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text"), *keep)
-    docs = docs.withColumn("mark", F.hash("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("__text"), *keep)
+    docs = docs.withColumn("__mark", F.hash("__text"))
+    read = docs.select("doc_id", F.col("__mark").alias("mark"), F.col("__text").alias("text"))
     found = materialise(
-        docs.where(F.octet_length("text") >= width)
-        .select("doc_id", "mark", "text")
-        .mapInArrow(_anchor_rows(width), "anchor long, block long, doc_id long, spot long")
+        read.where(F.octet_length("text") >= width).mapInArrow(_anchor_rows(width), "anchor long, block long, doc_id long, spot long")
         .repartition("anchor")
         .sortWithinPartitions("anchor", "block")
         .mapInArrow(_sorted_anchors, _FOUND),
@@ -377,7 +376,7 @@ def remove_repeats(docs: DataFrame, width: int = 200, keep: tuple[str, ...] = ()
     total = opened.agg(F.sum(F.size("places"))).first()[0] or 0
     opened = opened.select(F.col("doc_id").alias("of"), F.col("mark").alias("its"), "places")
     same = F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("its"))
-    blocks = docs.select("doc_id", "mark", "text").join(F.broadcast(opened) if total * 40 <= BROADCAST_BYTES else opened, same)
+    blocks = read.join(F.broadcast(opened) if total * 40 <= BROADCAST_BYTES else opened, same)
     strips = blocks.select("doc_id", "mark", "text", "places").mapInArrow(
         _strips(width),
         "core long, core_strip int, strip long, doc_id long, mark int, first long, copies int, left binary, right binary",
@@ -399,11 +398,12 @@ def remove_repeats(docs: DataFrame, width: int = 200, keep: tuple[str, ...] = ()
     late = windows.join(again, "window").where("start is not null").drop("window")
     every = settled.unionByName(spans).unionByName(late)
     every = every.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
-    every = materialise(every.withColumnsRenamed({"doc_id": "of", "mark": "its"}), "suffix-spans")
-    total = every.agg(F.sum(F.size("spans"))).first()[0] or 0
+    every = materialise(every.withColumnsRenamed({"doc_id": "__of", "mark": "__its", "spans": "__spans"}), "suffix-spans")
+    total = every.agg(F.sum(F.size("__spans"))).first()[0] or 0
     every = F.broadcast(every) if total * 40 <= BROADCAST_BYTES else every
     columns = ["doc_id", *keep]
-    out = docs.join(every, same, "left").select(*columns, "text", "spans")
+    same = F.col("doc_id").eqNullSafe(F.col("__of")) & (F.col("__mark") == F.col("__its"))
+    out = docs.join(every, same, "left").select(*columns, "__text", "__spans")
     schema = T.StructType(
         [*docs.select(*columns).schema.fields]
         + [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")]
