@@ -64,7 +64,7 @@ class FMIndex:
         self.n = len(text)
         turned = text[order - 1]
         self.wavelet = WaveletMatrix(turned)
-        self.below = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=int(text.max()) + 2))])
+        self.below = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=int(text.max()) + 1))])
         self.sampled = order % sample == 0
         self.sample_before = np.concatenate([[0], np.cumsum(self.sampled)])
         self.samples = order[self.sampled]

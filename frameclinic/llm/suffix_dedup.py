@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from frameclinic.llm.common import BROADCAST_BYTES, RollingHash, binary_values, broadcast_checked, mix, steps, utf8
+from frameclinic.llm.common import RollingHash, binary_values, broadcast_checked, mix, steps, utf8
 from frameclinic.llm.lyndon import suffix_order
 from frameclinic.sources.workspace import materialise
 
@@ -373,10 +373,9 @@ def remove_repeats(docs: DataFrame, width: int = 200, keep: tuple[str, ...] = ()
     )
     opened = found.where("not settled").groupBy("doc_id", "mark").agg(F.collect_list(F.struct("spot", "copies")).alias("places"))
     opened = materialise(opened, "suffix-open")
-    total = opened.agg(F.sum(F.size("places"))).first()[0] or 0
     opened = opened.select(F.col("doc_id").alias("of"), F.col("mark").alias("its"), "places")
     same = F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("its"))
-    blocks = read.join(F.broadcast(opened) if total * 40 <= BROADCAST_BYTES else opened, same)
+    blocks = read.join(opened, same)
     strips = blocks.select("doc_id", "mark", "text", "places").mapInArrow(
         _strips(width),
         "core long, core_strip int, strip long, doc_id long, mark int, first long, copies int, left binary, right binary",
@@ -399,8 +398,6 @@ def remove_repeats(docs: DataFrame, width: int = 200, keep: tuple[str, ...] = ()
     every = settled.unionByName(spans).unionByName(late)
     every = every.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
     every = materialise(every.withColumnsRenamed({"doc_id": "__of", "mark": "__its", "spans": "__spans"}), "suffix-spans")
-    total = every.agg(F.sum(F.size("__spans"))).first()[0] or 0
-    every = F.broadcast(every) if total * 40 <= BROADCAST_BYTES else every
     columns = ["doc_id", *keep]
     same = F.col("doc_id").eqNullSafe(F.col("__of")) & (F.col("__mark") == F.col("__its"))
     out = docs.join(every, same, "left").select(*columns, "__text", "__spans")
