@@ -42,28 +42,31 @@ _TOKEN = re.compile(
 )
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
-#: A small labelled table: words, share of linked words, the same for the block before and the block after, place (1: in
-#: the page's main part, -1: outside it, 0: the page names none), whether a named side part holds it; 1 is main text.
+# A small labelled table. Columns: words, share of linked words, the same for the block before and the block after,
+# place (1: in the page's main part, -1: outside it, 0: the page names none), whether a named side part holds it, and
+# the label (1: main text). Blocks and neighbours are typical ones: single words, captions, menu entries, paragraphs.
+_BLOCKS = [(1, 0.0), (2, 1.0), (5, 0.0), (5, 0.2), (8, 0.6), (12, 0.0), (18, 0.1), (25, 0.3), (30, 0.8), (60, 0.0), (150, 0.05)]
+_NEIGHBOURS = [(0, 0.0), (2, 1.0), (6, 0.0), (30, 0.0), (45, 0.2), (80, 0.0)]
+
+
+def _label(block, before, after, place: int, side: int) -> int:
+    """Side parts and what stands outside a named main part is not main text, what stands in it is; else prose counts:
+    long blocks with few links, and short ones beside prose."""
+    if side or place < 0:
+        return 0
+    if place > 0:
+        return 1
+    prose = any(n >= 25 and links < 0.3 for n, links in (before, after))
+    return int(block[1] < 0.35 and (block[0] >= 15 or prose))
+
+
 TRAINING = [
-    # words, links, before: words, links, after: words, links, place, side, label
-    (1, 0.0, 0, 0.0, 30, 0.0, 1, 0, 1), (3, 0.0, 2, 0.0, 4, 0.0, 1, 0, 1), (9, 0.0, 6, 1.0, 9, 0.0, 1, 0, 1),
-    (25, 0.0, 9, 0.0, 40, 0.0, 1, 0, 1), (120, 0.0, 30, 0.0, 60, 0.0, 1, 0, 1), (60, 0.1, 50, 0.0, 20, 0.0, 1, 0, 1),
-    (14, 0.3, 80, 0.0, 90, 0.0, 1, 0, 1), (5, 0.6, 40, 0.0, 55, 0.0, 1, 0, 1), (2, 1.0, 45, 0.0, 35, 0.0, 1, 0, 1),
-    (70, 0.0, 3, 1.0, 6, 0.4, 1, 0, 1), (12, 0.0, 0, 0.0, 0, 0.0, 1, 0, 1), (6, 1.0, 4, 0.0, 25, 0.1, 1, 0, 1),
-    (8, 0.0, 30, 0.0, 4, 1.0, 1, 1, 0), (45, 0.0, 60, 0.0, 50, 0.0, 1, 1, 0), (4, 1.0, 5, 1.0, 3, 1.0, 1, 1, 0),
-    (130, 0.0, 80, 0.0, 12, 0.0, 1, 1, 0), (1, 1.0, 0, 0.0, 1, 1.0, 0, 1, 0), (35, 0.0, 1, 1.0, 20, 0.0, 0, 1, 0),
-    (90, 0.0, 40, 0.0, 70, 0.0, 0, 1, 0), (1, 1.0, 1, 1.0, 1, 1.0, -1, 1, 0), (9, 0.0, 1, 1.0, 12, 0.0, -1, 1, 0),
-    (8, 0.0, 70, 0.0, 0, 0.0, -1, 1, 0), (50, 0.0, 3, 0.0, 60, 0.0, -1, 1, 0), (9, 0.0, 30, 0.0, 14, 0.0, -1, 0, 0),
-    (40, 0.0, 1, 1.0, 55, 0.0, -1, 0, 0), (1, 1.0, 0, 0.0, 1, 1.0, -1, 0, 0), (100, 0.1, 12, 0.0, 90, 0.0, -1, 0, 0),
-    (4, 0.0, 0, 0.0, 0, 0.0, -1, 0, 0), (1, 1.0, 1, 1.0, 1, 1.0, 0, 0, 0), (2, 1.0, 0, 0.0, 2, 1.0, 0, 0, 0),
-    (5, 0.8, 4, 1.0, 3, 1.0, 0, 0, 0), (30, 0.9, 25, 0.8, 20, 1.0, 0, 0, 0), (18, 0.7, 60, 0.0, 5, 1.0, 0, 0, 0),
-    (40, 0.6, 30, 0.0, 22, 0.9, 0, 0, 0), (4, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0), (6, 0.0, 5, 0.0, 4, 0.5, 0, 0, 0),
-    (3, 0.0, 0, 0.0, 2, 0.0, 0, 0, 0), (8, 0.0, 1, 1.0, 7, 0.0, 0, 0, 0), (7, 0.0, 6, 0.0, 0, 0.0, 0, 0, 0),
-    (5, 0.0, 3, 1.0, 45, 0.0, 0, 0, 1), (7, 0.0, 60, 0.0, 70, 0.0, 0, 0, 1), (4, 0.0, 40, 0.0, 35, 0.1, 0, 0, 1),
-    (9, 0.0, 8, 0.0, 50, 0.0, 0, 0, 1), (22, 0.0, 4, 0.0, 30, 0.0, 0, 0, 1), (60, 0.0, 25, 0.0, 3, 1.0, 0, 0, 1),
-    (35, 0.1, 6, 0.0, 5, 0.0, 0, 0, 1), (150, 0.2, 20, 0.0, 10, 0.0, 0, 0, 1), (28, 0.3, 70, 0.0, 80, 0.0, 0, 0, 1),
-    (17, 0.0, 1, 1.0, 0, 0.0, 0, 0, 1), (80, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1), (12, 0.0, 55, 0.0, 42, 0.0, 0, 0, 1),
-]
+    (*block, *before, *after, place, side, _label(block, before, after, place, side))
+    for block in _BLOCKS
+    for before in _NEIGHBOURS
+    for after in _NEIGHBOURS
+    for place, side in ((1, 0), (1, 1), (0, 0), (0, 1), (-1, 0), (-1, 1))
+]
 
 
 @dataclass

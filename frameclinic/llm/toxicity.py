@@ -92,6 +92,8 @@ class Network:
                     n = len(rows) - w + 1
                     answer = sum(vectors[k : k + n] @ kernel[k] for k in range(w)) + bias
                     answer = np.concatenate([answer, np.full((w - 1, FILTERS), -np.inf, np.float32)])
+                    for k in range(1, w):  # no window into the next text
+                        answer[edge[1:] - k] = -np.inf
                     best = np.maximum.reduceat(answer, edge[:-1])
                     text = np.repeat(np.arange(len(some)), np.diff(edge))
                     top = np.full((len(some), FILTERS), len(rows), np.int64)
@@ -150,6 +152,8 @@ class Scorer:
             answer = tables[0][padded[:n]]
             for k in range(1, len(tables)):
                 answer += tables[k][padded[k : k + n]]
+                over = begin[1:] - k  # no window into the next text
+                answer[over[over < n]] = -np.inf
             parts.append(np.maximum(np.maximum.reduceat(answer, begin) + bias, 0))
         return np.concatenate(parts, axis=1) @ self.network.weight + self.network.offset
 
