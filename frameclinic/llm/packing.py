@@ -16,9 +16,10 @@ from __future__ import annotations
 
 import json
 import os
+import unicodedata
 import zlib
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from frameclinic.llm.common import binary_values, utf8
+from frameclinic.llm.common import binary_values, steps, utf8
 
 #: Prices in ids of padding: a further sequence, a cut at a sentence end, a cut inside a sentence.
 SEQUENCE, SENTENCE, INSIDE = 48, 8, 64
@@ -35,6 +36,9 @@ SEQUENCE, SENTENCE, INSIDE = 48, 8, 64
 THIN, GRID = 32, 512
 #: Windows of a block, and texts' words remembered with their ids.
 BLOCK, REMEMBERED = 64, 400_000
+#: Bytes of texts whose new words are looked up together.
+STEP_CHARS = 256 << 10
+MARKS = b".,!?;:"
 
 
 class WordTokenizer:
@@ -49,27 +53,54 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[bytes, bytes] = {}
-
-    def learn(self, words: list[bytes]) -> None:
-        for at in range(0, len(words), 20_000):
-            part = words[at : at + 20_000]
-            coded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            for w, c in zip(part, coded):
-                self.known[w] = np.array(c.ids, "<u4").tobytes()
-
-    def ids(self, text: bytes) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        words = text.split()
+        numbers = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(numbers.values()) + 1, bool)
+        self.ends_word[[n for token, n in numbers.items() if token.endswith("</w>")]] = True
+        self.known: dict[bytes, bytes] = {b"": b""}
+
+    def _encode(self, words: list[bytes]) -> None:
+        texts = [w.decode("utf-8", "replace") for w in words]
+        # words of letters only are one piece each, so many are encoded as one text and told apart by the word ends
+        plain = [i for i, t in enumerate(texts) if unicodedata.normalize("NFC", t).lower().isalpha()]
+        for at in range(0, len(plain), 2_000):
+            some = plain[at : at + 2_000]
+            coded = self.tokenizer.encode_batch_fast([" ".join([texts[i] for i in some])], add_special_tokens=False)[0]
+            ids = np.array(coded.ids, "<u4")
+            edge = [0, *(np.flatnonzero(self.ends_word[ids]) + 1).tolist()]
+            raw = ids.tobytes()
+            if len(edge) == len(some) + 1:
+                for i, a, b in zip(some, edge[:-1], edge[1:]):
+                    self.known[words[i]] = raw[4 * a : 4 * b]
+        others = [i for i, w in enumerate(words) if w not in self.known]
+        for at in range(0, len(others), 2_000):
+            some = others[at : at + 2_000]
+            for i, c in zip(some, self.tokenizer.encode_batch_fast([texts[i] for i in some], add_special_tokens=False)):
+                self.known[words[i]] = np.array(c.ids, "<u4").tobytes()
+
+    def learn(self, words: Iterable[bytes]) -> None:
+        """Remembers the ids of words; case is folded anyway, and a mark behind a letter or digit is a piece of its own."""
+        known, parts = self.known, {}
+        for w in words:
+            core, tail = w, b""
+            if w[-1] in MARKS and w[-2:-1].isalnum():
+                core, tail = w[:-1], w[-1:]
+            parts[w] = (core.lower() if core.isascii() else core), tail
+        self._encode(list({x for part in parts.values() for x in part if x not in known}))
+        for w, (core, tail) in parts.items():
+            known[w] = known[core] + known[tail]
+
+    def ids(self, texts: list[bytes]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        words = [t.split() for t in texts]
         known = self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            distinct = set(words)
-            if len(known) + len(distinct) > REMEMBERED:
+        new = set().union(*words).difference(known)
+        if new:
+            if len(known) + len(new) > REMEMBERED:
                 known.clear()
-            self.learn([w for w in distinct if w not in known])
-            return b"".join([known[w] for w in words])
+                known[b""] = b""
+                new = set().union(*words)
+            self.learn(new)
+        return [b"".join([known[w] for w in own]) for own in words]
 
 
 def cut_points(ids: np.ndarray, document_ends: np.ndarray, sentence_end: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -175,13 +206,14 @@ def _packed(length: int, end_id: int, with_ids: bool, shared):
 
         for batch in batches:
             data, offsets = binary_values(batch.column("text"))
-            for i, doc in enumerate(batch.column("doc_id").to_pylist()):
-                ids = tokenizer.ids(data[offsets[i] : offsets[i + 1]].tobytes()) + stop
-                held.append(ids)
-                docs.append([doc, len(ids) // 4, 0])
-                size += len(ids) // 4
-                if size >= BLOCK * length:
-                    yield pack(False)
+            for a, b in steps(offsets, STEP_CHARS):
+                texts = [data[offsets[i] : offsets[i + 1]].tobytes() for i in range(a, b)]
+                for doc, ids in zip(batch.column("doc_id").slice(a, b - a).to_pylist(), tokenizer.ids(texts)):
+                    held.append(ids + stop)
+                    docs.append([doc, len(ids) // 4 + 1, 0])
+                    size += len(ids) // 4 + 1
+                    if size >= BLOCK * length:
+                        yield pack(False)
         while size:
             yield pack(True)
 
