@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import is_numeric, nan_to_null, ref
+from ..functions.columns import as_double, is_numeric, nan_to_null, ref
 from ..sources.workspace import broadcast_if_small, small_table
 from ..specs import (
     CATEGORY_FILL,
@@ -28,20 +28,14 @@ from ..specs import (
     RECIPES,
     recipe,
 )
-from .quantiles import (
-    VALUES_PER_TASK,
-    held_in_one_task,
-    narrowed_quantiles,
-    percentiles,
-    sharpened_quantiles,
-)
+from .quantiles import VALUES_PER_TASK, narrowed_quantiles
 
 # Widest one-hot block per column; wider vocabularies need the long form.
 MAX_CATEGORIES = 1_000
 # Key groups a fit may have: their statistics are broadcast.
 MAX_GROUPS = 50_000
-# A distinct count estimated below this is counted exactly in a bounded set.
-FEW_VALUES = 200
+# A distinct count is beyond doubt from this many times the limit on, by the estimate's error of a twentieth.
+SURELY = 2
 
 
 @dataclass(frozen=True)
@@ -215,7 +209,7 @@ class FittedCleaning:
 
     def nulled_numeric(self, column: str, params: dict[str, Column]) -> Column:
         """Values strictly outside the bounds become NULL; no bounds, no change."""
-        i, c = self.numeric.index(column), ref(column).cast("double")
+        i, c = self.numeric.index(column), as_double(ref(column))
         outside = (c < params[f"n{i}_lower"]) | (c > params[f"n{i}_upper"])
         return F.when(~F.coalesce(outside, F.lit(False)), c)
 
@@ -229,7 +223,7 @@ class FittedCleaning:
         """Cleaned column expressions by feature name, before one-hot encoding."""
         r, out = recipe(method), {}
         for i, c in enumerate(self.numeric):
-            value = self.nulled_numeric(c, params) if r.remove else ref(c).cast("double")
+            value = self.nulled_numeric(c, params) if r.remove else as_double(ref(c))
             value = F.coalesce(value, params[f"n{i}_{method}_fill"])
             if r.norm:
                 value = (value - params[f"n{i}_{method}_centre"]) / params[f"n{i}_{method}_scale"]
@@ -303,17 +297,19 @@ def _value_counts(df: DataFrame, keys: list[str], categorical: Sequence[str]) ->
     )
 
 
-def _few_valued(source, keys, key_schema, profile, features, columns) -> dict:
-    """Exact distinct counts where a column is narrow in some groups and wide in others."""
-    out = {}
-    for c in columns:
-        i = features.index(c)
-        groups = [g for g, r in profile.items() if r[f"d{i}"] < FEW_VALUES]
-        if groups:
-            only = small_table(source.sparkSession, [list(g) for g in groups], key_schema)
-            sets = source.join(F.broadcast(only), keys).groupBy(*keys).agg(F.size(F.collect_set(ref(c))).alias("u"))
-            out.update({(_group(r, keys), c): r["u"] for r in sets.collect()})
-    return out
+def _distinct_values(source: DataFrame, keys: list[str], columns: Sequence[str], doubted: set[tuple]) -> dict[tuple, int]:
+    """Exact distinct counts of the doubted (key values..., column), each of which has few values."""
+    columns = [c for c in columns if any(d[-1] == c for d in doubted)]
+    if not columns:
+        return {}
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), as_double(ref(c)).alias("value")) for c in columns])
+    values = source.select(*keys, F.inline(cells)).where(F.col("value").isNotNull())
+    fields = [f for k in (*keys, "column") for f in values.schema.fields if f.name == k]
+    renamed = T.StructType([T.StructField(f"__{f.name}", f.dataType) for f in fields])
+    wanted = small_table(source.sparkSession, [list(d) for d in doubted], renamed)
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in (*keys, "column")]
+    values = values.join(F.broadcast(wanted), same, "left_semi").distinct()
+    return {(*_group(r, keys), r["column"]): r["count"] for r in values.groupBy(*keys, "column").count().collect()}
 
 
 def value_shares(df: DataFrame, categorical: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
@@ -376,65 +372,39 @@ def fit_cleaning(
     groups = list(profile)
     count_of = {g: {c: profile[g][f"n{i}"] for i, c in enumerate(features)} for g in groups}
     most = {c: max((profile[g][f"d{i}"] for g in groups), default=0) for i, c in enumerate(features)}
-    least = {c: min((profile[g][f"d{i}"] for g in groups), default=0) for i, c in enumerate(features)}
-
-    held_in_task = held_in_one_task({c: most[c] for c in numeric}, values_per_task)
-    narrowed = [c for c in numeric if c not in held_in_task]
     need_median = any(r.fill for r in recipes)
 
-    def moments_and_quantiles(rows: DataFrame, probs: list[float], gate: Sequence[str]) -> dict:
-        """{group: {column: (n, mean, var, quantiles, distinct)}}"""
+    def moments_and_quantiles(rows: DataFrame, probs: list[float]) -> dict:
+        """{group: {column: (n, mean, var, quantiles)}}"""
         parts = []
         for i, c in enumerate(numeric):
-            v = ref(c).cast("double")
+            v = as_double(ref(c))
             parts += [F.count(v).alias(f"n{i}"), F.avg(v).alias(f"m{i}"), F.var_pop(v).alias(f"v{i}")]
-            if probs and c in held_in_task:
-                parts.append(percentiles(v, probs).alias(f"q{i}"))
-            if c in gate:
-                # No group of these columns has more values than a task may hold.
-                parts.append(F.size(F.collect_set(v)).alias(f"u{i}"))
         found = {_group(r, keys): r for r in rows.groupBy(*keys).agg(*parts).collect()}
-        far = {}
-        if probs and narrowed:
-            present = {(*g, c): found[g][f"n{numeric.index(c)}"] for g in groups for c in narrowed}
-            far = narrowed_quantiles(rows, narrowed, probs, keys, values_per_task, counts=present)
-        out = {}
-        for g in groups:
-            r = found[g]
-            out[g] = {
-                c: (
-                    r[f"n{i}"], r[f"m{i}"], r[f"v{i}"],
-                    (r[f"q{i}"] if c in held_in_task else far.get((*g, c))) if probs else None,
-                    r[f"u{i}"] if c in gate else None,
-                )
-                for i, c in enumerate(numeric)
-            }
-        return out
+        ranked = {}
+        if probs:
+            present = {(*g, c): found[g][f"n{i}"] for g in groups for i, c in enumerate(numeric)}
+            ranked = narrowed_quantiles(rows, numeric, probs, keys, values_per_task, counts=present)
+        return {
+            g: {c: (found[g][f"n{i}"], found[g][f"m{i}"], found[g][f"v{i}"], ranked.get((*g, c))) for i, c in enumerate(numeric)}
+            for g in groups
+        }
 
     numeric_stats: dict[tuple, dict[str, NumericStats]] = {g: {} for g in groups}
     if numeric:
         probs = [0.25, 0.5, 0.75] if removing else ([0.5] if need_median else [])
-        gate = [c for c in held_in_task if removing and least[c] < FEW_VALUES]
-        first = moments_and_quantiles(source, probs, gate)
-        few = _few_valued(source, keys, key_schema, profile, features, narrowed) if removing else {}
-        quartiles = {}
+        first = moments_and_quantiles(source, probs)
+        estimate = {(*g, c): profile[g][f"d{features.index(c)}"] for g in groups for c in numeric}
+        distinct = estimate
         if removing:
-            rough = {
-                (*g, c, name): (p, first[g][c][3][i], first[g][c][0])
-                for g in groups
-                for c in held_in_task
-                if first[g][c][3]
-                for name, p, i in (("q1", 0.25, 0), ("q3", 0.75, 2))
-            }
-            quartiles = sharpened_quantiles(source, rough, keys)
+            doubted = {k for k, d in estimate.items() if d < SURELY * min_unique + 100}
+            distinct = estimate | dict.fromkeys(doubted, 0) | _distinct_values(source, keys, numeric, doubted)
         for g in groups:
             for c in numeric:
-                n, mean, var, q, unique = first[g][c]
+                n, mean, var, q = first[g][c]
                 lower = upper = None
-                if unique is None:
-                    unique = few.get((g, c), profile[g][f"d{features.index(c)}"])
-                if removing and q and unique >= min_unique:
-                    q1, q3 = quartiles.get((*g, c, "q1"), q[0]), quartiles.get((*g, c, "q3"), q[2])
+                if removing and q and distinct[(*g, c)] >= min_unique:
+                    q1, q3 = q[0], q[2]
                     iqr = q3 - q1
                     if iqr != 0 and not math.isnan(iqr):
                         lower, upper = q1 - iqr_multiplier * iqr, q3 + iqr_multiplier * iqr
@@ -447,10 +417,10 @@ def fit_cleaning(
             bounds_only = FittedCleaning(numeric, (), key_schema, numeric_stats, {g: {} for g in groups})
             joined, params = bounds_only.attach(source, [])
             kept_rows = joined.select(*keys, *[bounds_only.nulled_numeric(c, params).alias(c) for c in numeric])
-            second = moments_and_quantiles(kept_rows, [0.5] if need_median else [], ())
+            second = moments_and_quantiles(kept_rows, [0.5] if need_median else [])
             for g in groups:
                 for c in numeric:
-                    n, mean, var, q, _ = second[g][c]
+                    n, mean, var, q = second[g][c]
                     s = numeric_stats[g][c]
                     numeric_stats[g][c] = NumericStats(
                         **{**s.__dict__, "kept_n": n, "kept_mean": mean, "kept_var": var,

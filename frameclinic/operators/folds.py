@@ -111,8 +111,9 @@ def assign_folds(
 ) -> DataFrame:
     """``df`` once per seed, with ``cv_repeat``, ``cv_seed`` and ``fold``."""
     table = fold_table(df, row_key, label, folds, seeds) if table is None else table
+    table = table.withColumnRenamed(label, "__class")
     return (
-        df.join(F.broadcast(table), label)
+        df.join(F.broadcast(table), ref(label).eqNullSafe(F.col("__class")))
         .withColumn("fold", fold_column(row_key, folds))
         .select("cv_repeat", "cv_seed", "fold", *[ref(c) for c in df.columns])
     )

@@ -8,7 +8,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import ref
+from ..functions.columns import as_double, ref
 from ..sources.workspace import broadcast_if_small, materialise
 
 # Distinct scores one task may order.
@@ -19,8 +19,12 @@ REPORT_THRESHOLD = 0.01
 
 
 def score_counts(df: DataFrame, score: str, label: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Positives and negatives per distinct score; ties collapse before any ordering."""
-    return df.groupBy(*keys, ref(score).cast("double").alias("score")).agg(
+    """Positives and negatives per distinct score; ties collapse before any ordering.
+
+    A score that is missing (NULL, NaN or no number) ranks below all others, as one tie at -infinity.
+    """
+    number = F.coalesce(F.nanvl(as_double(ref(score)), F.lit(None)), F.lit(float("-inf")))
+    return df.groupBy(*keys, number.alias("score")).agg(
         F.count_if(ref(label) == 1).alias("pos"), F.count_if(ref(label) == 0).alias("neg")
     )
 
@@ -72,13 +76,18 @@ def roc_auc(
     keys: Sequence[str] = (),
     rows_per_task: int = SCORES_PER_TASK,
 ) -> DataFrame:
-    """Area under the ROC curve per key group; tied scores count half."""
+    """Area under the ROC curve per key group; tied scores count half. NULL with one class only or without any score."""
     counts = materialise(score_counts(df, score, label, keys), "scores")
     ordered = running_sums(counts, keys, "score", ["neg"], rows_per_task=rows_per_task)
     wins = F.col("pos") * (F.col("neg_before") + F.col("neg") / 2.0)
     return (
         ordered.groupBy(*keys)
-        .agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.sum(wins).alias("wins"))
+        .agg(
+            F.sum("pos").alias("n_pos"),
+            F.sum("neg").alias("n_neg"),
+            # no score at all, no curve
+            F.when(F.max("score") > float("-inf"), F.sum(wins)).alias("wins"),
+        )
         .select(
             *keys,
             "n_pos",
@@ -95,19 +104,29 @@ def roc_points(
     keys: Sequence[str] = (),
     rows_per_task: int = SCORES_PER_TASK,
 ) -> DataFrame:
-    """(fpr, tpr, threshold) per distinct score: rates when predicting score >= threshold."""
+    """(fpr, tpr, threshold) per distinct score: rates when predicting score >= threshold.
+
+    Every curve starts at (0, 0), with the threshold infinity.
+    """
     counts = materialise(score_counts(df, score, label, keys), "scores")
     ordered = running_sums(
         counts, keys, "score", ["pos", "neg"], descending=True, rows_per_task=rows_per_task
     )
     totals = counts.groupBy(*keys).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
     joined = ordered.join(broadcast_if_small(totals), list(keys)) if keys else ordered.crossJoin(F.broadcast(totals))
-    return joined.select(
+    start = totals.select(
+        *keys,
+        F.lit(float("inf")).alias("threshold"),
+        F.when(F.col("n_neg") > 0, 0.0).alias("fpr"),
+        F.when(F.col("n_pos") > 0, 0.0).alias("tpr"),
+    )
+    points = joined.select(
         *keys,
         F.col("score").alias("threshold"),
         F.try_divide(F.col("neg_before") + F.col("neg"), F.col("n_neg")).alias("fpr"),
         F.try_divide(F.col("pos_before") + F.col("pos"), F.col("n_pos")).alias("tpr"),
     )
+    return points.unionByName(start)
 
 
 def thresholds_below(score: Column) -> Column:
@@ -130,7 +149,7 @@ def threshold_metrics(df: DataFrame, score: str, label: str, keys: Sequence[str]
     One pass counts rows per score step (at most 99 per key group); the steps, not
     the rows, are then compared with the thresholds.
     """
-    steps = df.groupBy(*keys, thresholds_below(ref(score).cast("double")).alias("above")).agg(
+    steps = df.groupBy(*keys, thresholds_below(as_double(ref(score))).alias("above")).agg(
         F.count_if(ref(label) == 1).alias("pos"), F.count_if(ref(label) == 0).alias("neg")
     )
     per_step = steps.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(THRESHOLD_STEPS))))

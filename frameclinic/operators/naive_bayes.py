@@ -142,8 +142,8 @@ def score_gaussian_nb(
     categorical: Sequence[str] = (),
     keys: Sequence[str] = (),
 ) -> DataFrame:
-    """``df`` with ``score``, the probability of class 1."""
+    """``df`` with ``score``, the probability of class 1; NULL in groups whose training rows have one class only."""
     # One row per key group of the grid, each with a bounded vocabulary.
-    joined = df.join(F.broadcast(fitted), list(keys)) if keys else df.crossJoin(F.broadcast(fitted))
+    joined = df.join(F.broadcast(fitted), list(keys), "left") if keys else df.crossJoin(F.broadcast(fitted))
     odds = log_odds(numeric, categorical)
     return joined.withColumn("score", 1.0 / (1.0 + F.exp(-odds))).drop(*FITTED)

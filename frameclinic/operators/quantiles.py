@@ -1,22 +1,19 @@
 """Exact interpolated quantiles that never gather a column in one task.
 
-``percentile`` is exact but keeps every distinct value of a group in one task, so
-it is used only where an estimate of the distinct count says that is safe. Other
-columns are narrowed: an equi-depth sketch brackets the wanted rank, the bracket
-is sketched again until few values are left in it, and those are counted exactly.
-Every pass is a scan with map-side combined state; rows are not shuffled.
+An equi-depth sketch brackets the wanted rank, the bracket is sketched again until few cells are left in it, and those
+are counted exactly. Every pass is a scan with map-side combined state; rows are not shuffled. There is one way for
+every size: the room of a task decides how often brackets are narrowed, not what comes out.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import ref
+from ..functions.columns import as_double, ref
 from ..sources.workspace import small_table
 
 # Distinct values that one task may hold, over all columns of a group.
@@ -25,87 +22,12 @@ VALUES_PER_TASK = 1_000_000
 SKETCH_STEPS = 500
 
 
-def percentiles(column: Column | str, probs: Sequence[float]) -> Column:
-    """Built-in exact percentiles, linear between neighbours."""
-    c = ref(column) if isinstance(column, str) else column
-    return F.percentile(c, F.array(*[F.lit(float(p)) for p in probs]))
-
-
 def between(low: float, high: float, share: float) -> float:
     """Linear interpolation from the nearer end, so that round numbers stay round."""
     gap = high - low
     return high - gap * (1.0 - share) if share >= 0.5 else low + gap * share
 
 
-def sharpened_quantiles(
-    df: DataFrame,
-    wanted: dict[tuple, tuple[float, float, int]],
-    keys: Sequence[str] = (),
-) -> dict[tuple, float]:
-    """Interpolate again what ``percentile`` interpolated, from the two neighbours themselves.
-
-    ``wanted`` maps (key values..., column, name) to (prob, value, non-null count).
-    ``percentile`` may be a rounding error off, which decides whether a cell that
-    equals a bound is an outlier. One pass finds the neighbours of each value.
-    """
-    out, open_ = {}, {}
-    for key, (prob, value, n) in wanted.items():
-        share = prob * (n - 1) - int(prob * (n - 1))
-        if share == 0:
-            out[key] = value
-        else:
-            open_[key] = (share, value)
-    if not open_:
-        return out
-    keys = list(keys)
-    groups = sorted({k[:-2] for k in open_}, key=str)
-    slots = {slot: i for i, slot in enumerate(dict.fromkeys(k[-2:] for k in open_))}
-    edges = []
-    for g in groups:
-        row = list(g)
-        for slot in slots:
-            value = open_.get((*g, *slot), (0, None))[1]
-            slack = None if value is None else 4 * math.ulp(value)
-            row += [None, None] if value is None else [value + slack, value - slack]
-        edges.append(row)
-    fields = [f for k in keys for f in df.schema.fields if f.name == k]
-    schema = T.StructType(
-        fields + [T.StructField(f"{n}{i}", T.DoubleType()) for i in range(len(slots)) for n in ("top", "bottom")]
-    )
-    table = F.broadcast(small_table(df.sparkSession, edges, schema))
-    joined = df.join(table, keys) if keys else df.crossJoin(table)
-    parts = []
-    for (column, _), i in slots.items():
-        v = ref(column).cast("double")
-        parts.append(F.max(F.when(v <= F.col(f"top{i}"), v)).alias(f"a{i}"))
-        parts.append(F.min(F.when(v >= F.col(f"bottom{i}"), v)).alias(f"b{i}"))
-    for r in joined.groupBy(*keys).agg(*parts).collect():
-        g = tuple(r[k] for k in keys)
-        for slot, i in slots.items():
-            if (*g, *slot) in open_:
-                out[(*g, *slot)] = between(r[f"a{i}"], r[f"b{i}"], open_[(*g, *slot)][0])
-    return out
-
-
-def distinct_estimates(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> dict[str, int]:
-    """Largest estimated distinct count over the key groups, per column."""
-    per_key = df.groupBy(*keys).agg(
-        *[F.approx_count_distinct(ref(c)).alias(f"d{i}") for i, c in enumerate(columns)]
-    )
-    row = per_key.agg(*[F.max(f"d{i}").alias(f"d{i}") for i in range(len(columns))]).first()
-    return {c: row[f"d{i}"] or 0 for i, c in enumerate(columns)}
-
-
-def held_in_one_task(distinct: dict[str, int], values_per_task: int) -> list[str]:
-    """Columns, fewest values first, whose estimated values together take half the room."""
-    held, used = [], 0
-    for c, d in sorted(distinct.items(), key=lambda item: item[1]):
-        used += d
-        if used <= values_per_task // 2:
-            held.append(c)
-    return held
-
-
 def narrowed_quantiles(
     df: DataFrame,
     columns: Sequence[str],
@@ -122,7 +44,7 @@ def narrowed_quantiles(
     spark = df.sparkSession
     keys = list(keys)
     cells = F.array(
-        *[F.struct(F.lit(c).alias("column"), ref(c).cast("double").alias("value")) for c in columns]
+        *[F.struct(F.lit(c).alias("column"), as_double(ref(c)).alias("value")) for c in columns]
     )
     values = df.select(*keys, F.inline(cells)).where(F.col("value").isNotNull())
     ids = [*keys, "column"]
@@ -167,8 +89,10 @@ def narrowed_quantiles(
     inside = above_low & (high.isNull() | (value < high))
 
     def bracketed(table: DataFrame) -> DataFrame:
-        joined = values.join(F.broadcast(table.drop("ranks")), ids)
-        return joined.where(high.isNull() | (value <= high)).drop(*ids)
+        named = table.drop("ranks").withColumnsRenamed({k: f"__{k}" for k in ids})
+        same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in ids]
+        joined = values.join(F.broadcast(named), same)
+        return joined.where(high.isNull() | (value <= high)).drop(*ids, *[f"__{k}" for k in ids])
 
     grid = [i / sketch_steps for i in range(sketch_steps + 1)]
     wide = [k for k, t in targets.items() if t["held"] > values_per_task]
@@ -245,28 +169,19 @@ def exact_quantiles(
 ) -> DataFrame:
     """One row per key group and column: ``column`` and ``quantiles`` (array in prob order).
 
+    A group without any number in a column has NULL quantiles there; cells that are no numbers count as missing.
+
     The result has (groups x columns) rows; groups are expected to be a reporting
     or grid key, not data-sized.
     """
     keys = list(keys)
-    distinct = distinct_estimates(df, columns, keys)
-    held = held_in_one_task(distinct, values_per_task)
-    small, large = [c for c in columns if c in held], [c for c in columns if c not in held]
-    parts = []
-    if small:
-        wide = df.groupBy(*keys).agg(*[percentiles(ref(c).cast("double"), probs).alias(f"q{i}") for i, c in enumerate(small)])
-        cells = F.array(
-            *[F.struct(F.lit(c).alias("column"), F.col(f"q{i}").alias("quantiles")) for i, c in enumerate(small)]
-        )
-        parts.append(wide.select(*keys, F.inline(cells)))
-    if large:
-        found = narrowed_quantiles(df, large, probs, keys, values_per_task)
-        fields = [f for k in keys for f in df.schema.fields if f.name == k]
-        schema = T.StructType(
-            [*fields, T.StructField("column", T.StringType()), T.StructField("quantiles", T.ArrayType(T.DoubleType()))]
-        )
-        parts.append(small_table(df.sparkSession, [[*k, q] for k, q in found.items()], schema))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    cells = [F.count(as_double(ref(c))).alias(f"n{i}") for i, c in enumerate(columns)]
+    counts = {
+        (*[r[k] for k in keys], c): r[f"n{i}"] for r in df.groupBy(*keys).agg(*cells).collect() for i, c in enumerate(columns)
+    }
+    found = narrowed_quantiles(df, columns, probs, keys, values_per_task, counts=counts)
+    fields = [f for k in keys for f in df.schema.fields if f.name == k]
+    schema = T.StructType(
+        [*fields, T.StructField("column", T.StringType()), T.StructField("quantiles", T.ArrayType(T.DoubleType()))]
+    )
+    return small_table(df.sparkSession, [[*k, found.get(k, [None] * len(probs))] for k in counts], schema)

@@ -119,10 +119,10 @@ def nb_scores(
 
 
 def run_details(fold_aucs: DataFrame, dataset: str, model: str, digits: int = 4) -> DataFrame:
-    """Mean fold AUC of each run, rounded, in the layout of the detail table."""
+    """Mean fold AUC of each run, rounded, in the layout of the detail table; NULL if a fold has none."""
     return (
         fold_aucs.groupBy(*VARIANT, "method", "cv_repeat", "cv_seed")
-        .agg(F.round(F.avg("auc"), digits).alias("auc"))
+        .agg(F.when(F.count("auc") == F.count("*"), F.round(F.avg("auc"), digits)).alias("auc"))
         .select(
             F.lit(dataset).alias("dataset"),
             level_label("damage_level").alias("damage_level"),

@@ -574,7 +574,8 @@ ORACLE: dict[str, str] = {
         count(*) FILTER (WHERE o_orderstatus <> 'F') AS neg FROM orders GROUP BY o_totalprice)
         SELECT {r6('threshold')} AS threshold,
         {r6('sum(neg) OVER (ORDER BY threshold DESC) / CAST(sum(neg) OVER () AS DOUBLE)')} AS fpr,
-        {r6('sum(pos) OVER (ORDER BY threshold DESC) / CAST(sum(pos) OVER () AS DOUBLE)')} AS tpr FROM s""",
+        {r6('sum(pos) OVER (ORDER BY threshold DESC) / CAST(sum(pos) OVER () AS DOUBLE)')} AS tpr FROM s
+        UNION ALL SELECT CAST('infinity' AS DOUBLE), 0.0, 0.0""",
     "threshold_metrics": f"""{doc_scores()}, labelled AS (SELECT quality AS label, score FROM final),
         {thresholds('labelled', [])} SELECT step, {r6('threshold')} AS threshold, {r6('recall0')} AS recall0,
         {r6('recall1')} AS recall1, {r6('accuracy')} AS accuracy, {r6('diff')} AS diff FROM steps""",

@@ -113,3 +113,17 @@ def test_too_many_categories_for_wide_columns(spark):
         fit_cleaning(df, methods=["fill"]).transform(df, "fill")
     # Cleaning without one-hot columns works for any vocabulary.
     assert fit_cleaning(df, methods=["fill"]).clean(df, "fill").count() == 3 * MAX_CATEGORIES
+
+
+@pytest.mark.parametrize("room", [1_000_000, 40])
+@pytest.mark.parametrize("distinct, bounds", [(506, 0), (507, 1), (508, 1)])
+def test_distinct_gate_is_exact(spark, room, distinct, bounds):
+    df = spark.range(3000).selectExpr(f"cast(id % {distinct} as double) as x")
+    fitted = fit_cleaning(df, ["x"], [], methods=["remove"], min_unique=507, values_per_task=room)
+    assert fitted.bounds(spark).count() == bounds
+
+
+def test_text_that_is_no_number_counts_as_missing(spark):
+    df = spark.createDataFrame([("1",), ("2",), ("x",), (None,), ("6",)], "v string")
+    fitted = fit_cleaning(df, ["v"], [], methods=["fill"])
+    assert [r["v"] for r in fitted.clean(df, "fill").collect()] == [1.0, 2.0, 2.0, 2.0, 6.0]

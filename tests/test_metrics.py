@@ -45,6 +45,9 @@ def test_auc_of_one_class_is_null(spark):
 def test_roc_points(spark, rows_per_task):
     frame = scores()
     found = roc_points(spark.createDataFrame(frame), "score", "label", rows_per_task=rows_per_task).toPandas()
+    start = found[np.isinf(found.threshold)]
+    assert start[["fpr", "tpr"]].values.tolist() == [[0.0, 0.0]]  # every curve starts there
+    found = found.drop(start.index)
     assert len(found) == frame.score.nunique()
     for r in found.itertuples():
         said = frame.score >= r.threshold
@@ -84,3 +87,17 @@ def test_threshold_report(spark):
     assert lines["0"]["precision"] == pytest.approx(1 / 2) and lines["0"]["support"] == 2
     assert lines["accuracy"]["f1"] == pytest.approx(3 / 5)
     assert lines["weighted avg"]["recall"] == pytest.approx(3 / 5)
+
+
+@pytest.mark.parametrize("rows_per_task", [2_000_000, 40])
+def test_missing_scores_rank_below_all(spark, rows_per_task):
+    frame = scores()
+    frame.loc[::7, "score"] = None
+    frame.loc[3::11, "score"] = float("nan")
+    low = frame.assign(score=frame.score.fillna(-1.0))
+    df = spark.createDataFrame(list(frame.astype(object).where(frame.notna(), None).itertuples(index=False)), "g int, label int, score double")
+    found = {r["g"]: r["auc"] for r in roc_auc(df, "score", "label", ["g"], rows_per_task).collect()}
+    want = {r["g"]: r["auc"] for r in roc_auc(spark.createDataFrame(low), "score", "label", ["g"]).collect()}
+    assert found == want
+    none = roc_auc(df.selectExpr("label", "cast(null as double) as score"), "score", "label").first()
+    assert none["auc"] is None and none["n_pos"] == int((frame.label == 1).sum())
