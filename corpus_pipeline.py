@@ -43,8 +43,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> D
 
 def _replaced(docs: DataFrame, column: str) -> DataFrame:
     """``column`` (bytes) as the text; broken characters at its cuts and documents with nothing left go."""
-    text = F.decode(F.col(column), "UTF-8")
-    docs = docs.withColumn("text", F.regexp_replace(text, "\ufffd", "")).withColumn("n_chars", F.length("text").cast("long"))
+    text = F.col(column).cast("string")
+    text = F.when(F.is_valid_utf8(text), text).otherwise(F.replace(F.make_valid_utf8(text), F.lit("\ufffd"), F.lit("")))
+    docs = docs.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long"))
     return docs.where(F.length(F.trim("text")) > 0).select(*COLUMNS)
 
 
