@@ -74,7 +74,7 @@ def near_cutoffs(near: DataFrame, groups: list[str], wanted: Callable[[Column],
     hits = F.filter(
         wanted(F.col("n")), lambda r: (r > F.col("upto") - F.col("held")) & (r <= F.col("upto"))
     )
-    found = counts.select(*groups, F.explode(hits).alias("rank"), F.col("digest").alias("cutoff")).collect()
+    found = counts.select(*groups, F.explode(hits).alias("rank"), F.col("digest").alias("cutoff"), "held").collect()
     rows = [r.asDict() for r in found]
     return rows, all(len(r["cutoff"]) == DIGEST_DIGITS for r in rows)
 
@@ -90,7 +90,7 @@ def digest_cutoffs(
     ``rows`` has the ``groups`` columns and a unique ``digest`` per group;
     ``wanted`` maps the row count of a group to an array of 1-based ranks (ranks
     outside 1..n are ignored). Returns one dict per (group, rank) with the group
-    columns, ``rank`` and ``cutoff``.
+    columns, ``rank``, ``cutoff`` and ``held``, the rows that share the cutoff's digest (1 if digests are unique).
     """
     by_group = Window.partitionBy(*groups)
     histogram = (
@@ -135,11 +135,14 @@ def digest_cutoffs(
 
     known = small_table(spark, found, schema)
     position = F.row_number().over(Window.partitionBy(*groups, "rank").orderBy("digest"))
+    alike = F.count("*").over(Window.partitionBy(*groups, "rank", "digest"))
     cutoffs = (
         rows.withColumn("prefix", digest_prefix("digest", digits))
         .join(F.broadcast(known), [*groups, "prefix"])
+        .drop("held")
         .withColumn("position", position + F.col("before"))
+        .withColumn("held", alike)
         .where(F.col("position") == F.col("rank"))
-        .select(*groups, "rank", F.col("digest").alias("cutoff"))
+        .select(*groups, "rank", F.col("digest").alias("cutoff"), "held")
     )
     return [r.asDict() for r in cutoffs.collect()]

@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -159,11 +159,16 @@ class DamagePlan:
             found, complete = near_cutoffs(near, groups, wanted)
         if not complete:
             found = digest_cutoffs(rows.drop(low, high), groups, wanted, rows_per_task)
+        if any(r["held"] > 1 for r in found):
+            raise ValueError(f"{self.spec.row_key!r} is not unique: exact counts need a key for each row, see with_content_key")
         for r in found:
             self.cutoffs[(r["damage_level"], r["damage_repeat"], *slots[r["slot"]])] = r["cutoff"]
 
     def fit(self, df: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> "DamagePlan":
-        self.most_rows = most_rows = df.count()
+        size = df.agg(F.count("*").alias("n"), F.count(ref(self.spec.row_key)).alias("keys")).first()
+        if size["keys"] < size["n"]:
+            raise ValueError(f"{size['n'] - size['keys']} rows have no {self.spec.row_key!r}: see with_content_key")
+        self.most_rows = most_rows = size["n"]
         source = spread(_prepared(df, self.roles), most_rows)
         self._fit_step(source, ("missing",), most_rows, rows_per_task)
         self._fit_step(source, ("outlier", "noise"), most_rows, rows_per_task)
@@ -189,6 +194,18 @@ class DamagePlan:
         return self._with_variants(source).select(*VARIANT, *[damaged(c) for c in df.columns])
 
 
+def with_content_key(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with the unique key ``name``: the digest of the row's content and the number of the equal row.
+
+    Unlike a running number it does not depend on how the table is split into files, so damage by it is reproducible.
+    Only equal rows are numbered together.
+    """
+    content = F.md5(F.to_json(F.struct(*[ref(c) for c in df.columns]), {"ignoreNullFields": "false"}))
+    keyed = df.withColumn("__content", content)
+    nth = F.row_number().over(Window.partitionBy("__content").orderBy(F.lit(0)))
+    return keyed.select(*[ref(c) for c in df.columns], F.concat_ws("-", "__content", nth.cast("string")).alias(name))
+
+
 def fit_damage(
     df: DataFrame,
     spec: DatasetSpec,

@@ -391,6 +391,15 @@ DISCOUNT_SCORES = """SELECT l_linestatus, l_quantity / 50.0 AS score,
     CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS label FROM lineitem"""
 
 
+VALUES = """v AS (SELECT event_id, event_type, CASE WHEN event_id % 7 <> 0 THEN value END AS value FROM events),
+    f AS (SELECT event_type, avg(value) AS m, stddev_pop(value) AS sd, quantile_cont(value, 0.25) AS q1,
+      quantile_cont(value, 0.5) AS q2, quantile_cont(value, 0.75) AS q3 FROM v GROUP BY event_type),
+    w AS (SELECT v.*, m, sd, q1, q2, q3, q1 - 1.5 * (q3 - q1) AS low, q3 + 1.5 * (q3 - q1) AS high
+      FROM v LEFT JOIN f ON v.event_type IS NOT DISTINCT FROM f.event_type)"""
+RANKED = """r AS (SELECT o_orderpriority, CASE WHEN o_orderkey % 9 <> 0 THEN o_totalprice ELSE CAST('-infinity' AS DOUBLE) END
+    AS score, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS label FROM orders)"""
+
+
 def thresholds(source: str, keys: list[str]) -> str:
     """CTE ``steps``: recalls and accuracy of thresholds 0.01 .. 0.98."""
     k = f"{', '.join(keys)}, " if keys else ""
@@ -490,6 +499,12 @@ def iqr_bounds() -> str:
 
 A_GRID = [(lv, rp) for lv in (20, 40, 60) for rp in range(1, 6)]
 
+QUARTILES = " UNION ALL ".join(
+    f"SELECT l_returnflag, '{c}' AS \"column\", {r6(f'quantile_cont({c}, 0.25)')} AS q1, "
+    f"{r6(f'quantile_cont({c}, 0.5)')} AS median, {r6(f'quantile_cont({c}, 0.75)')} AS q3 FROM lineitem GROUP BY l_returnflag"
+    for c in ("l_extendedprice", "l_quantity")
+)
+
 ORACLE: dict[str, str] = {
     "iqr_bounds": iqr_bounds(),
     "outlier_to_null": f"""WITH b AS (SELECT {bound('lower', 'value')} AS lo, {bound('upper', 'value')} AS hi FROM events)
@@ -505,11 +520,7 @@ ORACLE: dict[str, str] = {
         f"SELECT '{c}' AS \"column\", count(DISTINCT {c}) AS n_distinct FROM lineitem"
         for c in ("l_quantity", "l_discount", "l_tax", "l_linenumber")
     ),
-    "quantiles": " UNION ALL ".join(
-        f"SELECT l_returnflag, '{c}' AS \"column\", {r6(f'quantile_cont({c}, 0.25)')} AS q1, "
-        f"{r6(f'quantile_cont({c}, 0.5)')} AS median, {r6(f'quantile_cont({c}, 0.75)')} AS q3 FROM lineitem GROUP BY l_returnflag"
-        for c in ("l_extendedprice", "l_quantity")
-    ),
+    "quantiles": QUARTILES,
     "inject_missing": order_rows(steps="m").replace(r6("o_totalprice"), "o_totalprice"),
     "inject_outliers_a": order_rows(steps="o"),
     "inject_outliers_b": order_rows(((10, 1),), "B", "o"),
@@ -570,12 +581,36 @@ ORACLE: dict[str, str] = {
         CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS returned FROM lineitem)
         SELECT l_linestatus, n_pos, n_neg, {r6('auc')} AS auc
         FROM ({auc_sql('r', ['l_linestatus'], 'returned', 'l_discount')})""",
+    "quantiles_narrowed": QUARTILES,
     "roc_points": f"""WITH s AS (SELECT o_totalprice AS threshold, count(*) FILTER (WHERE o_orderstatus = 'F') AS pos,
         count(*) FILTER (WHERE o_orderstatus <> 'F') AS neg FROM orders GROUP BY o_totalprice)
         SELECT {r6('threshold')} AS threshold,
         {r6('sum(neg) OVER (ORDER BY threshold DESC) / CAST(sum(neg) OVER () AS DOUBLE)')} AS fpr,
         {r6('sum(pos) OVER (ORDER BY threshold DESC) / CAST(sum(pos) OVER () AS DOUBLE)')} AS tpr FROM s
         UNION ALL SELECT CAST('infinity' AS DOUBLE), 0.0, 0.0""",
+    "zscore_outliers": f"""WITH {VALUES} SELECT event_id, event_type,
+        {r6('CASE WHEN NOT coalesce(abs(value - m) > 2 * sd, false) THEN value END')} AS value FROM w""",
+    "winsorise": f"""WITH {VALUES} SELECT event_id, event_type,
+        {r6('CASE WHEN value IS NOT NULL THEN least(greatest(value, low), high) END')} AS value FROM w""",
+    "drop_outlier_rows": f"""WITH {VALUES} SELECT event_id, event_type, {r6('value')} AS value FROM w
+        WHERE NOT coalesce(value < low OR value > high, false)""",
+    "impute_mean": f"WITH {VALUES} SELECT event_id, event_type, {r6('coalesce(value, m)')} AS value FROM w",
+    "robust_scale": f"""WITH {VALUES} SELECT event_id, event_type,
+        {r6('(value - q2) / CASE WHEN q3 <> q1 THEN q3 - q1 ELSE 1 END')} AS value FROM w""",
+    "distinct_by_group": " UNION ALL ".join(
+        f"SELECT l_returnflag, '{c}' AS \"column\", count(DISTINCT {c}) AS n_distinct FROM lineitem GROUP BY l_returnflag"
+        for c in ("l_suppkey", "l_extendedprice")
+    ),
+    "auc_ranges": f"""WITH {RANKED} SELECT o_orderpriority, n_pos, n_neg, {r6('auc')} AS auc
+        FROM ({auc_sql('r', ['o_orderpriority'], 'label')})""",
+    "roc_ranges": f"""WITH {RANKED}, s AS (SELECT score AS threshold, count(*) FILTER (WHERE label = 1) AS pos,
+        count(*) FILTER (WHERE label = 0) AS neg FROM r GROUP BY score)
+        SELECT {r6('threshold')} AS threshold,
+        {r6('sum(neg) OVER (ORDER BY threshold DESC) / CAST(sum(neg) OVER () AS DOUBLE)')} AS fpr,
+        {r6('sum(pos) OVER (ORDER BY threshold DESC) / CAST(sum(pos) OVER () AS DOUBLE)')} AS tpr FROM s
+        UNION ALL SELECT CAST('infinity' AS DOUBLE), 0.0, 0.0""",
+    "dirty_keyless": """SELECT count(*) AS n_rows, count(*) - count(*) * 20 // 100 AS n_quantity,
+        count(*) - count(*) * 20 // 100 AS n_price FROM lineitem""",
     "threshold_metrics": f"""{doc_scores()}, labelled AS (SELECT quality AS label, score FROM final),
         {thresholds('labelled', [])} SELECT step, {r6('threshold')} AS threshold, {r6('recall0')} AS recall0,
         {r6('recall1')} AS recall1, {r6('accuracy')} AS accuracy, {r6('diff')} AS diff FROM steps""",

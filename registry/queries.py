@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from frameclinic.functions.columns import as_double
 from frameclinic.functions.levels import level_label, level_order, model_order
-from frameclinic.operators import damage, encoding, metrics, models, summary
+from frameclinic.operators import damage, encoding, metrics, models, summary, treatments
 from frameclinic.operators.cleaning import fit_cleaning, value_shares
 from frameclinic.operators.folds import assign_folds, hash_split
 from frameclinic.operators.labels import drop_columns, label_table, require_positive_class
@@ -551,6 +551,72 @@ def boxplot_outliers(spark, folder) -> DataFrame:
     return summary.boxplot_outliers(table(spark, folder, "events"), "event_type", "value")
 
 
+def _values(spark, folder) -> DataFrame:
+    """Event values, every seventh one missing."""
+    value = F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("value")
+    return table(spark, folder, "events").select("event_id", "event_type", value)
+
+
+def zscore_outliers(spark, folder) -> DataFrame:
+    return rounded(treatments.zscore_outliers(_values(spark, folder), ["value"], ["event_type"], limit=2.0))
+
+
+def winsorise(spark, folder) -> DataFrame:
+    return rounded(treatments.winsorise(_values(spark, folder), ["value"], ["event_type"]))
+
+
+def drop_outlier_rows(spark, folder) -> DataFrame:
+    return rounded(treatments.drop_outlier_rows(_values(spark, folder), ["value"], ["event_type"]))
+
+
+def impute_mean(spark, folder) -> DataFrame:
+    return rounded(treatments.impute_mean(_values(spark, folder), ["value"], ["event_type"]))
+
+
+def robust_scale(spark, folder) -> DataFrame:
+    return rounded(treatments.robust_scale(_values(spark, folder), ["value"], ["event_type"]))
+
+
+def distinct_by_group(spark, folder) -> DataFrame:
+    return treatments.distinct_counts(table(spark, folder, "lineitem"), ["l_suppkey", "l_extendedprice"], ["l_returnflag"])
+
+
+def quantiles_narrowed(spark, folder) -> DataFrame:
+    """The same as ``quantiles`` with hardly any room in a task."""
+    rows = table(spark, folder, "lineitem")
+    found = exact_quantiles(rows, ["l_extendedprice", "l_quantity"], [0.25, 0.5, 0.75], ["l_returnflag"], 500)
+    q = F.col("quantiles")
+    return rounded(found.select("l_returnflag", "column", q[0].alias("q1"), q[1].alias("median"), q[2].alias("q3")))
+
+
+def _ranked_orders(spark, folder) -> DataFrame:
+    """Orders scored by price, every ninth score missing."""
+    price = F.when(F.col("o_orderkey") % 9 != 0, F.col("o_totalprice")).alias("score")
+    label = F.when(F.col("o_orderstatus") == "F", 1).otherwise(0).alias("label")
+    return table(spark, folder, "orders").select("o_orderpriority", price, label)
+
+
+def auc_ranges(spark, folder) -> DataFrame:
+    """Missing scores and an order cut into many ranges."""
+    return rounded(metrics.roc_auc(_ranked_orders(spark, folder), "score", "label", ["o_orderpriority"], rows_per_task=300))
+
+
+def roc_ranges(spark, folder) -> DataFrame:
+    return rounded(metrics.roc_points(_ranked_orders(spark, folder), "score", "label", rows_per_task=300))
+
+
+def dirty_keyless(spark, folder) -> DataFrame:
+    """Line items have no key: the content key makes one, and each column loses exactly its share."""
+    rows = damage.with_content_key(
+        table(spark, folder, "lineitem").select("l_quantity", "l_extendedprice", "l_returnflag"), "row"
+    )
+    spec = DatasetSpec("lineitem", target="l_returnflag", row_key="row", continuous=("l_quantity", "l_extendedprice"))
+    dirty = damage.inject_missingness(materialise(rows, "keyed"), spec, PROFILE_A, 20)
+    return dirty.agg(
+        F.count("*").alias("n_rows"), F.count("l_quantity").alias("n_quantity"), F.count("l_extendedprice").alias("n_price")
+    )
+
+
 def result_files(spark, folder) -> DataFrame:
     """Write the summary as comma-separated text and read it back."""
     path = new_folder(spark, "results")
@@ -578,6 +644,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         repair_by_variant, repaired_files, map_target, labelled_file, text_to_number, grid, resolve_variant,
         stratified_folds, holdout_split, fold_stats, clean_by_fold, nb_scores, auc, auc_of_discounts, roc_points,
         threshold_metrics, threshold_search, threshold_report, nb_cv_auc, nb_study, feature_importance,
+        zscore_outliers, winsorise, drop_outlier_rows, impute_mean, robust_scale, distinct_by_group, quantiles_narrowed,
+        auc_ranges, roc_ranges, dirty_keyless,
         holdout_score, model_grid, result_summary, baseline_delta, delta_curve, method_model_table, model_list,
         level_list, distinct_values, top_orders, boxplot_stats, boxplot_outliers, result_files, keyed_rows,
     )

@@ -62,3 +62,9 @@ def test_whole_pipeline(spark):
     packed = P.run(spark, FOLDER)
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     assert 0 < packed.select("doc_id").distinct().count() <= docs.count()
+
+
+def test_cut_characters_are_dropped_and_others_kept(spark):
+    rows = [(1, bytearray("ä ok".encode()[1:])), (2, bytearray("ok � é".encode())), (3, bytearray(b"\xc3")), (4, bytearray(b""))]
+    docs = spark.createDataFrame(rows, "doc_id long, b binary").selectExpr("*", "'en' lang", "'s' source", "'' text", "0L n_chars")
+    assert {r.doc_id: (r.text, r.n_chars) for r in P._replaced(docs, "b").collect()} == {1: (" ok", 3), 2: ("ok � é", 6)}
