@@ -24,6 +24,10 @@ from .encoding import dummies
 from .folds import hash_split
 
 FEATURES = "features"
+#: Spark's deepest trees: trees grow fully unless a spec says ``depth``.
+MOST_DEPTH = 30
+#: Candidate splits of a column, unless a spec says ``bins``; columns with more values are split at quantiles.
+BINS = 256
 
 
 def get_estimator(
@@ -38,7 +42,7 @@ def get_estimator(
     shared = {"featuresCol": FEATURES, "labelCol": label}
     if model == "RF":
         return RandomForestClassifier(
-            numTrees=int(p.get("trees", 100)), maxDepth=int(p.get("depth", 10)),
+            numTrees=int(p.get("trees", 100)), maxDepth=int(p.get("depth", MOST_DEPTH)), maxBins=int(p.get("bins", BINS)),
             featureSubsetStrategy="sqrt", seed=seed, **shared,
         )
     if model == "NB":
@@ -50,7 +54,7 @@ def get_estimator(
     if model == "XGBoost":
         return GBTClassifier(
             maxIter=int(p.get("rounds", 250)), maxDepth=int(p.get("depth", 4)), stepSize=float(p.get("step", 0.05)),
-            subsamplingRate=float(p.get("rows", 0.9)), featureSubsetStrategy=str(p.get("columns", 0.9)),
+            maxBins=int(p.get("bins", BINS)), subsamplingRate=float(p.get("rows", 0.9)), featureSubsetStrategy=str(p.get("columns", 0.9)),
             seed=seed, **shared,
         )
     raise ValueError(f"unknown model {model!r}")

@@ -48,6 +48,41 @@ def write_variants(df: DataFrame, path: str, form: str = "csv", separator: str =
         writer.format(form).save(path)
 
 
+def _stored(spark: SparkSession, path: str, form: str, separator: str, schema: T.StructType | str) -> DataFrame:
+    reader = spark.read.schema(schema)
+    if form == "csv":
+        return reader.option("header", True).option("sep", separator).csv(path)
+    return reader.format(form).load(path)
+
+
+def stored_variants(
+    spark: SparkSession, path: str, dataset: str, schema: T.StructType | str, form: str = "csv", separator: str = "|"
+) -> DataFrame:
+    """What lies under ``path``: dataset, damage_level, damage_repeat and location, one row per variant folder.
+
+    Only the folder names are needed, so no column of the files is read.
+    """
+    found = _stored(spark, path, form, separator, schema).select("damage_level", "damage_repeat").distinct()
+    location = F.format_string(f"{path.rstrip('/').replace('%', '%%')}/damage_level=%d/damage_repeat=%d", "damage_level", "damage_repeat")
+    return found.select(F.lit(dataset).alias("dataset"), "damage_level", "damage_repeat", location.alias("location"))
+
+
+def read_variants(
+    spark: SparkSession,
+    path: str,
+    chosen: list[tuple[int, int]],
+    schema: T.StructType | str,
+    form: str = "csv",
+    separator: str = "|",
+) -> DataFrame:
+    """The chosen (level, repeat) variants under ``path``; the folders of others are not opened."""
+    table = _stored(spark, path, form, separator, schema)
+    wanted = F.lit(False)
+    for level, repeat in chosen:
+        wanted = wanted | ((F.col("damage_level") == level) & (F.col("damage_repeat") == repeat))
+    return nan_to_null(table.where(wanted))
+
+
 def write_results(df: DataFrame, path: str) -> None:
     """Write a detail or summary table as comma-separated text with a header."""
     df.write.option("header", True).csv(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Sequence
 from uuid import uuid4
@@ -23,7 +24,7 @@ def shared_folder(spark: SparkSession) -> str:
     if folder:
         return folder
     context = spark.sparkContext
-    if not context.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
     if context.applicationId not in _local_folders:
         _local_folders[context.applicationId] = tempfile.mkdtemp(prefix="frameclinic-")
@@ -51,14 +52,14 @@ def materialise(df: DataFrame, label: str = "stage", partition_by: tuple[str, ..
 
 # Rows up to which a table may be broadcast; checked by counting, not assumed.
 BROADCAST_ROWS = 50_000
-# A table with fewer rows per core than this may sit in fewer files than there are cores.
-FEW_ROWS_PER_CORE = 100_000
+# A table with fewer rows than this may sit in fewer splits than there are cores.
+FEW_ROWS = 1_000_000
 
 
 def spread(df: DataFrame, rows: int) -> DataFrame:
-    """Deal a small table out to all cores before costly work; larger ones stay as they are."""
+    """Deal a small table in few splits out to all cores before costly work; others stay as they are, on any cluster."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if rows <= FEW_ROWS_PER_CORE * cores else df
+    return df.repartition(cores) if rows <= FEW_ROWS and df.rdd.getNumPartitions() < cores else df
 
 
 def small_table(spark: SparkSession, rows: Sequence[Sequence[object]], schema: T.StructType) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 
 @dataclass(frozen=True)
@@ -24,6 +24,10 @@ class DatasetSpec:
         key = (self.row_key,) if self.row_key else ()
         return tuple(dict.fromkeys(c for c in (*key, *self.protected) if c != self.target))
 
+    def with_key(self, name: str) -> DatasetSpec:
+        """The same table with ``name`` as its row key."""
+        return replace(self, row_key=name)
+
     @property
     def kept_out(self) -> tuple[str, ...]:
         """Columns that damage and cleaning must not touch."""

@@ -531,6 +531,9 @@ ORACLE: dict[str, str] = {
     "variant_grid": f"""WITH {damaged_customers(A_GRID, 'A')} SELECT damage_level, damage_repeat, count(*) AS n_rows,
         count(c_acctbal) AS n_acctbal, {r6('sum(c_acctbal)', 2)} AS sum_acctbal, count(c_nationkey) AS n_nationkey,
         CAST(sum(c_nationkey) AS BIGINT) AS sum_nationkey FROM dirty GROUP BY damage_level, damage_repeat""",
+    "stored_variant_grid": f"""WITH {damaged_customers(A_GRID, 'A')} SELECT damage_level, damage_repeat, count(*) AS n_rows,
+        count(c_acctbal) AS n_acctbal, {r6('sum(c_acctbal)', 2)} AS sum_acctbal, count(c_nationkey) AS n_nationkey,
+        CAST(sum(c_nationkey) AS BIGINT) AS sum_nationkey FROM dirty GROUP BY damage_level, damage_repeat""",
     "variant_round_trip": f"""WITH {damaged_customers([(10, 1), (50, 2)], 'B')} SELECT damage_level, damage_repeat,
         count(*) AS n_rows, count(c_acctbal) AS n_acctbal, {r6('sum(c_acctbal)', 2)} AS sum_acctbal,
         CAST(sum(c_nationkey) AS BIGINT) AS sum_nationkey FROM dirty GROUP BY damage_level, damage_repeat""",

@@ -19,7 +19,15 @@ from frameclinic.operators.quantiles import exact_quantiles
 from frameclinic.plans import evaluate
 from frameclinic.plans.grid import build_grid, resolve_variants
 from frameclinic.plans.repair import repair_variants, write_repaired
-from frameclinic.sources.tables import load_dataset, read_delimited, with_row_key, write_results, write_variants
+from frameclinic.sources.tables import (
+    load_dataset,
+    read_delimited,
+    read_variants,
+    stored_variants,
+    with_row_key,
+    write_results,
+    write_variants,
+)
 from frameclinic.sources.workspace import materialise, new_folder
 from frameclinic.specs import GRID_FAST, PROFILE_A, PROFILE_B, RECIPES, DatasetSpec, GridProfile
 
@@ -198,6 +206,31 @@ def variant_round_trip(spark, folder) -> DataFrame:
     )
 
 
+def stored_variant_grid(spark, folder) -> DataFrame:
+    """Store profile A's variants, list and resolve what is there, read the resolved ones and count."""
+    path = new_folder(spark, "stored")
+    dirty = damage.inject(customers(spark, folder), CUSTOMERS, PROFILE_A)
+    write_variants(dirty, path)
+    schema = T.StructType([f for f in dirty.schema.fields if not f.name.startswith("damage_")])
+    catalog = stored_variants(spark, path, "customer", schema)
+    wanted = spark.createDataFrame(
+        [("customer", lv, rp) for lv in (*PROFILE_A.levels, 99) for rp in range(1, PROFILE_A.repeats + 1)],
+        "dataset string, damage_level int, damage_repeat int",
+    )
+    chosen = [(r["damage_level"], r["damage_repeat"]) for r in resolve_variants(wanted, catalog).collect()]
+    back = read_variants(spark, path, chosen, schema)
+    return rounded(
+        back.groupBy("damage_level", "damage_repeat").agg(
+            F.count("*").alias("n_rows"),
+            F.count("c_acctbal").alias("n_acctbal"),
+            F.sum("c_acctbal").alias("sum_acctbal"),
+            F.count("c_nationkey").alias("n_nationkey"),
+            F.sum("c_nationkey").alias("sum_nationkey"),
+        ),
+        2,
+    )
+
+
 # -- repair --------------------------------------------------------------------
 
 
@@ -645,7 +678,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         stratified_folds, holdout_split, fold_stats, clean_by_fold, nb_scores, auc, auc_of_discounts, roc_points,
         threshold_metrics, threshold_search, threshold_report, nb_cv_auc, nb_study, feature_importance,
         zscore_outliers, winsorise, drop_outlier_rows, impute_mean, robust_scale, distinct_by_group, quantiles_narrowed,
-        auc_ranges, roc_ranges, dirty_keyless,
+        auc_ranges, roc_ranges, dirty_keyless, stored_variant_grid,
         holdout_score, model_grid, result_summary, baseline_delta, delta_curve, method_model_table, model_list,
         level_list, distinct_values, top_orders, boxplot_stats, boxplot_outliers, result_files, keyed_rows,
     )

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from frameclinic.operators.damage import damage_roles, fit_damage, inject, inject_missingness
+from frameclinic.operators.damage import damage_roles, fit_damage, inject, inject_missingness, with_content_key
 from frameclinic.specs import PROFILE_A, PROFILE_B, DatasetSpec
 
 SPEC = DatasetSpec("t", "y", "id", protected=("code",), continuous=("x",))
@@ -86,3 +86,20 @@ def test_repeatable_and_seeded(table):
 def test_damage_needs_a_key(table):
     with pytest.raises(ValueError):
         fit_damage(table, DatasetSpec("t", "y"), PROFILE_A, [(20, 1)])
+
+
+@pytest.mark.parametrize("key", ["if(id < 900, id, null)", "id div 7", "id div 333"])
+def test_bad_keys_are_refused(table, key):
+    with pytest.raises(ValueError, match="with_content_key"):
+        inject(table.withColumn("id", F.expr(key)), SPEC, PROFILE_A, [(20, 1)])
+
+
+def test_content_key_is_unique_and_does_not_depend_on_the_files(spark, table):
+    rows = table.drop("id").unionByName(table.drop("id").limit(300))
+    one = with_content_key(rows.repartition(7), "id")
+    two = with_content_key(rows.coalesce(1), "id")
+    assert one.select("id").distinct().count() == N + 300
+    assert sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
+    damaged = [inject(x, SPEC, PROFILE_A, [(20, 1)]) for x in (one, two)]
+    assert sorted(map(str, damaged[0].collect())) == sorted(map(str, damaged[1].collect()))
+    assert damaged[0].where("x is null").count() == (N + 300) * 20 // 100

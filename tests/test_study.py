@@ -110,3 +110,26 @@ def test_stream_is_cleaned_like_the_table(spark, tmp_path):
     assert sorted(map(tuple, spark.table("repaired").collect())) == want
     with pytest.raises(ValueError):
         repair_stream(batch, fitted, "all")
+
+
+def test_study_over_described_datasets(spark, tmp_path):
+    """Two of the study's datasets, one without a key of its own; detail and summary are written."""
+    from pyspark.sql import functions as F
+
+    from frameclinic.plans.study import run_study
+    from frameclinic.specs import PROFILE_A, STUDY_DATASETS, GridProfile
+
+    def column(name, i):
+        return (F.col("id") * (i + 3) % 97 + F.when(F.col("id") % 2 == 0, 20).otherwise(0)).cast("double").alias(name)
+
+    ids = spark.range(240)
+    heart = ids.select(*[column(c, i) for i, c in enumerate(STUDY_DATASETS["serce"].continuous)], (F.col("id") % 2 + 1).alias("diagnoza"))
+    sugar = ids.select(
+        *[column(c, i) for i, c in enumerate(STUDY_DATASETS["diabetes"].continuous)],
+        F.when(F.col("id") % 2 == 0, "tested_positive").otherwise("tested_negative").alias("decision"),
+    )
+    grid = GridProfile("small", ("raw", "fill"), ("NB",), (20,), (1,), (101,), 2)
+    detail, summary = run_study({"serce": heart, "diabetes": sugar}, PROFILE_A, grid, path=str(tmp_path))
+    assert {(r["dataset"], r["method"]) for r in detail.collect()} == {(d, m) for d in ("serce", "diabetes") for m in ("raw", "fill")}
+    assert spark.read.option("header", True).csv(f"{tmp_path}/detail").count() == detail.count()
+    assert spark.read.option("header", True).csv(f"{tmp_path}/summary").count() == summary.count()
