@@ -33,6 +33,10 @@ ANCHOR = 100
 STRIPS, TOGETHER = 4, 4_000
 #: Rows of one anchor that are held in memory.
 HOLD = 50_000
+#: Rows of one anchor within a step from which on its blocks are dealt out one by one.
+HOT = 32
+#: Rows of anchors: one of many, one of an anchor that is hot in its step, a sign that an anchor is hot elsewhere.
+PLAIN, DEALT, SIGN = 0, 1, 2
 
 
 def _window_extreme(values: np.ndarray, width: int, least: bool) -> np.ndarray:
@@ -101,14 +105,20 @@ def _anchor_rows(width: int):
                 else:
                     found = many(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 for f, block, place, r in found:
+                    each, at, times = np.unique(f, return_inverse=True, return_counts=True)
+                    hot = times[at] >= HOT
+                    signs = each[times >= HOT]
+                    none = np.zeros(len(signs), np.int64)
+                    key = np.where(hot, mix(f ^ mix(block)), f)
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(f.view(np.int64)),
-                            pa.array(block.view(np.int64)),
-                            ids.slice(a, b - a).take(pa.array(r)),
-                            pa.array((marks[a + r] << 32) | place),
+                            pa.array(np.concatenate([key, signs]).view(np.int64)),
+                            pa.array(np.concatenate([block.view(np.int64), none])),
+                            ids.slice(a, b - a).take(pa.array(np.concatenate([r, none]), mask=np.arange(len(r) + len(none)) >= len(r))),
+                            pa.array(np.concatenate([(marks[a + r] << 32) | place, none])),
+                            pa.array(np.concatenate([np.where(hot, DEALT, PLAIN), none + SIGN]).astype(np.int8)),
                         ],
-                        names=["anchor", "block", "doc_id", "spot"],
+                        names=["anchor", "block", "doc_id", "spot", "kind"],
                     )
 
     return run
@@ -120,20 +130,23 @@ _FOUND = "settled boolean, doc_id long, spot long, copies int"
 def _sorted_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by anchor and block: blocks met twice are settled, the other blocks of repeated anchors are not.
 
-    For an anchor with open blocks one row of each settled block comes along to be compared with. Rows of an
-    anchor beyond HOLD are judged in parts; blocks met once in a part stay open, whatever the others hold.
+    For an anchor with open blocks one row of each settled block comes along to be compared with. Rows of an anchor
+    that is hot where they come from are dealt out by their block, so none of them waits for the others: they are
+    open unless their block is settled, and a sign keeps the anchor's other rows open. Rows of an anchor beyond HOLD
+    are judged in parts; blocks met once in a part stay open, whatever the others hold.
     """
 
-    def emit(k, b, ids, s, part: bool):
+    def emit(k, b, ids, s, kind, part: bool):
         n = len(k)
         new_k = np.concatenate([[True], k[1:] != k[:-1]])
         new_b = new_k | np.concatenate([[True], b[1:] != b[:-1]])
         row_k, row_b = np.cumsum(new_k) - 1, np.cumsum(new_b) - 1
         size = np.bincount(row_k)
-        times = np.bincount(row_b)[row_b]
-        opened = (times == 1) & ((size[row_k] > 1) | part)
+        times = np.where(kind == SIGN, 0, np.bincount(row_b)[row_b])
+        sure = (kind == DEALT) | part
+        opened = (times == 1) & ((size[row_k] > 1) | sure)
         has_open = np.bincount(row_k[opened], minlength=len(size)) > 0
-        shown = opened | (new_b & (times > 1) & (has_open[row_k] | part))
+        shown = opened | (new_b & (times > 1) & (has_open[row_k] | sure))
         for rows, settled in ((np.flatnonzero(shown), False), (np.flatnonzero(times > 1), True)):
             yield pa.RecordBatch.from_arrays(
                 [
@@ -151,16 +164,16 @@ def _sorted_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             held = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
         if held is None or not held.num_rows:
             continue
-        k, b, s = (held.column(c).to_numpy() for c in ("anchor", "block", "spot"))
+        k, b, s, kind = (held.column(c).to_numpy() for c in ("anchor", "block", "spot", "kind"))
         ids = held.column("doc_id").combine_chunks()
         cut = len(k) if batch is None else int(np.searchsorted(k, k[-1], "left"))
         first = int(np.searchsorted(k[:cut], k[0], "right")) if cut and part_of == k[0] else 0
         for x, y, part in ((0, first, True), (first, cut, False)):
             if y > x:
-                yield from emit(k[x:y], b[x:y], ids.slice(x, y - x), s[x:y], part)
+                yield from emit(k[x:y], b[x:y], ids.slice(x, y - x), s[x:y], kind[x:y], part)
         if len(k) - cut > HOLD:
             part_of = k[cut]
-            yield from emit(k[cut:], b[cut:], ids.slice(cut), s[cut:], True)
+            yield from emit(k[cut:], b[cut:], ids.slice(cut), s[cut:], kind[cut:], True)
             held = None
         else:
             held = held.slice(cut)
@@ -360,7 +373,7 @@ def remove_repeats(docs: DataFrame, width: int = 200, keep: tuple[str, ...] = ()
     docs = docs.withColumn("__mark", F.hash("__text"))
     read = docs.select("doc_id", F.col("__mark").alias("mark"), F.col("__text").alias("text"))
     found = materialise(
-        read.where(F.octet_length("text") >= width).mapInArrow(_anchor_rows(width), "anchor long, block long, doc_id long, spot long")
+        read.where(F.octet_length("text") >= width).mapInArrow(_anchor_rows(width), "anchor long, block long, doc_id long, spot long, kind byte")
         .repartition("anchor")
         .sortWithinPartitions("anchor", "block")
         .mapInArrow(_sorted_anchors, _FOUND),

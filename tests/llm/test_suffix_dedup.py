@@ -51,14 +51,14 @@ def passages(seed):
     rng = random.Random(seed)
     shared = [" ".join(words(rng, n)) for n in (30, 60, 90, 400)]
     rows = []
-    for i in range(60):
+    for i in range(200):  # enough for anchors that are hot within a step
         parts = [" ".join(words(rng, rng.randrange(80)))]
         for _ in range(rng.randrange(3)):
             piece = rng.choice(shared)
             cut = rng.randrange(len(piece) // 3 + 1)
             parts += [piece[cut:], " ".join(words(rng, rng.randrange(50)))]
         rows.append((i, "é".join(parts)))
-    rows += [(100, "a" * 1000), (101, "b" * 450), (102, "ab" * 150), (103, shared[1]), (104, shared[1]), (105, shared[3] * 2)]
+    rows += [(500, "a" * 1000), (501, "b" * 450), (502, "ab" * 150), (503, shared[1]), (504, shared[1]), (505, shared[3] * 2)]
     return rows
 
 
@@ -89,7 +89,7 @@ def test_long_texts_give_the_same_anchors_as_short_ones():
             [pa.array(range(len(texts)), pa.int64()), pa.array([7] * len(texts), pa.int32()), pa.array(texts, pa.binary())],
             names=["doc_id", "mark", "text"],
         )
-        return pa.Table.from_batches(list(M._anchor_rows(200)([batch]))).to_pylist()
+        return [r for r in pa.Table.from_batches(list(M._anchor_rows(200)([batch]))).to_pylist() if r["kind"] == M.PLAIN]
 
     part = text[1_000_000:1_040_000]
     long = {r["spot"] & 0xFFFFFFFF: (r["anchor"], r["block"]) for r in rows([text])}
@@ -101,8 +101,8 @@ def test_long_texts_give_the_same_anchors_as_short_ones():
 def test_anchors_in_parts_settle_the_same(monkeypatch):
     """Rows of one anchor beyond what is held: settled blocks stay settled or become open, none is lost."""
     rng = random.Random(9)
-    rows = sorted((rng.choice([1, 2, 3, 4]), rng.randrange(40), i, i) for i in range(300))
-    table = pa.Table.from_pylist([dict(zip(("anchor", "block", "doc_id", "spot"), r)) for r in rows])
+    rows = sorted((rng.choice([1, 2, 3, 4]), rng.randrange(40), i, i, 0) for i in range(300))
+    table = pa.Table.from_pylist([dict(zip(("anchor", "block", "doc_id", "spot", "kind"), r)) for r in rows])
 
     def found(chunk):
         return pa.Table.from_batches(list(M._sorted_anchors(iter(table.to_batches(max_chunksize=chunk))))).to_pylist()
@@ -115,3 +115,14 @@ def test_anchors_in_parts_settle_the_same(monkeypatch):
     opened = {r["spot"] for r in parts if not r["settled"]}
     for r in whole:
         assert r["spot"] in settled | opened
+
+
+def test_signs_keep_single_rows_open():
+    names = ("anchor", "block", "doc_id", "spot", "kind")
+    rows = [(1, 0, None, 0, M.SIGN), (1, 5, 10, 11, M.PLAIN), (2, 6, 10, 12, M.PLAIN), (3, 7, 10, 13, M.DEALT),
+            (4, 8, 10, 14, M.DEALT), (4, 8, 11, 15, M.DEALT), (5, 0, None, 0, M.SIGN), (5, 0, None, 0, M.SIGN)]
+    table = pa.Table.from_pylist([dict(zip(names, r)) for r in rows])
+    for chunk in (1, 3, 100):
+        found = pa.Table.from_batches(list(M._sorted_anchors(iter(table.to_batches(max_chunksize=chunk))))).to_pylist()
+        assert {r["spot"] for r in found if not r["settled"]} == {11, 13, 14}
+        assert {r["spot"] for r in found if r["settled"]} == {14, 15}
