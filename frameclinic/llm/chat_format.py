@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from frameclinic.llm.common import tidy
+
 ASSISTANT, END = "assistant", "</turn>"
 #: Characters of examples in one Arrow batch.
 BATCH_CHARS = 4 << 20
@@ -146,7 +148,7 @@ def format_chats(conversations: DataFrame) -> DataFrame:
     after the other while the rows stream by; a task holds one conversation.
     """
     return _sorted(conversations).mapInArrow(
-        _examples, "conv_id long, example long, text string, loss_start long, loss_stop long"
+        tidy(_examples), "conv_id long, example long, text string, loss_start long, loss_stop long"
     )
 
 
@@ -157,6 +159,6 @@ def chat_digests(conversations: DataFrame) -> DataFrame:
     (the unescaped text of all loss spans in order) and formatted_chars (code points of all examples).
     """
     return _sorted(conversations).mapInArrow(
-        _read_back,
+        tidy(_read_back),
         "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long",
     )

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 #: Bytes of Spark's own row format up to which the small side of a join is broadcast.
 BROADCAST_BYTES = 32 << 20
 #: Bytes of text that one numpy step works on.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 19
 
 _rng = np.random.Generator(np.random.PCG64(20))
 _BYTE = _rng.integers(1, 2**64, 256, dtype=np.uint64, endpoint=False)
@@ -36,6 +37,23 @@ def broadcast_checked(df: DataFrame, row_bytes: int, most: int = BROADCAST_BYTES
     return F.broadcast(df) if df.count() * row_bytes <= most else df
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def tidy(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """``run``, giving unused memory back at its end: Spark keeps Python workers for the next task, of whatever stage."""
+
+    def tidied(batches: Batches) -> Batches:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return tidied
+
+
 def binary_values(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a binary Arrow column, without a copy per row; nulls count as empty."""
     if isinstance(array, pa.ChunkedArray):
@@ -65,7 +83,7 @@ def powers(n: int, base: np.uint64) -> np.ndarray:
         have[:] = base
         have[0] = 1
         have = np.multiply.accumulate(have)
-        if n <= 4 * STEP_BYTES:
+        if n <= 2 * STEP_BYTES:
             _powers[base] = have
     return have[:n]
 

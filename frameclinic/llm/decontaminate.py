@@ -18,13 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from frameclinic.llm.common import RollingHash, binary_values, find_words, steps, utf8
+from frameclinic.llm.common import RollingHash, binary_values, find_words, steps, tidy, utf8
 from frameclinic.llm.fm_index import FMIndex
 
 #: Text of test items that one pass over the documents searches for.
 BLOCK_BYTES = 8 << 20
 #: Bytes of documents under one index.
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 
 LETTERS = np.zeros(256, bool)
 LETTERS[0x30:0x3A] = LETTERS[0x61:0x7B] = LETTERS[0x80:] = True
@@ -107,8 +107,8 @@ def _occurrences(data: np.ndarray, offsets: np.ndarray, phrases: Phrases):
     return start, stop, edge, back[index.locate(spot)], phrases.lengths[window], window
 
 
-def _search(columns: list[str], shared):
-    names = [*columns, "n_words", "n_hit", "hit_words", "hit_bytes", "hit_items"]
+def _search(columns: list[str], shared, clean: bool):
+    names = [*columns, "n_words", "n_hit", "hit_words", "hit_bytes", "hit_items"] + ["clean"] * clean
     span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
     def runs(mask: np.ndarray) -> np.ndarray:
@@ -152,25 +152,33 @@ def _search(columns: list[str], shared):
                         {"start": int(start[edge[t] + x]) - begin, "stop": int(stop[edge[t] + y - 1]) - begin}
                         for x, y in own.tolist()
                     ]
+                texts = []
+                for t in range(b - a) if clean else ():
+                    text, at, parts = data[offsets[a + t] : offsets[a + t + 1]].tobytes(), 0, []
+                    for x in spans[t] or ():
+                        parts.append(text[at : x["start"]])
+                        at = x["stop"]
+                    texts.append(b"".join([*parts, text[at:]]))
                 listed = [sorted(items.get(t, set()) | set(items_before[a + t] or ())) for t in range(b - a)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(c).slice(a, b - a) for c in columns]
                     + [
                         pa.array(np.diff(edge), pa.int64()), pa.array(np.diff(count), pa.int64()), pa.array(words, span),
                         pa.array(spans, span), pa.array(listed, pa.list_(pa.string())),
-                    ],
+                    ]
+                    + [pa.array(texts, pa.binary())] * clean,
                     names=names,
                 )
 
     return run
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, keep: tuple[str, ...] = ()) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, keep: tuple[str, ...] = (), clean: bool = False) -> DataFrame:
     """Where the texts of ``docs`` (doc_id, text) repeat ``window`` consecutive words of ``benchmark`` (item_id, text).
 
     Returns, for each row, doc_id, the columns in ``keep``, n_words, n_hit (words inside any occurrence), hit_words
     and hit_bytes (merged stretches as word numbers and as byte offsets; null if none) and hit_items (item numbers as
-    strings, ascending). Words are runs of digits, letters and non-ASCII characters, A to Z lower-cased. An item of
+    strings, ascending); with ``clean`` also the bytes of the text without those stretches. Words are runs of digits, letters and non-ASCII characters, A to Z lower-cased. An item of
     fewer words is one window, one without words or a null text has none; a null item number counts as "". Rows with
     the same item number are one item. Null texts have no words. Repeated documents are judged one by one.
     """
@@ -192,9 +200,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
         part = items.where(F.pmod(F.xxhash64("item", "utf8"), F.lit(blocks)) == block)
         phrases = Phrases.of([(r["item"], bytes(r["utf8"])) for r in part.toLocalIterator()], window)
         shared = docs.sparkSession.sparkContext.broadcast(phrases)
-        out = columns if block == blocks - 1 else [*columns, "__bytes"]
+        last = block == blocks - 1
+        out = columns if last else [*columns, "__bytes"]
         schema = T.StructType([fields.get(c, T.StructField("__bytes", T.BinaryType())) for c in out] + new)
-        now = now.mapInArrow(_search(out, shared), schema)
+        if clean and last:
+            schema.add("clean", T.BinaryType())
+        now = now.mapInArrow(tidy(_search(out, shared, clean and last)), schema)
     return now
 
 
@@ -206,27 +217,6 @@ def with_digest(found: DataFrame) -> DataFrame:
     )
 
 
-def _without(columns: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = binary_values(batch.column("utf8"))
-            texts = []
-            for i, spans in enumerate(batch.column("hit_bytes").to_pylist()):
-                text, at, parts = data[offsets[i] : offsets[i + 1]].tobytes(), 0, []
-                for s in spans or ():
-                    parts.append(text[at : s["start"]])
-                    at = s["stop"]
-                texts.append(b"".join([*parts, text[at:]]))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in columns] + [pa.array(texts, pa.binary())], names=[*columns, "clean"]
-            )
-
-    return run
-
-
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, keep: tuple[str, ...] = ()) -> DataFrame:
     """``docs`` with ``clean``: the bytes of the text without the merged stretches; keeps doc_id and ``keep``."""
-    found = find_contamination(docs.withColumn("__utf8", utf8("text")), benchmark, window, (*keep, "__utf8"))
-    columns = ["doc_id", *keep]
-    schema = T.StructType([*found.select(*columns).schema.fields, T.StructField("clean", T.BinaryType())])
-    return found.withColumnRenamed("__utf8", "utf8").select(*columns, "utf8", "hit_bytes").mapInArrow(_without(columns), schema)
+    return find_contamination(docs, benchmark, window, keep, clean=True).select("doc_id", *keep, "clean")

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from frameclinic.llm.common import tidy
+
 # Elements whose content is no text, elements without content, elements that do not end a block.
 SILENT = "script style noscript template title textarea select option svg math iframe object canvas audio video button head"
 VOID = "area base br col embed hr img input link meta param source track wbr"
@@ -237,4 +239,4 @@ def extract_text(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url")) -
     """
     rows = pages.select(*keep, pages["html"].alias("__html"))
     new = [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]
-    return rows.mapInArrow(_extracted(keep), T.StructType([*rows.select(*keep).schema.fields, *new]))
+    return rows.mapInArrow(tidy(_extracted(keep)), T.StructType([*rows.select(*keep).schema.fields, *new]))

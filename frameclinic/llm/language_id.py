@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from frameclinic.llm.common import binary_values, steps, utf8
+from frameclinic.llm.common import binary_values, steps, tidy, utf8
 from frameclinic.sources.workspace import materialise
 
 GRAM, ROW_BITS = 4, 16
@@ -152,7 +152,7 @@ def learn(docs: DataFrame, per_language: int = 2_000, grams: int = 8_000) -> Fil
     drawn = rows.where(F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1_000_000)) < share * 1_000_000)
     counts = (
         drawn.select(utf8("text").alias("text"), "lang")
-        .mapInArrow(_document_grams, "lang string, gram long, n long")
+        .mapInArrow(tidy(_document_grams), "lang string, gram long, n long")
         .groupBy("lang", "gram")
         .agg(F.sum("n").alias("n"))
     )
@@ -196,7 +196,7 @@ def predict(docs: DataFrame, filters: Filters, keep: tuple[str, ...] = ("doc_id"
     schema = T.StructType(
         [*rows.select(*keep).schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
     )
-    return rows.mapInArrow(_predicted(list(keep), shared), schema)
+    return rows.mapInArrow(tidy(_predicted(list(keep), shared)), schema)
 
 
 def remainder(modulus: int):

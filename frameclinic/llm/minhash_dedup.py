@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from frameclinic.llm.common import RollingHash, binary_values, broadcast_checked, find_words, mix, steps, utf8
+from frameclinic.llm.common import RollingHash, binary_values, broadcast_checked, find_words, mix, steps, tidy, utf8
 from frameclinic.llm.graph import components
 from frameclinic.sources.workspace import materialise
 
@@ -291,7 +291,7 @@ def _set_table(ids: DataFrame, classes: DataFrame, docs: DataFrame, size: int) -
     """(id, hashes) of the classes in ``ids``, made anew from one text of each."""
     wanted = classes.join(ids, "id").select(F.col("doc_id").alias("wanted"))
     texts = docs.join(broadcast_checked(wanted, 32), F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
-    sets = texts.select(utf8("text").alias("text")).mapInArrow(_sets(size), "id long, hashes binary")
+    sets = texts.select(utf8("text").alias("text")).mapInArrow(tidy(_sets(size)), "id long, hashes binary")
     # several rows of one document number, or copies of a text, may come along: one set for each class
     sets = materialise(sets.join(broadcast_checked(ids, 16), "id", "left_semi"), "minhash-sets")
     return sets.groupBy("id").agg(F.any_value("hashes").alias("hashes"))
@@ -303,7 +303,7 @@ def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, per
     near = (
         pairs.join(sig.select(F.col("id").alias("u"), F.col("sig").alias("sig_u")), "u")
         .join(sig.select(F.col("id").alias("v"), F.col("sig").alias("sig_v")), "v")
-        .mapInArrow(_near, "u long, v long")
+        .mapInArrow(tidy(_near), "u long, v long")
     )
     near = materialise(near, "minhash-near")
     ids = near.select(F.col("u").alias("id")).unionByName(near.select(F.col("v").alias("id"))).distinct()
@@ -311,7 +311,7 @@ def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, per
     met = near.join(sets.select(F.col("id").alias("v"), F.col("hashes").alias("set_v")), "v").join(
         sets.select(F.col("id").alias("u"), F.col("hashes").alias("set_u")), "u"
     )
-    return met.select("u", "v", "set_u", "set_v").mapInArrow(_confirmed(percent), "u long, v long")
+    return met.select("u", "v", "set_u", "set_v").mapInArrow(tidy(_confirmed(percent)), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -325,7 +325,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     described = materialise(
         docs.select("doc_id", utf8("text").alias("text")).mapInArrow(
-            _described(size), "doc_id long, n_shingles long, set_id long, sig binary"
+            tidy(_described(size)), "doc_id long, n_shingles long, set_id long, sig binary"
         ),
         "minhash-signatures",
     )
@@ -337,10 +337,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     )
     met = materialise(
         classes.select("id", "sig")
-        .mapInArrow(_keys, "key long, id long")
+        .mapInArrow(tidy(_keys), "key long, id long")
         .repartition("key")
         .sortWithinPartitions("key", "id")
-        .mapInArrow(_met, "kind byte, x long, y long"),
+        .mapInArrow(tidy(_met), "kind byte, x long, y long"),
         "minhash-met",
     )
     pairs = met.where("kind = 0 and x <> y").select(F.col("x").alias("u"), F.col("y").alias("v")).distinct()
@@ -374,7 +374,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
             )
             .repartition("cluster", "p", "q")
             .sortWithinPartitions("cluster", "p", "q")
-            .mapInArrow(_blocks(percent), "u long, v long")
+            .mapInArrow(tidy(_blocks(percent)), "u long, v long")
         )
         links = materialise(links.unionByName(more), "minhash-links")
         roots = materialise(components(links, "minhash-components"), "minhash-roots")

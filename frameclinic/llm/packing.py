@@ -28,14 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from frameclinic.llm.common import binary_values, steps, utf8
+from frameclinic.llm.common import binary_values, steps, tidy, utf8
 
 #: Prices in ids of padding: a further sequence, a cut at a sentence end, a cut inside a sentence.
 SEQUENCE, SENTENCE, INSIDE = 48, 8, 64
 #: At most one sentence end in so many ids is a possible cut; gaps of GRID get cuts inside sentences.
 THIN, GRID = 32, 512
 #: Windows of a block, and texts' words remembered with their ids.
-BLOCK, REMEMBERED = 64, 400_000
+BLOCK, REMEMBERED = 64, 250_000
 #: Bytes of texts whose new words are looked up together.
 STEP_CHARS = 256 << 10
 MARKS = b".,!?;:"
@@ -236,5 +236,5 @@ def pack(
     fields = "doc_id start length ids_crc32 doc_tokens sequence_id offset".split()
     schema = T.StructType([T.StructField(c, T.LongType()) for c in fields] + [T.StructField("ids", T.BinaryType())] * with_ids)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text")).mapInArrow(
-        _packed(length, end_id, with_ids, shared), schema
+        tidy(_packed(length, end_id, with_ids, shared)), schema
     )

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from frameclinic.llm.common import binary_values, broadcast_checked
+from frameclinic.llm.common import binary_values, broadcast_checked, tidy
 from frameclinic.llm.graph import components
 from frameclinic.sources.workspace import materialise
 
@@ -204,7 +204,7 @@ def similar_vectors(vectors: DataFrame, least: float = 0.9) -> DataFrame:
     kind, name = ("<f4", "float") if isinstance(element, T.FloatType) else ("<f8", "double")
     vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{name}>").alias("embedding"))
     shared = vectors.sparkSession.sparkContext.broadcast(choose_pivots(vectors))
-    rows = vectors.mapInArrow(_described(shared, kind), "vec_id long, raw binary, near long")
+    rows = vectors.mapInArrow(tidy(_described(shared, kind)), "vec_id long, raw binary, near long")
     rows = materialise(rows.withColumn("id", F.xxhash64("raw")), "pivot-rows")
     classes = materialise(
         rows.where("raw is not null")
@@ -212,7 +212,7 @@ def similar_vectors(vectors: DataFrame, least: float = 0.9) -> DataFrame:
         .agg(F.count("*").alias("copies"), F.min("vec_id").alias("vec_id"), F.any_value("raw").alias("raw"), F.any_value("near").alias("near")),
         "pivot-classes",
     )
-    listed = materialise(classes.select("id", "raw", "near").mapInArrow(_lists(kind), "key long, id long"), "pivot-lists")
+    listed = materialise(classes.select("id", "raw", "near").mapInArrow(tidy(_lists(kind)), "key long, id long"), "pivot-lists")
     sizes = listed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     sizes = sizes.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     met = listed.join(sizes, "key").withColumn("block", F.pmod(F.hash("id"), F.col("blocks")))
@@ -222,7 +222,7 @@ def similar_vectors(vectors: DataFrame, least: float = 0.9) -> DataFrame:
         met.join(broadcast_checked(classes.select("id", "copies", "raw", "near"), 700), "id")
         .repartition("key", "p", "q")
         .sortWithinPartitions("key", "p", "q")
-        .mapInArrow(_verified(least, kind), "id long, links long, root long")
+        .mapInArrow(tidy(_verified(least, kind)), "id long, links long, root long")
     )
     found = materialise(found, "pivot-links")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from frameclinic.llm.common import RollingHash, binary_values, broadcast_checked, mix, steps, utf8
+from frameclinic.llm.common import RollingHash, binary_values, broadcast_checked, mix, steps, tidy, utf8
 from frameclinic.llm.lyndon import suffix_order
 from frameclinic.sources.workspace import materialise
 
@@ -373,10 +373,10 @@ def remove_repeats(docs: DataFrame, width: int = 200, keep: tuple[str, ...] = ()
     docs = docs.withColumn("__mark", F.hash("__text"))
     read = docs.select("doc_id", F.col("__mark").alias("mark"), F.col("__text").alias("text"))
     found = materialise(
-        read.where(F.octet_length("text") >= width).mapInArrow(_anchor_rows(width), "anchor long, block long, doc_id long, spot long, kind byte")
+        read.where(F.octet_length("text") >= width).mapInArrow(tidy(_anchor_rows(width)), "anchor long, block long, doc_id long, spot long, kind byte")
         .repartition("anchor")
         .sortWithinPartitions("anchor", "block")
-        .mapInArrow(_sorted_anchors, _FOUND),
+        .mapInArrow(tidy(_sorted_anchors), _FOUND),
         "suffix-anchors",
     )
     found = found.withColumn("mark", F.shiftright("spot", 32).cast("int"))
@@ -390,7 +390,7 @@ def remove_repeats(docs: DataFrame, width: int = 200, keep: tuple[str, ...] = ()
     same = F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("its"))
     blocks = read.join(opened, same)
     strips = blocks.select("doc_id", "mark", "text", "places").mapInArrow(
-        _strips(width),
+        tidy(_strips(width)),
         "core long, core_strip int, strip long, doc_id long, mark int, first long, copies int, left binary, right binary",
     )
     strips = materialise(strips, "suffix-strips")
@@ -401,7 +401,7 @@ def remove_repeats(docs: DataFrame, width: int = 200, keep: tuple[str, ...] = ()
         strips.withColumn("part", F.pmod(F.hash("strip"), F.col("parts")))
         .repartition("core", "part")
         .sortWithinPartitions("core", "part", "strip")
-        .mapInArrow(_ordered(width), "window long, doc_id long, mark int, start long, stop long")
+        .mapInArrow(tidy(_ordered(width)), "window long, doc_id long, mark int, start long, stop long")
     )
     ordered = materialise(ordered, "suffix-ordered")
     spans = ordered.where("window is null").drop("window")
@@ -419,4 +419,4 @@ def remove_repeats(docs: DataFrame, width: int = 200, keep: tuple[str, ...] = ()
         + [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")]
         + [T.StructField("kept_bytes", T.BinaryType())]
     )
-    return out.mapInArrow(_cut(columns), schema)
+    return out.mapInArrow(tidy(_cut(columns)), schema)

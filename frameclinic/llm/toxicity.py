@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from frameclinic.llm.common import RollingHash, binary_values, find_words, steps, utf8
+from frameclinic.llm.common import RollingHash, binary_values, find_words, steps, tidy, utf8
 from frameclinic.llm.language_id import Filters
 from frameclinic.llm.language_id import learn as learn_languages
 
@@ -249,4 +249,4 @@ def score_toxicity(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(*keep, utf8("text").alias("__utf8"))
     schema = T.StructType([*rows.select(*keep).schema.fields, T.StructField("score", T.DoubleType())])
-    return rows.mapInArrow(_scored(keep, shared), schema).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return rows.mapInArrow(tidy(_scored(keep, shared)), schema).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from frameclinic.llm.common import tidy
+
 #: Rules that may be broadcast; more would need another place than each task's memory.
 MOST_RULES = 2_000_000
 
@@ -98,4 +100,4 @@ def judge_urls(
 
     rows = pages.select(*keep, pages["url"].alias("__url"))
     fields = [T.StructField(c, T.StringType()) for c in ("host", "path", "rule", "verdict")]
-    return rows.mapInArrow(run, T.StructType([*rows.select(*keep).schema.fields, *fields]))
+    return rows.mapInArrow(tidy(run), T.StructType([*rows.select(*keep).schema.fields, *fields]))
