@@ -132,7 +132,7 @@ def _sorted_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
     For an anchor with open blocks one row of each settled block comes along to be compared with. Rows of an anchor
     that is hot where they come from are dealt out by their block, so none of them waits for the others: they are
-    open unless their block is settled, and a sign keeps the anchor's other rows open. Rows of an anchor beyond HOLD
+    open unless their block is settled, and a sign keeps the anchor's other rows open and shows its settled blocks. Rows of an anchor beyond HOLD
     are judged in parts; blocks met once in a part stay open, whatever the others hold.
     """
 
@@ -145,7 +145,8 @@ def _sorted_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         times = np.where(kind == SIGN, 0, np.bincount(row_b)[row_b])
         sure = (kind == DEALT) | part
         opened = (times == 1) & ((size[row_k] > 1) | sure)
-        has_open = np.bincount(row_k[opened], minlength=len(size)) > 0
+        # a sign says that rows of the anchor lie elsewhere, which may hold the settled blocks too
+        has_open = np.bincount(row_k[opened | (kind == SIGN)], minlength=len(size)) > 0
         shown = opened | (new_b & (times > 1) & (has_open[row_k] | sure))
         for rows, settled in ((np.flatnonzero(shown), False), (np.flatnonzero(times > 1), True)):
             yield pa.RecordBatch.from_arrays(

@@ -126,3 +126,22 @@ def test_signs_keep_single_rows_open():
         found = pa.Table.from_batches(list(M._sorted_anchors(iter(table.to_batches(max_chunksize=chunk))))).to_pylist()
         assert {r["spot"] for r in found if not r["settled"]} == {11, 13, 14}
         assert {r["spot"] for r in found if r["settled"]} == {14, 15}
+
+
+def test_settled_copies_meet_a_copy_dealt_out_elsewhere(spark):
+    """An anchor that is hot in one step: the copy there is dealt out, the two copies of other batches settle each other."""
+    rng = random.Random(4)
+    low = 0
+    while not 60 <= low <= 100:  # every window of the text has the same anchor
+        text = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=260))
+        low = int(np.argmin(M.RollingHash(np.frombuffer(text.encode(), np.uint8)).every(M.ANCHOR)))
+
+    def around(i):
+        return "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=150))
+
+    hot = [(i, around(i) + text[low - 30 : low + 130] + around(i)) for i in range(60)] + [(100, text)]
+    rows = hot + [(101, text), (102, text)] + [(200 + i, "short") for i in range(len(hot) - 2)]
+    slices = spark.sparkContext.parallelize(rows, 2)
+    docs = spark.createDataFrame(slices, "doc_id long, text string")
+    got = M.remove_repeats(docs).where("doc_id between 100 and 102").collect()
+    assert {(r.doc_id, r.n_removed) for r in got} == {(100, 260), (101, 260), (102, 260)}
