@@ -8,8 +8,8 @@ places, so it is enough to compare the neighbourhoods (blocks) of equal anchors.
 their windows at once, and so do blocks that occur twice. The blocks that differ, with one of each repeated one, are
 split by the place of the window's start into four strips. All windows of a strip share a core, so only strips of
 equal core can hold equal windows; the core is one symbol, the bytes left and right of it are one each, and the
-strips of a core are ordered by ``suffix_order``: equal windows stand next to each other there. Cores with very many
-strips are ordered in parts, and windows met in several parts are brought together by their hash.
+strips of a core are ordered by ``suffix_order``: equal windows stand next to each other there. Of cores with very many
+strips one of each kind is ordered, in parts, and windows met in several parts are brought together by their hash.
 """
 
 from __future__ import annotations
@@ -360,6 +360,35 @@ def _cut(columns: list[str]):
     return run
 
 
+def _dealt(strips: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """Strips to order, with ``part`` and ``parts``, and the stretches that equal strips of large cores settle.
+
+    A core with more than TOGETHER strips is ordered by one strip of each kind: the windows of equal strips are all
+    repeated, and where they lie follows from each strip alone. A part thus holds about TOGETHER strips at most.
+    """
+    large = strips.groupBy("core").agg(F.count("*").alias("n")).where(F.col("n") > TOGETHER).select("core")
+    large = materialise(large, "suffix-large")
+    cores = broadcast_checked(large, 24)
+    small = strips.join(cores, "core", "left_anti").withColumn("parts", F.lit(1))
+    crowded = strips.join(cores, "core", "left_semi")
+    one = F.min(F.struct("doc_id", "mark", "first", "left", "right")).alias("one")
+    kinds = crowded.groupBy("core", "core_strip", "strip").agg(one, F.count("*").alias("n"), F.max("copies").alias("copies"))
+    kinds = kinds.withColumn("copies", F.when(F.col("n") > 1, F.greatest("copies", F.lit(2))).otherwise(F.col("copies")).cast("int"))
+    kinds = materialise(kinds.select("core", "core_strip", "strip", "one.*", "copies"), "suffix-kinds")
+    parts = kinds.groupBy("core").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("parts"))
+    kinds = kinds.join(broadcast_checked(parts, 32), "core")
+    order = ["core", "core_strip", "strip", "doc_id", "mark", "first", "copies", "left", "right", "parts"]
+    ordered = small.select(*order).unionByName(kinds.select(*order))
+    ordered = ordered.withColumn("part", F.pmod(F.hash("strip"), F.col("parts")))
+    repeated = kinds.where("copies > 1").select("core", "strip")
+    reach = width - ANCHOR
+    size = F.get(F.array(*[F.lit((reach + 1) * (i + 1) // STRIPS - (reach + 1) * i // STRIPS) for i in range(STRIPS)]), "core_strip")
+    left, right = F.octet_length("left"), F.octet_length("right")
+    last = F.least(left, left + 1 + right - size)
+    whole = crowded.where("copies = 1").join(broadcast_checked(repeated, 32), ["core", "strip"], "left_semi")
+    return ordered, whole.select("doc_id", "mark", F.col("first").alias("start"), (F.col("first") + last + width).alias("stop"))
+
+
 def remove_repeats(docs: DataFrame, width: int = 200, keep: tuple[str, ...] = ()) -> DataFrame:
     """Every row of ``docs`` (doc_id: long, text: string) without the bytes that repeated strings cover.
 
@@ -395,12 +424,9 @@ def remove_repeats(docs: DataFrame, width: int = 200, keep: tuple[str, ...] = ()
         "core long, core_strip int, strip long, doc_id long, mark int, first long, copies int, left binary, right binary",
     )
     strips = materialise(strips, "suffix-strips")
-    large = strips.groupBy("core").agg(F.count("*").alias("n")).where(F.col("n") > TOGETHER)
-    large = large.select("core", F.ceil(F.col("n") / TOGETHER).cast("int").alias("parts"))
-    strips = strips.join(broadcast_checked(large, 32), "core", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    dealt, whole = _dealt(strips, width)
     ordered = (
-        strips.withColumn("part", F.pmod(F.hash("strip"), F.col("parts")))
-        .repartition("core", "part")
+        dealt.repartition("core", "part")
         .sortWithinPartitions("core", "part", "strip")
         .mapInArrow(tidy(_ordered(width)), "window long, doc_id long, mark int, start long, stop long")
     )
@@ -409,7 +435,7 @@ def remove_repeats(docs: DataFrame, width: int = 200, keep: tuple[str, ...] = ()
     windows = ordered.where("window is not null")
     again = windows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
     late = windows.join(again, "window").where("start is not null").drop("window")
-    every = settled.unionByName(spans).unionByName(late)
+    every = settled.unionByName(whole).unionByName(spans).unionByName(late)
     every = every.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
     every = materialise(every.withColumnsRenamed({"doc_id": "__of", "mark": "__its", "spans": "__spans"}), "suffix-spans")
     columns = ["doc_id", *keep]

@@ -145,3 +145,36 @@ def test_settled_copies_meet_a_copy_dealt_out_elsewhere(spark):
     docs = spark.createDataFrame(slices, "doc_id long, text string")
     got = M.remove_repeats(docs).where("doc_id between 100 and 102").collect()
     assert {(r.doc_id, r.n_removed) for r in got} == {(100, 260), (101, 260), (102, 260)}
+
+
+@pytest.mark.parametrize("most", [20, 150])
+def test_equal_strips_of_a_common_core_are_not_gathered(spark, monkeypatch, most):
+    """A passage in very many texts whose surroundings differ: no group to order grows with their number."""
+    rng = random.Random(6)
+    passage = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=330))
+
+    def around():
+        return "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=rng.randrange(40, 90)))
+
+    rows = [(i, around() + passage[rng.randrange(9) :][: rng.randrange(305, 331)] + around()) for i in range(300)] + passages(7)
+    ordered = M._ordered
+
+    def limited(width):
+        def run(batches):
+            met = {}
+
+            def seen():
+                for b in batches:
+                    for group in zip(b.column("core").to_pylist(), b.column("part").to_pylist()):
+                        met[group] = met.get(group, 0) + 1
+                    yield b
+                    if max(met.values(), default=0) > 2 * most + 40:
+                        raise ValueError("too many strips are ordered together")
+
+            yield from ordered(width)(seen())
+
+        return run
+
+    monkeypatch.setattr(M, "TOGETHER", most)
+    monkeypatch.setattr(M, "_ordered", limited)
+    check(spark, rows)
