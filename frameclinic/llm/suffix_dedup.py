@@ -64,7 +64,7 @@ def _anchor_rows(width: int):
     def one(text: np.ndarray):
         """Anchor hash, block hash and place, in pieces of bounded size for very long texts."""
         piece = 1 << 20
-        for begin in range(0, max(1, len(text) - width + 1), piece):
+        for begin in range(0, len(text) - ANCHOR + 1, piece):
             lead = min(begin, width)
             part = text[begin - lead : begin + piece + 2 * width]
             roll = RollingHash(part)

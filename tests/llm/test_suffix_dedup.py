@@ -178,3 +178,15 @@ def test_equal_strips_of_a_common_core_are_not_gathered(spark, monkeypatch, most
     monkeypatch.setattr(M, "TOGETHER", most)
     monkeypatch.setattr(M, "_ordered", limited)
     check(spark, rows)
+
+
+def test_anchors_at_the_end_of_a_long_text(spark):
+    """The text ends shortly after a piece would begin: its last anchors lie in that piece."""
+    rng = np.random.default_rng(1)
+    before, last = 0, 0
+    while last < 1 << 21 or before + 200 >= len(text):  # no earlier anchor reaches the end
+        text = rng.integers(97, 123, (1 << 21) + 150).astype(np.uint8)
+        before, last = M.anchors(M.RollingHash(text).every(M.ANCHOR), 101)[-2:]
+    text = text.tobytes().decode()
+    got = M.remove_repeats(documents(spark, [(1, text), (2, text)])).collect()
+    assert [(r.n_bytes, r.n_removed) for r in got] == [(len(text), len(text))] * 2
