@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frameclinic.llm.common import table
+from frameclinic.llm.common import table, utf8
 from frameclinic.llm.decontaminate import remove_contamination
 from frameclinic.llm.language_id import UNKNOWN, learn, predict, remainder
 from frameclinic.llm.minhash_dedup import near_duplicates
@@ -30,15 +30,32 @@ def identify_language(spark: SparkSession, docs: DataFrame, folder: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, similarity 0.8): that of the least number.
+    """One row of each group of near-duplicates (five-word shingles, similarity 0.8): that of the least number.
 
-    Documents without a word are linked with nothing and stay. A number stands for one document, so rows that repeat a
-    kept number stay together.
+    Rows are judged by their text, so numbers may be missing or repeated: a row without a number stands for a group
+    only if none of it has one, and other texts with a number of the group stay. Rows without a word are linked with
+    nothing and stay.
     """
-    found = near_duplicates(docs, size=5, percent=80)
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
-    kept = docs.join(gone, docs.doc_id.eqNullSafe(gone.gone), "left_anti")
-    return kept.select(*COLUMNS)
+    docs = docs.select(*COLUMNS)
+    key = F.xxhash64(utf8("text"))
+    found = near_duplicates(docs.select(key.alias("doc_id"), "text"), size=5, percent=80)
+    group = found.groupBy(F.col("doc_id").alias("key")).agg(F.max("n_shingles").alias("size"), F.min("component_id").alias("group"))
+    rows = docs.select(key.alias("key"), F.col("doc_id").alias("number")).groupBy("key", "number").agg(F.count("*").alias("n"))
+    rows = materialise(rows.join(group, "key"), "pipeline-groups")
+    first = F.min(F.struct(F.col("number").isNull().alias("none"), "number", "key", "n")).alias("first")
+    chosen = rows.where("size > 0").groupBy("group").agg(first).select("first.key", "first.number", "first.n")
+    wordless = rows.where("size = 0").select("key", "number", F.lit(1).cast("long").alias("n"))
+    chosen = materialise(chosen.unionByName(wordless), "pipeline-chosen")
+
+    def having(some: DataFrame) -> DataFrame:
+        return docs.join(some, (key == some.key) & docs.doc_id.eqNullSafe(some.number), "left_semi")
+
+    kept = having(chosen.where("n = 1"))
+    again = chosen.where("n > 1")
+    if not again.isEmpty():  # rows that repeat both the text and the number
+        one = having(again).groupBy(key.alias("key")).agg(F.min(F.struct(*COLUMNS)).alias("one"))
+        kept = kept.unionByName(one.select("one.*"))
+    return kept
 
 
 def _replaced(docs: DataFrame, column: str) -> DataFrame:

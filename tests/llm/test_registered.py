@@ -68,3 +68,19 @@ def test_cut_characters_are_dropped_and_others_kept(spark):
     rows = [(1, bytearray("ä ok".encode()[1:])), (2, bytearray("ok � é".encode())), (3, bytearray(b"\xc3")), (4, bytearray(b""))]
     docs = spark.createDataFrame(rows, "doc_id long, b binary").selectExpr("*", "'en' lang", "'s' source", "'' text", "0L n_chars")
     assert {r.doc_id: (r.text, r.n_chars) for r in P._replaced(docs, "b").collect()} == {1: (" ok", 3), 2: ("ok � é", 6)}
+
+
+def test_one_row_of_each_group_whatever_its_number(spark):
+    """Null and repeated numbers with different texts: texts of their own stay, each group keeps exactly one row."""
+    import random
+
+    from helpers import documents, words
+
+    rng = random.Random(3)
+    a, b, c, d, e, f = (" ".join(words(rng, 80, 10**5)) for _ in range(6))
+    rows = [(1, a), (None, a), (None, b), (None, c), (None, c), (None, c + " end"), (2, d), (3, d), (3, e), (4, f), (4, f), (4, f + " end"),
+            (5, None), (5, None), (None, " "), (None, " ")]
+    got = P.drop_near_duplicates(spark, documents(spark, rows), FOLDER)
+    assert got.columns == P.COLUMNS
+    short = sorted(((r.doc_id, (r.text or "").removesuffix(" end")) for r in got.collect()), key=str)
+    assert short == sorted([(1, a), (None, b), (None, c), (2, d), (3, e), (4, f), (5, ""), (5, ""), (None, " "), (None, " ")], key=str)
