@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -316,6 +318,21 @@ def repaired_files(spark, folder) -> DataFrame:
     )
 
 
+def repaired_files_all(spark, folder) -> DataFrame:
+    """The same under the suffix of every method that has one, counted by suffix."""
+    path = new_folder(spark, "repaired")
+    dirty = materialise(damage.inject(customers(spark, folder), CUSTOMERS, PROFILE_A, ((20, 1), (60, 5))), "dirty")
+    write_repaired(dirty, CUSTOMERS, path)
+    parts = [
+        read_delimited(spark, f"{path}/{r.suffix}", "|").groupBy("damage_level", "damage_repeat").agg(
+            F.lit(r.suffix).alias("suffix"), F.count("*").alias("n_rows"), F.sum("num__c_acctbal").alias("sum_acctbal"),
+            F.sum("num__c_nationkey").alias("sum_nationkey"),
+        )
+        for r in RECIPES.values() if r.suffix
+    ]
+    return rounded(reduce(DataFrame.unionByName, parts), 2)
+
+
 # -- labels, levels, grids -----------------------------------------------------
 
 
@@ -473,6 +490,27 @@ def nb_cv_auc(spark, folder) -> DataFrame:
     return evaluate.cross_validate_nb(table_, DOCS, NB_METHODS, CV_FOLDS, CV_SEEDS)
 
 
+def nb_grid_fast(spark, folder) -> DataFrame:
+    """Naive Bayes over the whole fast grid: its variants, methods, seeds and folds."""
+    return evaluate.run_grid(labelled_docs(spark, folder), DOCS, PROFILE_A, replace(GRID_FAST, models=("NB",)))
+
+
+def stored_variant_study(spark, folder) -> DataFrame:
+    """The fast grid's variants are stored, listed, resolved and read, and naive Bayes is evaluated on what was read."""
+    path = new_folder(spark, "stored")
+    variants = [(lv, rp) for lv in GRID_FAST.levels for rp in GRID_FAST.damage_repeats]
+    table_ = evaluate.variant_table(labelled_docs(spark, folder), DOCS, PROFILE_A, variants)
+    write_variants(table_, path, "parquet")
+    schema = table_.schema
+    catalog = stored_variants(spark, path, DOCS.name, schema, "parquet")
+    wanted = spark.createDataFrame(
+        [(DOCS.name, lv, rp) for lv, rp in ((0, 0), *variants)], "dataset string, damage_level int, damage_repeat int"
+    )
+    chosen = [(r["damage_level"], r["damage_repeat"]) for r in resolve_variants(wanted, catalog).collect()]
+    back = read_variants(spark, path, chosen, schema, "parquet")
+    return evaluate.cross_validate_nb(back, DOCS, GRID_FAST.methods, GRID_FAST.folds, GRID_FAST.cv_seeds)
+
+
 def nb_study(spark, folder) -> DataFrame:
     """The study's summary with the change against the undamaged table."""
     # Means of two 4-digit runs end in 5 at the fifth digit: six digits avoid rounding ties.
@@ -482,18 +520,15 @@ def nb_study(spark, folder) -> DataFrame:
 
 # -- Spark ML models -----------------------------------------------------------
 
-SMALL_MODELS = {
-    "RF": {"trees": 20, "depth": 5},
-    "MLP": {"hidden": 8, "iterations": 50},
-    "XGBoost": {"rounds": 10, "depth": 3, "step": 0.1, "rows": 0.9, "columns": 0.9},
-}
+# One variant, two methods, one seed and three folds; the models are those of the fast grid.
+MODEL_VARIANTS, MODEL_METHODS, MODEL_SEEDS = ((20, 1),), ("raw", "all"), (101,)
 
 
 def _model_cv(model: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark, folder) -> DataFrame:
-        table_ = evaluate.variant_table(labelled_docs(spark, folder), DOCS, PROFILE_A, [(20, 1)])
+        table_ = evaluate.variant_table(labelled_docs(spark, folder), DOCS, PROFILE_A, MODEL_VARIANTS)
         return evaluate.cross_validate_models(
-            table_, DOCS, ["raw", "all"], [model], CV_FOLDS, [101], SMALL_MODELS
+            table_, DOCS, MODEL_METHODS, [model], CV_FOLDS, MODEL_SEEDS, GRID_FAST.model_params
         )
 
     return run
@@ -501,20 +536,20 @@ def _model_cv(model: str) -> Callable[[SparkSession, str], DataFrame]:
 
 def feature_importance(spark, folder) -> DataFrame:
     docs = materialise(labelled_docs(spark, folder), "docs")
-    ranked = models.feature_importance(docs, "quality", ignore=["doc_id"], trees=20)
+    ranked = models.feature_importance(docs, "quality", ignore=["doc_id"])
     return summary.top_k(ranked, "importance", 5, tie="variable")
 
 
 def holdout_score(spark, folder) -> DataFrame:
     docs = materialise(labelled_docs(spark, folder), "docs")
-    return models.holdout_score(docs, "quality", "doc_id", trees=20)
+    return models.holdout_score(docs, "quality", "doc_id")
 
 
 def model_grid(spark, folder) -> DataFrame:
     """A small grid with two kinds of model, summarised."""
     small = GridProfile(
         name="small", methods=("raw", "remove_fill"), models=("NB", "RF"), levels=(20,), damage_repeats=(1,),
-        cv_seeds=(101,), folds=CV_FOLDS, model_params=SMALL_MODELS,
+        cv_seeds=(101,), folds=CV_FOLDS, model_params=GRID_FAST.model_params,
     )
     return summary.summarise(evaluate.run_grid(labelled_docs(spark, folder), DOCS, PROFILE_A, small))
 
@@ -676,7 +711,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         impute_median, impute_mode, standardise, one_hot, one_hot_long, minmax, dummies, dummies_drop_first,
         repair_by_variant, repaired_files, map_target, labelled_file, text_to_number, grid, resolve_variant,
         stratified_folds, holdout_split, fold_stats, clean_by_fold, nb_scores, auc, auc_of_discounts, roc_points,
-        threshold_metrics, threshold_search, threshold_report, nb_cv_auc, nb_study, feature_importance,
+        threshold_metrics, threshold_search, threshold_report, nb_cv_auc, nb_study, nb_grid_fast, stored_variant_study,
+        repaired_files_all, feature_importance,
         zscore_outliers, winsorise, drop_outlier_rows, impute_mean, robust_scale, distinct_by_group, quantiles_narrowed,
         auc_ranges, roc_ranges, dirty_keyless, stored_variant_grid,
         holdout_score, model_grid, result_summary, baseline_delta, delta_curve, method_model_table, model_list,

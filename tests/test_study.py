@@ -133,3 +133,16 @@ def test_study_over_described_datasets(spark, tmp_path):
     assert {(r["dataset"], r["method"]) for r in detail.collect()} == {(d, m) for d in ("serce", "diabetes") for m in ("raw", "fill")}
     assert spark.read.option("header", True).csv(f"{tmp_path}/detail").count() == detail.count()
     assert spark.read.option("header", True).csv(f"{tmp_path}/summary").count() == summary.count()
+
+
+def test_registered_grids_are_whole(spark):
+    """The fast grid's 6 variants, 5 methods and 2 seeds; stored variants give the same runs; models are the spec's."""
+    from frameclinic.operators import models
+    from registry import queries
+
+    folder = "/root/testdata/sf0.001"
+    whole = sorted(map(tuple, queries.nb_grid_fast(spark, folder).collect()))
+    assert len(whole) == 2 * (1 + 6 * 5)
+    assert sorted(map(tuple, queries.stored_variant_study(spark, folder).collect())) == whole
+    assert {r["suffix"] for r in queries.repaired_files_all(spark, folder).collect()} == {r.suffix for r in queries.RECIPES.values() if r.suffix}
+    assert not hasattr(queries, "SMALL_MODELS") and models.get_estimator("RF", 1, 3, GRID_FAST.model_params).getNumTrees() == 180
