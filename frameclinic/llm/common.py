@@ -19,6 +19,7 @@ _rng = np.random.Generator(np.random.PCG64(20))
 _BYTE = _rng.integers(1, 2**64, 256, dtype=np.uint64, endpoint=False)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
+_ODD = np.uint64(0xD1342543DE82EF95)
 _powers: dict[np.uint64, np.ndarray] = {}
 
 
@@ -112,15 +113,18 @@ class RollingHash:
         return mix((self.sums[width:] - self.sums[:-width]) * self.back[: len(self.sums) - width])
 
 
-def find_words(data: np.ndarray, offsets: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words of the texts that ``offsets`` cut out of ``data``, A to Z counted as a to z.
+def find_words(
+    data: np.ndarray, offsets: np.ndarray, letters: np.ndarray, fold: bool = True
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of the texts that ``offsets`` cut out of ``data``, A to Z counted as a to z unless ``fold`` is off.
 
-    ``letters`` says for each byte whether words are made of it. Returns the lower-cased bytes, the words' starts and
+    ``letters`` says for each byte whether words are made of it. Returns the (lower-cased) bytes, the words' starts and
     stops in them, and for each text the number of words before it (one entry more than texts).
     """
     data = data[offsets[0] : offsets[-1]]
     begin = offsets - offsets[0]
-    data = np.where((data >= 65) & (data <= 90), data | np.uint8(32), data)
+    if fold:
+        data = np.where((data >= 65) & (data <= 90), data | np.uint8(32), data)
     inside = letters[data]
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
@@ -131,3 +135,20 @@ def find_words(data: np.ndarray, offsets: np.ndarray, letters: np.ndarray) -> tu
     last[tails] |= inside[tails]
     start, stop = np.flatnonzero(first), np.flatnonzero(last) + 1
     return data, start, stop, np.searchsorted(start, begin)
+
+
+def hash_runs(code: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of every ``length`` neighbouring words, from the words' own hashes."""
+    n = max(0, len(code) - length + 1)
+    out = np.zeros(n, np.uint64)
+    for j in range(length):
+        out = out * _ODD + code[j : n + j]
+    return mix(out)
+
+
+def slices(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.Array:
+    """Binary column of the given slices of ``data``."""
+    size = stop - start
+    offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    at = np.repeat(start - offsets[:-1], size) + np.arange(offsets[-1])
+    return pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(data[at])])

@@ -109,10 +109,55 @@ f AS (
 SELECT page_id, host, path, rule, coalesce(rule_verdict, 'allow') AS verdict FROM p LEFT JOIN f USING (host, path)
 """
 
+# Windows as lists of words with the least document that starts them; a word goes if such a window covers it.
+OP11 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, w[i:i + 12] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
+f AS (SELECT g, min(doc_id) AS m FROM win GROUP BY g HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM win JOIN f USING (g) WHERE m < doc_id),
+per AS (SELECT doc_id, list(p) AS ps, count(*) AS n FROM gone GROUP BY doc_id),
+word AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (
+  SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS t FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN per USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+# Pieces and words as lists; all phrases of one to three words counted; both cuts of three words compared.
+OP12 = rf"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_lower("text")}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (
+  SELECT lang, unnest(w) AS phrase, 1 AS size FROM w
+  UNION ALL SELECT lang, unnest([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]), 2 FROM w WHERE len(w) > 1
+  UNION ALL SELECT lang, unnest([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)]), 3 FROM w WHERE len(w) > 2),
+f AS (SELECT lang, phrase, size, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE size = 1 GROUP BY lang),
+c AS (SELECT lang, phrase, size, f AS a, string_split(phrase, ' ') AS x FROM f WHERE size > 1 AND f >= 10),
+k AS (
+  SELECT lang, phrase, size, a, x, k, array_to_string(x[:k], ' ') AS lt, array_to_string(x[k + 1:], ' ') AS rt
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM c)),
+s AS (
+  SELECT k.*, l.f AS l, r.f AS r, (1000000::HUGEINT * a * a // (l.f::HUGEINT * r.f))::BIGINT AS score
+  FROM k JOIN f l ON l.lang = k.lang AND l.phrase = lt JOIN f r ON r.lang = k.lang AND r.phrase = rt),
+best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+big AS (
+  SELECT lang, phrase, max(a) AS m FROM (
+    SELECT lang, a, x[1] || ' ' || x[2] AS phrase FROM c WHERE size = 3
+    UNION ALL SELECT lang, a, x[2] || ' ' || x[3] FROM c WHERE size = 3) GROUP BY ALL),
+ranked AS (
+  SELECT b.lang, b.phrase, a, l, r, score, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank
+  FROM best b LEFT JOIN big ON b.lang = big.lang AND b.phrase = big.phrase WHERE m IS NULL OR 100 * m < 50 * a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
+
 ORACLE: dict[str, str] = {
     "op1_minhash_dedup": OP1,
     "op2_decontamination": OP2,
     "op6_chat_formatting": OP6,
     "op8_embedding_dedup": OP8,
     "op9_url_filter": OP9,
+    "op11_substring_dedup": OP11,
+    "op12_collocations": OP12,
 }

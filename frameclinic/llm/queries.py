@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frameclinic.llm.chat_format import chat_digests
+from frameclinic.llm.collocations import mine_collocations
 from frameclinic.llm.common import table
 from frameclinic.llm.decontaminate import find_contamination, with_digest
 from frameclinic.llm.html_extract import extract_text
@@ -16,6 +17,7 @@ from frameclinic.llm.language_id import learn, predict, remainder
 from frameclinic.llm.minhash_dedup import near_duplicates
 from frameclinic.llm.packing import pack
 from frameclinic.llm.pivot_index import similar_vectors
+from frameclinic.llm.substring_trees import remove_shared_passages
 from frameclinic.llm.suffix_dedup import remove_repeats
 from frameclinic.llm.toxicity import fit, score_toxicity
 from frameclinic.llm.url_rules import judge_urls
@@ -86,6 +88,16 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return score_toxicity(docs.withColumn("held_out", held_out), model, ("doc_id", "held_out"))
 
 
+def op11_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return remove_shared_passages(table(spark, folder, "documents"), words=13).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256")
+    )
+
+
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return mine_collocations(table(spark, folder, "documents"), longest=3, least=10, inside=50, most=2000)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -99,5 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_embedding_dedup,
         op9_url_filter,
         op10_toxicity,
+        op11_substring_dedup,
+        op12_collocations,
     )
 }
