@@ -12,6 +12,7 @@ from frameclinic.llm.chat_format import chat_digests
 from frameclinic.llm.collocations import mine_collocations
 from frameclinic.llm.common import table
 from frameclinic.llm.decontaminate import find_contamination, with_digest
+from frameclinic.llm.hard_negatives import mine_hard_negatives
 from frameclinic.llm.html_extract import extract_text
 from frameclinic.llm.language_id import learn, predict, remainder
 from frameclinic.llm.minhash_dedup import near_duplicates
@@ -98,6 +99,12 @@ def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
     return mine_collocations(table(spark, folder, "documents"), longest=3, least=10, inside=50, most=2000)
 
 
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_hard_negatives(vectors, F.col("vec_id") % 50 == 0, label, positives=5, negatives=3, low=50, high=95, scale=256.0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -113,5 +120,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_toxicity,
         op11_substring_dedup,
         op12_collocations,
+        op13_hard_negatives,
     )
 }
