@@ -119,13 +119,6 @@ def assign_folds(
     )
 
 
-def hold_out(df: DataFrame, folds: int) -> DataFrame:
-    """Each row once per held-out fold; ``in_training`` tells its side."""
-    return df.withColumn("held_out", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).withColumn(
-        "in_training", F.col("fold") != F.col("held_out")
-    )
-
-
 def hash_split(df: DataFrame, row_key: str, seed: int, train_percent: int = 80) -> DataFrame:
     """Seeded hold-out split: ``in_training`` by the row's digest."""
     number = F.conv(F.substring(row_digest(F.lit(seed), F.lit("split"), ref(row_key)), 1, 7), 16, 10).cast("long")

@@ -8,7 +8,7 @@ categorical column follows from its value counts per class.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -65,7 +65,15 @@ def fit_gaussian_nb(
         grouped = grouped.join(shown, keys, "left") if keys else grouped.crossJoin(F.broadcast(shown))
     else:
         grouped = grouped.withColumn("shown", F.array().cast("array<struct<value:string,h0:bigint,h1:bigint>>"))
+    return weigh_evidence(grouped, numeric, keys)
 
+
+def weigh_evidence(grouped: DataFrame, numeric: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """The fitted model from each group's moments: ``n0``, ``n1``, ``v<i>``, ``m<k>_<i>``, ``v<k>_<i>`` and ``shown``.
+
+    ``shown`` lists the values of categorical columns (``column=value``) with their rows of each class; NULL is none.
+    """
+    grouped = grouped.withColumn("shown", F.coalesce("shown", F.array().cast("array<struct<value:string,h0:bigint,h1:bigint>>")))
     n0, n1 = F.col("n0").cast("double"), F.col("n1").cast("double")
     order = range(len(numeric))
 
@@ -118,10 +126,11 @@ def fit_gaussian_nb(
 FITTED = ("smoothing", "offset", "offset_strong", "hot", "means0", "means1", "vars0", "vars1")
 
 
-def log_odds(numeric: Sequence[str], categorical: Sequence[str]) -> Column:
+def log_odds(numeric: Sequence[str], categorical: Sequence[str] | Mapping[str, str]) -> Column:
     """Log posterior odds of class 1 for a row joined with its fitted group.
 
-    A category that the training rows did not have adds nothing.
+    A category that the training rows did not have adds nothing. ``categorical`` may map the fitted columns' names to
+    those they have in the row.
     """
     total, strong = F.col("offset"), F.col("offset_strong")
     for i, f in enumerate(numeric):
@@ -129,7 +138,8 @@ def log_odds(numeric: Sequence[str], categorical: Sequence[str]) -> Column:
             ref(f).cast("double"), F.col("means0")[i], F.col("vars0")[i], F.col("means1")[i], F.col("vars1")[i]
         )
     for c in categorical:
-        change = F.try_element_at("hot", _hot_key(c, ref(c)))
+        cell = categorical[c] if isinstance(categorical, Mapping) else c
+        change = F.try_element_at("hot", _hot_key(c, ref(cell)))
         total = total + F.coalesce(change["gain"], F.lit(0.0))
         strong = strong + F.coalesce(change["strong"], F.lit(0))
     return total + F.when(strong == 0, F.lit(0.0)).otherwise(F.try_divide(strong, F.col("smoothing") * 2.0))
@@ -139,7 +149,7 @@ def score_gaussian_nb(
     df: DataFrame,
     fitted: DataFrame,
     numeric: Sequence[str],
-    categorical: Sequence[str] = (),
+    categorical: Sequence[str] | Mapping[str, str] = (),
     keys: Sequence[str] = (),
 ) -> DataFrame:
     """``df`` with ``score``, the probability of class 1; NULL in groups whose training rows have one class only."""

@@ -1,8 +1,9 @@
 """Leak-free cross-validation of cleaning recipes.
 
-Folds are a column: every (variant, seed, held-out fold) is a key group, its
-cleaning statistics come from its training rows only, and one set of jobs fits and
-scores the whole grid for naive Bayes. The other models need one Spark ML fit per
+Folds are a column: every (variant, seed, held-out fold) is a key group whose
+statistics come from the states of the other folds, and one set of jobs fits and
+scores the whole grid for naive Bayes. Rows stand once a seed, and are cleaned once
+a method, under the fold that holds them out. The other models need one Spark ML fit per
 group; those run from a small driver thread pool on shared input.
 """
 
@@ -18,17 +19,19 @@ from pyspark.sql import types as T
 
 from ..functions.columns import nan_to_null, ref, roles_by_type
 from ..functions.levels import level_label
-from ..operators.cleaning import FittedCleaning, fit_cleaning
+from ..operators.cleaning import FittedCleaning
+from ..operators.complements import ComplementFit, fit_complements
 from ..operators.damage import VARIANT, fit_damage
-from ..operators.folds import assign_folds, fold_table, hold_out
+from ..operators.folds import assign_folds, fold_table
 from ..operators.labels import label_table
 from ..operators.metrics import roc_auc
 from ..operators.models import assembled, get_estimator
-from ..operators.naive_bayes import fit_gaussian_nb, score_gaussian_nb
+from ..operators.naive_bayes import score_gaussian_nb
 from ..sources.workspace import materialise, small_table
-from ..specs import DamageProfile, DatasetSpec, GridProfile, recipe
+from ..specs import DamageProfile, DatasetSpec, GridProfile
 
-FOLD_KEYS = (*VARIANT, "cv_repeat", "cv_seed", "held_out")
+RUN_KEYS = (*VARIANT, "cv_repeat", "cv_seed")
+FOLD_KEYS = (*RUN_KEYS, "held_out")
 # Concurrent Spark ML fits.
 FIT_THREADS = 4
 
@@ -54,23 +57,24 @@ def folded_rows(table: DataFrame, spec: DatasetSpec, folds: int, seeds: Sequence
     return assign_folds(table, spec.row_key, spec.target, folds, seeds, cuts)
 
 
-def held_out_rows(
-    table: DataFrame, spec: DatasetSpec, folds: int, seeds: Sequence[int]
-) -> DataFrame:
-    """``table`` once per seed and held-out fold, with ``in_training``."""
-    return hold_out(folded_rows(table, spec, folds, seeds), folds)
+def held_out_rows(folded: DataFrame) -> DataFrame:
+    """``folded`` rows under the fold that holds them out."""
+    return folded.withColumn("held_out", F.col("fold"))
 
 
 def _features(table: DataFrame, spec: DatasetSpec) -> tuple[list[str], list[str]]:
     return roles_by_type(table, exclude=(*spec.kept_out, *VARIANT))
 
 
-def fit_by_fold(rows: DataFrame, table: DataFrame, spec: DatasetSpec, methods: Sequence[str]) -> FittedCleaning:
-    """Cleaning statistics of every key group, from its training rows."""
+def fit_by_fold(folded: DataFrame, table: DataFrame, spec: DatasetSpec, methods: Sequence[str], folds: int) -> ComplementFit:
+    """Cleaning statistics of every key group, from the folds it trains on."""
     numeric, categorical = _features(table, spec)
-    return fit_cleaning(
-        rows.where("in_training"), numeric, categorical, keys=FOLD_KEYS, methods=methods
-    )
+    return fit_complements(folded, numeric, categorical, spec.target, RUN_KEYS, folds, methods)
+
+
+def methods_of(group: tuple, methods: Sequence[str]) -> Sequence[str]:
+    """The undamaged table is only cleaned as ``raw``, if that is among the methods."""
+    return ["raw"] if group[0] == 0 and "raw" in methods else methods
 
 
 def cleaned_by_fold(
@@ -80,11 +84,6 @@ def cleaned_by_fold(
 
     Returns the rows with the names of their numeric and categorical columns.
     """
-    for g in fitted.groups:
-        for c in fitted.categorical:
-            for m in methods:
-                # Raises where the vocabulary is too wide to broadcast.
-                fitted.category_stats[g][c].categories(recipe(m).remove, recipe(m).fill)
     joined, params = fitted.attach(rows, methods)
     numeric = {c: f"x{i}" for i, c in enumerate(fitted.numeric)}
     categorical = {c: f"c{i}" for i, c in enumerate(fitted.categorical)}
@@ -100,7 +99,7 @@ def cleaned_by_fold(
     else:
         chosen = every
     out = joined.select(
-        *FOLD_KEYS, "in_training", ref(spec.row_key), ref(spec.target).alias("label"), F.inline(chosen)
+        *FOLD_KEYS, ref(spec.row_key), ref(spec.target).alias("label"), F.inline(chosen)
     )
     return out, list(numeric.values()), list(categorical.values())
 
@@ -109,12 +108,13 @@ def nb_scores(
     table: DataFrame, spec: DatasetSpec, methods: Sequence[str], folds: int, seeds: Sequence[int]
 ) -> DataFrame:
     """Held-out probability of class 1 for every row, seed and method."""
-    rows = held_out_rows(table, spec, folds, seeds)
-    fitted = fit_by_fold(rows, table, spec, methods)
-    cleaned, numeric, categorical = cleaned_by_fold(rows, fitted, spec, methods)
+    folded = folded_rows(table, spec, folds, seeds)
+    fit = fit_by_fold(folded, table, spec, methods, folds)
+    model = fit.naive_bayes(table.sparkSession, lambda group: methods_of(group, methods))
+    cleaned, numeric, categorical = cleaned_by_fold(held_out_rows(folded), fit.cleaning, spec, methods)
+    categorical = dict(zip(fit.cleaning.categorical, categorical))
     keys = [*FOLD_KEYS, "method"]
-    model = fit_gaussian_nb(cleaned.where("in_training"), numeric, categorical, "label", keys)
-    scored = score_gaussian_nb(cleaned.where("NOT in_training"), model, numeric, categorical, keys)
+    scored = score_gaussian_nb(cleaned, model, numeric, categorical, keys)
     return scored.select(*keys, ref(spec.row_key), "label", "score")
 
 
@@ -165,7 +165,7 @@ def cross_validate_models(
     """
     spark = table.sparkSession
     folded = folded_rows(table, spec, folds, seeds)
-    fitted = fit_by_fold(hold_out(folded, folds), table, spec, methods)
+    fitted = fit_by_fold(folded, table, spec, methods, folds).cleaning
 
     def run(own: DataFrame, group: tuple, method: str) -> list[list]:
         held_out = group[-1]
@@ -201,8 +201,7 @@ def cross_validate_models(
                 .persist()
             )
             mine = [g for g in fitted.groups if (g[0], g[1], cv_seed_of(g)) == (level, repeat, seed)]
-            tried = ["raw"] if level == 0 and "raw" in methods else methods
-            jobs = [pool.submit(run, own, g, m) for g in mine for m in tried]
+            jobs = [pool.submit(run, own, g, m) for g in mine for m in methods_of(g, methods)]
             found += [row for job in jobs for row in job.result()]
             own.unpersist()
     schema = T.StructType(

@@ -410,20 +410,20 @@ def holdout_split(spark, folder) -> DataFrame:
 
 def _orders_by_fold(spark, folder, methods):
     table_ = evaluate.variant_table(orders(spark, folder), ORDERS, PROFILE_A, [(20, 1)])
-    rows = evaluate.held_out_rows(table_, ORDERS, CV_FOLDS, [101])
-    return table_, rows, evaluate.fit_by_fold(rows, table_, ORDERS, methods)
+    folded = evaluate.folded_rows(table_, ORDERS, CV_FOLDS, [101])
+    return folded, evaluate.fit_by_fold(folded, table_, ORDERS, methods, CV_FOLDS).cleaning
 
 
 def fold_stats(spark, folder) -> DataFrame:
     """Outlier bounds learned from the training rows of every fold."""
-    _, _, fitted = _orders_by_fold(spark, folder, ["remove"])
+    _, fitted = _orders_by_fold(spark, folder, ["remove"])
     return rounded(fitted.bounds(spark))
 
 
 def clean_by_fold(spark, folder) -> DataFrame:
     """Held-out rows cleaned with the statistics of their training folds."""
-    _, rows, fitted = _orders_by_fold(spark, folder, ["all"])
-    test = rows.where("NOT in_training")
+    folded, fitted = _orders_by_fold(spark, folder, ["all"])
+    test = evaluate.held_out_rows(folded)
     keep = ["damage_level", "damage_repeat", "cv_seed", "held_out", "o_orderkey"]
     coded = fitted.transform(test, "all", keep=keep)
     return rounded(coded.select(*keep, *[f"`{c}`" for c in coded.columns if c.startswith("num__")]))

@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from frameclinic.operators.damage import VARIANT
 from frameclinic.operators.folds import assign_folds, fold_table
-from frameclinic.plans.evaluate import FOLD_KEYS, fit_by_fold, held_out_rows, variant_table
+from frameclinic.plans.evaluate import FOLD_KEYS, fit_by_fold, folded_rows, variant_table
 from frameclinic.specs import PROFILE_A, DatasetSpec
 
 SPEC = DatasetSpec("t", "y", "id", continuous=("x",))
@@ -48,12 +48,12 @@ def test_held_out_values_do_not_leak(spark):
 
     def statistics(shift):
         table = rows(spark, shift=shift).select(F.lit(0).alias("damage_level"), F.lit(0).alias("damage_repeat"), "*")
-        held = held_out_rows(table, SPEC, 4, [101])
-        return held, fit_by_fold(held, table, SPEC, ["fill_norm"]).numeric_stats
+        folded = folded_rows(table, SPEC, 4, [101])
+        return folded, fit_by_fold(folded, table, SPEC, ["fill_norm"], 4).cleaning.numeric_stats
 
-    held, before = statistics(None)
+    folded, before = statistics(None)
     _, after = statistics(17)
-    own = held.where("id = 17 and not in_training").first()["held_out"]
+    own = folded.where("id = 17").first()["fold"]
     for group in before:
         held_out = dict(zip(FOLD_KEYS, group))["held_out"]
         assert (before[group] == after[group]) == (held_out == own)
