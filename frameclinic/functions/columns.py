@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,6 +52,20 @@ def as_double(column: Column) -> Column:
     return column.try_cast("double")
 
 
+def number(column: Column) -> Column:
+    """Number or NULL; NaN counts as missing."""
+    return F.nanvl(as_double(column), F.lit(None).cast("double"))
+
+
+def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """``left`` with the other columns of ``right`` where all ``keys`` are the same, NULL being the same as NULL."""
+    if not keys:
+        return left.crossJoin(right)  # one row
+    named = right.withColumnsRenamed({k: f"__same_{k}" for k in keys})
+    same = [ref(k).eqNullSafe(ref(f"__same_{k}")) for k in keys]
+    return left.join(named, same, how).drop(*[f"__same_{k}" for k in keys])
+
+
 def whole_div(number: Column, divisor: int) -> Column:
     """Exact integer division (truncating), without going through doubles."""
     return F.call_function("div", number.cast("long"), F.lit(divisor).cast("long"))

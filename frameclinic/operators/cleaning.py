@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import as_double, is_numeric, nan_to_null, ref
+from ..functions.columns import as_double, is_numeric, join_same, nan_to_null, ref
 from ..sources.workspace import broadcast_if_small, small_table
 from ..specs import (
     CATEGORY_FILL,
@@ -32,6 +32,8 @@ from .quantiles import VALUES_PER_TASK, narrowed_quantiles
 
 # Widest one-hot block per column; wider vocabularies need the long form.
 MAX_CATEGORIES = 1_000
+# Statistics, and names of categories among them, that may be broadcast.
+BROADCAST_CELLS = 1_000_000
 # Key groups a fit may have: their statistics are broadcast.
 MAX_GROUPS = 50_000
 # A distinct count is beyond doubt from this many times the limit on, by the estimate's error of a twentieth.
@@ -204,8 +206,10 @@ class FittedCleaning:
         rows = [[*g, *[t[n][0] for n in names]] for g, t in zip(self.groups, tables)]
         wide = small_table(df.sparkSession, rows, schema)
         packed = wide.select(*self.keys, F.struct(*names).alias("fitted"))
-        # One row per key group, at most MAX_GROUPS of them.
-        return df.join(F.broadcast(packed), list(self.keys)), {n: F.col("fitted")[n] for n in names}
+        # One row per key group: broadcast if its cells are few, category names counted one by one.
+        cells = sum(len(v) if isinstance(v, list) else 1 for r in rows for v in r)
+        packed = F.broadcast(packed) if cells <= BROADCAST_CELLS else packed
+        return join_same(df, packed, self.keys), {n: F.col("fitted")[n] for n in names}
 
     def nulled_numeric(self, column: str, params: dict[str, Column]) -> Column:
         """Values strictly outside the bounds become NULL; no bounds, no change."""
@@ -322,7 +326,7 @@ def value_shares(df: DataFrame, categorical: Sequence[str], keys: Sequence[str]
     # Joining by column would put a whole vocabulary in one task.
     totals = broadcast_if_small(present.select(*keys, F.inline(cells)))
     counts = _value_counts(df, keys, categorical)
-    return counts.join(totals, [*keys, "column"]).select(
+    return join_same(counts, totals, [*keys, "column"]).select(
         *keys, "column", "value", "n", "total", (F.col("n") / F.col("total")).alias("share")
     )
 
@@ -441,7 +445,7 @@ def fit_cleaning(
         # vocabularies are gathered only for columns estimated to be narrow.
         frequent = F.col("n") / F.col("total") >= F.lit(float(min_frequency))
         found_rows = (
-            counts.join(F.broadcast(totals), [*keys, "column"])
+            join_same(counts, F.broadcast(totals), [*keys, "column"])
             .groupBy(*keys, "column")
             .agg(
                 F.min(F.struct((-F.col("n")).alias("rank"), F.col("value"))).alias("top"),

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import as_double, nan_to_null, ref
+from ..functions.columns import as_double, join_same, nan_to_null, ref
 from ..sources.workspace import BROADCAST_ROWS, materialise, small_table
 from ..specs import CATEGORY_FILL, IQR_MULTIPLIER, MIN_FREQUENCY, MIN_UNIQUE, RECIPES, recipe
 from .cleaning import MAX_CATEGORIES, CategoryStats, FittedCleaning, NumericStats
@@ -50,15 +50,9 @@ def _moments(row, name: str) -> Moments:
     return (n, row[f"m_{name}"], row[f"v_{name}"]) if n else NOTHING
 
 
-def _same(keys: Sequence[str], prefix: str = "__") -> list[Column]:
-    return [F.col(k).eqNullSafe(F.col(f"{prefix}{k}")) for k in keys]
-
-
 def _joined(df: DataFrame, table: DataFrame, keys: Sequence[str], rows: int) -> DataFrame:
-    """``df`` with the columns of a table of ``rows`` rows, one for each of the ``keys``; keys may be NULL."""
-    named = table.withColumnsRenamed({k: f"__{k}" for k in keys})
-    named = F.broadcast(named) if rows <= BROADCAST_ROWS else named
-    return df.join(named, _same(keys)).drop(*[f"__{k}" for k in keys])
+    """``df`` with the columns of a table of ``rows`` rows, one for each of the ``keys``."""
+    return join_same(df, F.broadcast(table) if rows <= BROADCAST_ROWS or not keys else table, keys)
 
 
 def value_counts_by_fold(cells: DataFrame, ids: Sequence[str], folds: int) -> DataFrame:
@@ -81,8 +75,7 @@ def with_running_counts(counts: DataFrame, ids: Sequence[str], folds: int, cells
     shifts = totals.select(*ids, "piece", *[(F.sum(f"t{f}").over(across) - F.col(f"t{f}")).alias(f"s{f}") for f in each])
     within = Window.partitionBy(*ids, "piece").orderBy("value")
     inside = ranged.select("*", *[(F.sum(f"c{f}").over(within) - F.col(f"c{f}")).alias(f"i{f}") for f in each])
-    shifts = shifts.withColumnsRenamed({k: f"__{k}" for k in (*ids, "piece")})
-    joined = inside.join(shifts, _same([*ids, "piece"]))
+    joined = join_same(inside, shifts, [*ids, "piece"])
     counted = [F.col(f"c{f}") for f in each]
     return materialise(
         joined.select(*ids, "value", *counted, *[(F.col(f"i{f}") + F.col(f"s{f}")).alias(f"b{f}") for f in each]), "running-counts"
@@ -191,9 +184,7 @@ class ComplementFit:
         cleaned = cleaned.where("cleaned is not null").groupBy(*ids, F.concat("column", F.lit("="), "cleaned").alias("value"))
         cleaned = cleaned.agg(F.sum("k0").alias("h0"), F.sum("k1").alias("h1")).groupBy(*ids)
         shown = cleaned.agg(F.sort_array(F.collect_list(F.struct("value", "h0", "h1"))).alias("shown"))
-        shown = shown.withColumnsRenamed({k: f"__{k}" for k in ids})
-        grouped = grouped.join(shown, _same(ids), "left").drop(*[f"__{k}" for k in ids])
-        return weigh_evidence(grouped, numeric, ids)
+        return weigh_evidence(join_same(grouped, shown, ids, "left"), numeric, ids)
 
 
 def fit_complements(
@@ -315,7 +306,7 @@ def _kept_moments(source, keys, key_fields, numeric, folds, stats, states, of_si
             row += [low, high, [max(low), min(high)], [min(low), max(high)]]
         rows.append([*b, *row])
     schema = T.StructType([*key_fields, *[T.StructField(n, T.ArrayType(T.DoubleType())) for n in names]])
-    joined = _joined(source, small_table(spark, rows, schema), keys, len(rows)) if keys else source.crossJoin(F.broadcast(small_table(spark, rows, schema)))
+    joined = _joined(source, small_table(spark, rows, schema), keys, len(rows))
 
     def inside(i: int, which: str) -> Column:
         return (F.col(f"x{i}") >= F.col(f"{which}{i}")[0]) & (F.col(f"x{i}") <= F.col(f"{which}{i}")[1])
@@ -403,7 +394,6 @@ def _vocabulary(source, keys, categorical, folds, sides, class_rows, min_frequen
                 valid=tuple(sorted(r["valid"])) if r else (),
                 vocabulary=(tuple(sorted(r["vocabulary"])) if c in listed else None) if r else (),
             )
-    named = learned.select(*[F.col(k).alias(f"__{k}") for k in ids], "mode", "valid")
-    named = F.broadcast(named) if len(found) <= BROADCAST_ROWS else named
-    joined = by_side.join(named, _same(ids), "left").select(*ids, "value", "k0", "k1", "k2", F.coalesce("valid", F.array().cast("array<string>")).alias("valid"), "mode")
+    named = learned.select(*ids, "mode", "valid")
+    joined = join_same(by_side, F.broadcast(named) if len(found) <= BROADCAST_ROWS else named, ids, "left").select(*ids, "value", "k0", "k1", "k2", F.coalesce("valid", F.array().cast("array<string>")).alias("valid"), "mode")
     return materialise(joined, "side-values"), stats

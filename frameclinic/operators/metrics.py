@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import as_double, ref
+from ..functions.columns import join_same, number, ref
 from ..sources.workspace import broadcast_if_small, materialise
 
 # Distinct scores one task may order.
@@ -18,13 +17,17 @@ THRESHOLD_STEPS = 98
 REPORT_THRESHOLD = 0.01
 
 
+def ranked(score: Column) -> Column:
+    """The score, or minus infinity where there is none (NULL, NaN or no number)."""
+    return F.coalesce(number(score), F.lit(float("-inf")))
+
+
 def score_counts(df: DataFrame, score: str, label: str, keys: Sequence[str] = ()) -> DataFrame:
     """Positives and negatives per distinct score; ties collapse before any ordering.
 
     A score that is missing (NULL, NaN or no number) ranks below all others, as one tie at -infinity.
     """
-    number = F.coalesce(F.nanvl(as_double(ref(score)), F.lit(None)), F.lit(float("-inf")))
-    return df.groupBy(*keys, number.alias("score")).agg(
+    return df.groupBy(*keys, ranked(ref(score)).alias("score")).agg(
         F.count_if(ref(label) == 1).alias("pos"), F.count_if(ref(label) == 0).alias("neg")
     )
 
@@ -52,9 +55,8 @@ def running_sums(
         return counts.select("*", *[(F.sum(v).over(window) - F.col(v)).alias(f"{v}_before") for v in values])
 
     pieces = -(-n // rows_per_task) * 2
-    edges = counts.approxQuantile(order, [i / pieces for i in range(1, pieces)], 0.25 / pieces)
-    splits = [float("-inf"), *sorted(set(edges)), float("inf")]
-    ranged = Bucketizer(splits=splits, inputCol=order, outputCol="piece").transform(counts)
+    ranged = counts.repartitionByRange(pieces, order).withColumn("piece", F.spark_partition_id())
+    ranged = materialise(ranged, "ranges")
     totals = ranged.groupBy(*keys, "piece").agg(*[F.sum(v).alias(v) for v in values])
     # At most one row per key group and piece.
     across = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(direction("piece"))
@@ -63,7 +65,7 @@ def running_sums(
     )
     within = Window.partitionBy(*keys, "piece").orderBy(direction(order))
     inside = ranged.select("*", *[(F.sum(v).over(within) - F.col(v)).alias(f"{v}_inside") for v in values])
-    return inside.join(shifts, [*keys, "piece"]).select(
+    return join_same(inside, shifts, [*keys, "piece"]).select(
         *[ref(c) for c in counts.columns],
         *[(F.col(f"{v}_inside") + F.col(f"{v}_shift")).alias(f"{v}_before") for v in values],
     )
@@ -113,7 +115,7 @@ def roc_points(
         counts, keys, "score", ["pos", "neg"], descending=True, rows_per_task=rows_per_task
     )
     totals = counts.groupBy(*keys).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
-    joined = ordered.join(broadcast_if_small(totals), list(keys)) if keys else ordered.crossJoin(F.broadcast(totals))
+    joined = join_same(ordered, broadcast_if_small(totals), list(keys))
     start = totals.select(
         *keys,
         F.lit(float("inf")).alias("threshold"),
@@ -130,10 +132,11 @@ def roc_points(
 
 
 def thresholds_below(score: Column) -> Column:
-    """How many of the thresholds i/100, i = 1..98, are below ``score``.
+    """How many of the thresholds i/100, i = 1..98, are below ``score``; a missing score is above none.
 
     Compares with the thresholds themselves, so a score equal to one is not above it.
     """
+    score = F.least(F.greatest(ranked(score), F.lit(0.0)), F.lit(1.0))
     near = F.floor(score * 100.0)
     exact = (
         near
@@ -149,7 +152,7 @@ def threshold_metrics(df: DataFrame, score: str, label: str, keys: Sequence[str]
     One pass counts rows per score step (at most 99 per key group); the steps, not
     the rows, are then compared with the thresholds.
     """
-    steps = df.groupBy(*keys, thresholds_below(as_double(ref(score))).alias("above")).agg(
+    steps = df.groupBy(*keys, thresholds_below(ref(score)).alias("above")).agg(
         F.count_if(ref(label) == 1).alias("pos"), F.count_if(ref(label) == 0).alias("neg")
     )
     per_step = steps.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(THRESHOLD_STEPS))))
@@ -189,8 +192,8 @@ def threshold_search(df: DataFrame, score: str, label: str, keys: Sequence[str]
 def threshold_report(
     df: DataFrame, score: str, label: str, keys: Sequence[str] = (), threshold: float = REPORT_THRESHOLD
 ) -> DataFrame:
-    """Precision, recall, F1 and support per class, with accuracy and averages."""
-    said = ref(score) > threshold
+    """Precision, recall, F1 and support per class, with accuracy and averages; a missing score is below the threshold."""
+    said = ranked(ref(score)) > threshold
     y = ref(label)
     zero = F.lit(0.0)
 

@@ -13,8 +13,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import ref
+from ..functions.columns import join_same, ref
+from ..sources.workspace import BROADCAST_ROWS, materialise
 
+# Values of all groups' vocabularies that may be broadcast with their evidence.
+BROADCAST_VALUES = 500_000
 # Fixed value: share of the largest feature variance that is added to every variance.
 VAR_SMOOTHING = 1e-9
 
@@ -41,7 +44,7 @@ def fit_gaussian_nb(
     A one-hot cell that contradicts a class without exception weighs 1 / (2 smoothing),
     some 1e8 times the rest. Such cells are counted (``strong``) instead of added, so
     opposite ones cancel exactly and do not swamp the other evidence.
-    The ``hot`` map holds the vocabulary of the group; cleaning bounds it.
+    The ``hot`` map holds the vocabulary of the group.
     """
     keys, y = list(keys), ref(label)
     parts = []
@@ -62,7 +65,7 @@ def fit_gaussian_nb(
             .groupBy(*keys)
             .agg(F.sort_array(F.collect_list(F.struct("value", "h0", "h1"))).alias("shown"))
         )
-        grouped = grouped.join(shown, keys, "left") if keys else grouped.crossJoin(F.broadcast(shown))
+        grouped = join_same(grouped, shown if keys else F.broadcast(shown), keys, "left")
     else:
         grouped = grouped.withColumn("shown", F.array().cast("array<struct<value:string,h0:bigint,h1:bigint>>"))
     return weigh_evidence(grouped, numeric, keys)
@@ -153,7 +156,9 @@ def score_gaussian_nb(
     keys: Sequence[str] = (),
 ) -> DataFrame:
     """``df`` with ``score``, the probability of class 1; NULL in groups whose training rows have one class only."""
-    # One row per key group of the grid, each with a bounded vocabulary.
-    joined = df.join(F.broadcast(fitted), list(keys), "left") if keys else df.crossJoin(F.broadcast(fitted))
+    fitted = materialise(fitted, "naive-bayes")
+    size = fitted.agg(F.count("*").alias("n"), F.sum(F.size("hot")).alias("values")).first()
+    small = size["n"] <= BROADCAST_ROWS and (size["values"] or 0) <= BROADCAST_VALUES
+    joined = join_same(df, F.broadcast(fitted) if small else fitted, list(keys), "left")
     odds = log_odds(numeric, categorical)
     return joined.withColumn("score", 1.0 / (1.0 + F.exp(-odds))).drop(*FITTED)

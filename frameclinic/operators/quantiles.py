@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import as_double, ref
+from ..functions.columns import number, ref
 from ..sources.workspace import small_table
 
 # Distinct values that one task may hold, over all columns of a group.
@@ -44,7 +44,7 @@ def narrowed_quantiles(
     spark = df.sparkSession
     keys = list(keys)
     cells = F.array(
-        *[F.struct(F.lit(c).alias("column"), as_double(ref(c)).alias("value")) for c in columns]
+        *[F.struct(F.lit(c).alias("column"), number(ref(c)).alias("value")) for c in columns]
     )
     values = df.select(*keys, F.inline(cells)).where(F.col("value").isNotNull())
     ids = [*keys, "column"]
@@ -169,13 +169,13 @@ def exact_quantiles(
 ) -> DataFrame:
     """One row per key group and column: ``column`` and ``quantiles`` (array in prob order).
 
-    A group without any number in a column has NULL quantiles there; cells that are no numbers count as missing.
+    A group without any number in a column has NULL quantiles there; cells that are no numbers, NaN too, count as missing.
 
     The result has (groups x columns) rows; groups are expected to be a reporting
     or grid key, not data-sized.
     """
     keys = list(keys)
-    cells = [F.count(as_double(ref(c))).alias(f"n{i}") for i, c in enumerate(columns)]
+    cells = [F.count(number(ref(c))).alias(f"n{i}") for i, c in enumerate(columns)]
     counts = {
         (*[r[k] for k in keys], c): r[f"n{i}"] for r in df.groupBy(*keys).agg(*cells).collect() for i, c in enumerate(columns)
     }

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import ref
+from ..functions.columns import join_same, number, ref
 from ..functions.levels import MODELS, ORIGINAL, level_order, model_order
 from ..sources.workspace import broadcast_if_small
 from .quantiles import exact_quantiles
@@ -44,7 +44,7 @@ def damaged(summary: DataFrame) -> DataFrame:
 def with_baseline_delta(summary: DataFrame, digits: int = 4) -> DataFrame:
     """Left join with the undamaged score of the same dataset and model."""
     base = baseline(summary).select("dataset", "model", F.col("auc_mean").alias("auc_baseline"))
-    return summary.join(base, ["dataset", "model"], "left").select(
+    return join_same(summary, base, ["dataset", "model"], "left").select(
         *summary.columns,
         "auc_baseline",
         F.round(F.col("auc_mean") - F.col("auc_baseline"), digits).alias("auc_delta"),
@@ -76,7 +76,7 @@ def boxplot_stats(df: DataFrame, group: str, value: str) -> DataFrame:
         F.col("quantiles")[2].alias("q3"),
     )
     joined = _beyond_whiskers(df, group, value, quartiles)
-    v, beyond = ref(value).cast("double"), F.col("beyond")
+    v, beyond = number(ref(value)), F.col("beyond")
     return joined.groupBy(group, "q1", "median", "q3").agg(
         F.least(F.col("q1"), F.min(F.when(~beyond, v))).alias("whisker_low"),
         F.greatest(F.col("q3"), F.max(F.when(~beyond, v))).alias("whisker_high"),
@@ -86,9 +86,9 @@ def boxplot_stats(df: DataFrame, group: str, value: str) -> DataFrame:
 
 
 def _beyond_whiskers(df: DataFrame, group: str, value: str, quartiles: DataFrame) -> DataFrame:
-    v, reach = ref(value).cast("double"), 1.5 * (F.col("q3") - F.col("q1"))
+    v, reach = number(ref(value)), 1.5 * (F.col("q3") - F.col("q1"))
     beyond = (v < F.col("q1") - reach) | (v > F.col("q3") + reach)
-    return df.select(group, value).join(broadcast_if_small(quartiles), group).withColumn("beyond", beyond)
+    return join_same(df.select(group, value), broadcast_if_small(quartiles), [group]).withColumn("beyond", beyond)
 
 
 def boxplot_outliers(df: DataFrame, group: str, value: str) -> DataFrame:

@@ -400,6 +400,15 @@ RANKED = """r AS (SELECT o_orderpriority, CASE WHEN o_orderkey % 9 <> 0 THEN o_t
     AS score, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS label FROM orders)"""
 
 
+_MISSING = "CASE WHEN l_orderkey % 5 = 0 OR l_orderkey % 7 = 0 THEN {} ELSE {} END"
+#: Missing scores rank below all others; keys may be NULL.
+GAPS = f"""SELECT CASE WHEN l_suppkey % 4 <> 0 THEN l_returnflag END AS flag,
+    {_MISSING.format("CAST('-infinity' AS DOUBLE)", "l_quantity / 50.0")} AS score,
+    {_MISSING.format("NULL", "l_quantity / 50.0")} AS number, {_MISSING.format("NULL", "l_extendedprice")} AS price,
+    CASE WHEN l_partkey % 6 <> 0 THEN l_linestatus END AS status,
+    CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END AS label FROM lineitem"""
+
+
 def thresholds(source: str, keys: list[str]) -> str:
     """CTE ``steps``: recalls and accuracy of thresholds 0.01 .. 0.98."""
     k = f"{', '.join(keys)}, " if keys else ""
@@ -412,7 +421,7 @@ def thresholds(source: str, keys: list[str]) -> str:
       abs(coalesce(r0, 0) - coalesce(r1, 0)) AS diff FROM tried)"""
 
 
-def threshold_report() -> str:
+def threshold_report(source: str = DISCOUNT_SCORES, key: str = "l_linestatus") -> str:
     lines = {
         "0": ("p0", "rc0", "f0", "s0"), "1": ("p1", "rc1", "f1", "s1"),
         "accuracy": ("NULL", "NULL", "acc", "s0 + s1"),
@@ -423,14 +432,14 @@ def threshold_report() -> str:
         ),
     }
     union = " UNION ALL ".join(
-        f"SELECT l_linestatus, '{n}' AS class, {r6(f'CAST({a} AS DOUBLE)')} AS precision, "
+        f"SELECT {key}, '{n}' AS class, {r6(f'CAST({a} AS DOUBLE)')} AS precision, "
         f"{r6(f'CAST({b} AS DOUBLE)')} AS recall, {r6(c)} AS f1, {d} AS support FROM rated"
         for n, (a, b, c, d) in lines.items()
     )
-    return f"""WITH c AS (SELECT l_linestatus, count(*) FILTER (WHERE label = 1 AND score > 0.5) AS tp,
+    return f"""WITH c AS (SELECT {key}, count(*) FILTER (WHERE label = 1 AND score > 0.5) AS tp,
       count(*) FILTER (WHERE label = 0 AND score > 0.5) AS fp, count(*) FILTER (WHERE label = 1 AND score <= 0.5) AS fn,
-      count(*) FILTER (WHERE label = 0 AND score <= 0.5) AS tn FROM ({DISCOUNT_SCORES}) GROUP BY l_linestatus),
-    rated AS (SELECT l_linestatus, tn + fp AS s0, tp + fn AS s1,
+      count(*) FILTER (WHERE label = 0 AND score <= 0.5) AS tn FROM ({source}) GROUP BY {key}),
+    rated AS (SELECT {key}, tn + fp AS s0, tp + fn AS s1,
       coalesce(tn / nullif(tn + fn, 0)::DOUBLE, 0) AS p0, coalesce(tp / nullif(tp + fp, 0)::DOUBLE, 0) AS p1,
       coalesce(tn / nullif(tn + fp, 0)::DOUBLE, 0) AS rc0, coalesce(tp / nullif(tp + fn, 0)::DOUBLE, 0) AS rc1,
       coalesce(2 * tn / nullif(2 * tn + fn + fp, 0)::DOUBLE, 0) AS f0,
@@ -646,4 +655,55 @@ ORACLE: dict[str, str] = {
     "result_files": f"WITH {RUNS} SELECT * FROM summed",
     "keyed_rows": "SELECT count(*) AS n_rows, count(*) AS n_keys FROM lineitem",
 }
+_AUC_GAPS = f"WITH g AS ({GAPS}) SELECT flag, n_pos, n_neg, {r6('auc')} AS auc FROM ({auc_sql('g', ['flag'])})"
+_BOX_GAPS = """q AS (SELECT flag, quantile_cont(price, 0.25) AS q1, quantile_cont(price, 0.5) AS median,
+    quantile_cont(price, 0.75) AS q3 FROM g GROUP BY flag)"""
+ORACLE.update({
+    "auc_gaps": _AUC_GAPS,
+    "auc_gaps_ranges": _AUC_GAPS,
+    "roc_gaps": f"""WITH g AS ({GAPS}), s AS (SELECT flag, score AS threshold, count(*) FILTER (WHERE label = 1) AS pos,
+        count(*) FILTER (WHERE label = 0) AS neg FROM g GROUP BY ALL)
+        SELECT flag, {r6('threshold')} AS threshold,
+        {r6('sum(neg) OVER (PARTITION BY flag ORDER BY threshold DESC) / CAST(sum(neg) OVER (PARTITION BY flag) AS DOUBLE)')} AS fpr,
+        {r6('sum(pos) OVER (PARTITION BY flag ORDER BY threshold DESC) / CAST(sum(pos) OVER (PARTITION BY flag) AS DOUBLE)')} AS tpr
+        FROM s UNION ALL SELECT flag, CAST('infinity' AS DOUBLE), CASE WHEN sum(neg) > 0 THEN 0.0 END,
+        CASE WHEN sum(pos) > 0 THEN 0.0 END FROM s GROUP BY flag""",
+    "threshold_metrics_gaps": f"""WITH g AS ({GAPS}), {thresholds('g', ['flag'])} SELECT flag, step,
+        {r6('threshold')} AS threshold, {r6('recall0')} AS recall0, {r6('recall1')} AS recall1,
+        {r6('accuracy')} AS accuracy, {r6('diff')} AS diff FROM steps""",
+    "threshold_search_gaps": f"""WITH g AS ({GAPS}), {thresholds('g', ['flag'])},
+        best AS (SELECT *, row_number() OVER (PARTITION BY flag ORDER BY diff, step) AS place FROM steps)
+        SELECT flag, CASE WHEN diff < 1 THEN {r6('threshold')} ELSE 0.0 END AS threshold,
+        CASE WHEN diff < 1 THEN {r6('recall0')} ELSE 0.0 END AS recall0,
+        CASE WHEN diff < 1 THEN {r6('recall1')} ELSE 0.0 END AS recall1,
+        CASE WHEN diff < 1 THEN {r6('accuracy')} ELSE 0.0 END AS accuracy FROM best WHERE place = 1""",
+    "threshold_report_gaps": threshold_report(GAPS, "flag"),
+    "quantiles_gaps": " UNION ALL ".join(
+        f"SELECT flag, '{name}' AS \"column\", " + ", ".join(f"{r6(f'quantile_cont({c}, {p})')} AS {n}" for n, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75)))
+        + f" FROM ({GAPS}) GROUP BY flag"
+        for name, c in (("price", "price"), ("score", "number"))
+    ),
+    "boxplot_gaps": f"""WITH g AS ({GAPS}), {_BOX_GAPS}, marked AS (SELECT g.flag, price, q1, median, q3,
+          price < q1 - 1.5 * (q3 - q1) OR price > q3 + 1.5 * (q3 - q1) AS beyond
+          FROM g JOIN q ON g.flag IS NOT DISTINCT FROM q.flag)
+        SELECT flag, {r6('q1')} AS q1, {r6('median')} AS median, {r6('q3')} AS q3,
+        {r6('least(q1, min(price) FILTER (WHERE NOT beyond))')} AS whisker_low,
+        {r6('greatest(q3, max(price) FILTER (WHERE NOT beyond))')} AS whisker_high,
+        count(*) FILTER (WHERE beyond) AS n_outliers, count(price) AS n FROM marked GROUP BY flag, q1, median, q3""",
+    "relative_frequency_gaps": f"""WITH g AS ({GAPS}) SELECT flag, 'status' AS "column", status AS value, count(*) AS n,
+        CAST(sum(count(*)) OVER (PARTITION BY flag) AS BIGINT) AS total,
+        {r6('count(*) / CAST(sum(count(*)) OVER (PARTITION BY flag) AS DOUBLE)')} AS share
+        FROM g WHERE status IS NOT NULL GROUP BY flag, status""",
+    "clean_gaps": f"""WITH g AS ({GAPS}), {_BOX_GAPS},
+        k AS (SELECT g.flag, status, CASE WHEN price >= q1 - 0.5 * (q3 - q1) AND price <= q3 + 0.5 * (q3 - q1) THEN price END AS price
+          FROM g JOIN q ON g.flag IS NOT DISTINCT FROM q.flag),
+        m AS (SELECT flag, median(price) AS middle FROM k GROUP BY flag),
+        c AS (SELECT flag, status, row_number() OVER (PARTITION BY flag ORDER BY count(*) DESC, status) AS place
+          FROM g WHERE status IS NOT NULL GROUP BY flag, status),
+        f AS (SELECT k.flag, coalesce(k.status, c.status) AS status, coalesce(price, middle) AS price FROM k
+          JOIN m ON k.flag IS NOT DISTINCT FROM m.flag JOIN c ON k.flag IS NOT DISTINCT FROM c.flag AND place = 1)
+        SELECT flag, status, count(*) AS n, {r6('sum(price)', 2)} AS total FROM f GROUP BY flag, status""",
+    "baseline_gaps": f"""WITH {RUNS.replace("l_returnflag AS dataset", "CASE WHEN l_returnflag <> 'R' THEN l_returnflag END AS dataset")}
+        {delta_sql('summed', 5).replace('ON s.dataset = b.dataset', 'ON s.dataset IS NOT DISTINCT FROM b.dataset')}""",
+})
 ORACLE.update({f"clean_{m}": order_matrix(m) for m in METHODS})

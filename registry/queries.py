@@ -673,6 +673,71 @@ def roc_ranges(spark, folder) -> DataFrame:
     return rounded(metrics.roc_points(_ranked_orders(spark, folder), "score", "label", rows_per_task=300))
 
 
+def _gaps(spark, folder) -> DataFrame:
+    """Order lines with a key that is NULL for a quarter, and a score and value that are missing or NaN for some."""
+    score = F.when(F.col("l_orderkey") % 5 == 0, F.lit(None)).when(F.col("l_orderkey") % 7 == 0, F.lit(float("nan")))
+    return table(spark, folder, "lineitem").select(
+        F.when(F.col("l_suppkey") % 4 != 0, F.col("l_returnflag")).alias("flag"),
+        score.otherwise(F.col("l_quantity") / 50.0).alias("score"),
+        score.otherwise(F.col("l_extendedprice")).alias("price"),
+        F.when(F.col("l_partkey") % 6 != 0, F.col("l_linestatus")).alias("status"),
+        F.when(F.col("l_linestatus") == "O", 1).otherwise(0).alias("label"),
+    )
+
+
+def auc_gaps(spark, folder) -> DataFrame:
+    return rounded(metrics.roc_auc(_gaps(spark, folder), "score", "label", ["flag"]))
+
+
+def auc_gaps_ranges(spark, folder) -> DataFrame:
+    """The same with five scores to a task."""
+    return rounded(metrics.roc_auc(_gaps(spark, folder), "score", "label", ["flag"], rows_per_task=5))
+
+
+def roc_gaps(spark, folder) -> DataFrame:
+    return rounded(metrics.roc_points(_gaps(spark, folder), "score", "label", ["flag"], rows_per_task=5))
+
+
+def threshold_metrics_gaps(spark, folder) -> DataFrame:
+    return rounded(metrics.threshold_metrics(_gaps(spark, folder), "score", "label", ["flag"]))
+
+
+def threshold_search_gaps(spark, folder) -> DataFrame:
+    return rounded(metrics.threshold_search(_gaps(spark, folder), "score", "label", ["flag"]))
+
+
+def threshold_report_gaps(spark, folder) -> DataFrame:
+    return rounded(metrics.threshold_report(_gaps(spark, folder), "score", "label", ["flag"], 0.5))
+
+
+def quantiles_gaps(spark, folder) -> DataFrame:
+    q = F.col("quantiles")
+    found = exact_quantiles(_gaps(spark, folder), ["price", "score"], [0.25, 0.5, 0.75], ["flag"])
+    return rounded(found.select("flag", "column", q[0].alias("q1"), q[1].alias("median"), q[2].alias("q3")))
+
+
+def boxplot_gaps(spark, folder) -> DataFrame:
+    return rounded(summary.boxplot_stats(_gaps(spark, folder), "flag", "price"))
+
+
+def relative_frequency_gaps(spark, folder) -> DataFrame:
+    return rounded(value_shares(_gaps(spark, folder), ["status"], ["flag"]))
+
+
+def clean_gaps(spark, folder) -> DataFrame:
+    """Outlier removal, median and mode per NULL or other key, and what comes of it."""
+    rows = _gaps(spark, folder).select("flag", "price", "status")
+    fitted = fit_cleaning(rows, ["price"], ["status"], keys=["flag"], methods=["remove_fill"], iqr_multiplier=0.5)
+    cleaned = fitted.clean(rows, "remove_fill")
+    return rounded(cleaned.groupBy("flag", "status").agg(F.count("*").alias("n"), F.round(F.sum("price"), 2).alias("total")), 2)
+
+
+def baseline_gaps(spark, folder) -> DataFrame:
+    """Results without a dataset's name have their own baseline."""
+    runs = _runs(spark, folder).withColumn("dataset", F.when(F.col("dataset") != "R", F.col("dataset")))
+    return summary.with_baseline_delta(summary.summarise(runs, digits=6), digits=5)
+
+
 def dirty_keyless(spark, folder) -> DataFrame:
     """Line items have no key: the content key makes one, and each column loses exactly its share."""
     rows = damage.with_content_key(
@@ -714,7 +779,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         threshold_metrics, threshold_search, threshold_report, nb_cv_auc, nb_study, nb_grid_fast, stored_variant_study,
         repaired_files_all, feature_importance,
         zscore_outliers, winsorise, drop_outlier_rows, impute_mean, robust_scale, distinct_by_group, quantiles_narrowed,
-        auc_ranges, roc_ranges, dirty_keyless, stored_variant_grid,
+        auc_ranges, roc_ranges, auc_gaps, auc_gaps_ranges, roc_gaps, threshold_metrics_gaps, threshold_search_gaps,
+        threshold_report_gaps, quantiles_gaps, boxplot_gaps, relative_frequency_gaps, clean_gaps, baseline_gaps, dirty_keyless, stored_variant_grid,
         holdout_score, model_grid, result_summary, baseline_delta, delta_curve, method_model_table, model_list,
         level_list, distinct_values, top_orders, boxplot_stats, boxplot_outliers, result_files, keyed_rows,
     )

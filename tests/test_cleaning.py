@@ -4,7 +4,8 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from frameclinic.operators.cleaning import MAX_CATEGORIES, fit_cleaning
+from frameclinic.operators.cleaning import MAX_CATEGORIES, fit_cleaning, value_shares
+from frameclinic.operators.summary import boxplot_stats
 from frameclinic.plans.repair import repair
 from frameclinic.specs import RECIPES, recipe
 
@@ -127,3 +128,22 @@ def test_text_that_is_no_number_counts_as_missing(spark):
     df = spark.createDataFrame([("1",), ("2",), ("x",), (None,), ("6",)], "v string")
     fitted = fit_cleaning(df, ["v"], [], methods=["fill"])
     assert [r["v"] for r in fitted.clean(df, "fill").collect()] == [1.0, 2.0, 2.0, 2.0, 6.0]
+
+
+def test_null_keys_and_nan(spark):
+    """A NULL key is a group like any other: fitted, attached and cleaned."""
+    rows = [(None if i % 3 else "a", float("nan") if i % 10 == 0 else float(i), None if i % 7 == 0 else "xy"[i % 2]) for i in range(60)]
+    df = spark.createDataFrame(rows, "k string, v double, kind string")
+    fitted = fit_cleaning(df, ["v"], ["kind"], keys=["k"], methods=["all"])
+    assert set(fitted.groups) == {(None,), ("a",)}
+    assert fitted.clean(df, "all").count() == 60 and fitted.clean(df, "all").where("v is null or kind is null").count() == 0
+    only = fit_cleaning(df, [], ["kind"], keys=["k"], methods=["fill"]).clean(df, "fill")
+    assert only.count() == 60 and only.where("k is null").count() == 40
+    shares = value_shares(df, ["kind"], ["k"])
+    assert shares.where("k is null").agg({"share": "sum"}).first()[0] == 1.0
+
+
+def test_nan_is_no_value_to_quantiles_and_box_plots(spark):
+    df = spark.createDataFrame([("g", float(i)) for i in range(9)] + [("g", float("nan"))], "g string, v double")
+    box = boxplot_stats(df, "g", "v").first()
+    assert (box["median"], box["n_outliers"], box["n"]) == (4.0, 0, 9)

@@ -101,3 +101,31 @@ def test_missing_scores_rank_below_all(spark, rows_per_task):
     assert found == want
     none = roc_auc(df.selectExpr("label", "cast(null as double) as score"), "score", "label").first()
     assert none["auc"] is None and none["n_pos"] == int((frame.label == 1).sum())
+
+
+def gaps(spark):
+    """NULL keys, NULL and NaN scores, a key without any score."""
+    rows = [(None, 1, 0.9), (None, 0, 0.2), (None, 1, None), (None, 0, float("nan")), ("a", 1, 0.4), ("a", 0, 0.4), ("a", 1, 0.8),
+            ("a", 0, None), ("b", 1, None), ("b", 0, float("nan"))]
+    return spark.createDataFrame(rows * 3, "k string, label int, score double")
+
+
+def test_null_keys_stay_at_every_size(spark):
+    df = gaps(spark)
+    for f in (roc_auc, roc_points):
+        few, many = (sorted(map(str, f(df, "score", "label", ["k"], rows_per_task=n).collect())) for n in (5, 2_000_000))
+        assert few == many and any("k=None" in r for r in few)
+    found = {r["k"]: r["auc"] for r in roc_auc(df, "score", "label", ["k"], rows_per_task=1).collect()}
+    assert found == {None: pytest.approx(0.625), "a": pytest.approx(0.875), "b": None}
+
+
+def test_missing_scores_are_below_every_threshold(spark):
+    df = gaps(spark)
+    lines = {(r["k"], r["class"]): r for r in threshold_report(df, "score", "label", ["k"], 0.01).collect()}
+    assert all(lines[k, "accuracy"]["support"] == n for k, n in ((None, 12), ("a", 12), ("b", 6)))
+    assert lines[None, "1"]["recall"] == 0.5 and lines[None, "0"]["recall"] == 0.5 and lines["b", "1"]["recall"] == 0.0
+    steps = {(r["k"], r["step"]): r for r in threshold_metrics(df, "score", "label", ["k"]).collect()}
+    assert steps["b", 1]["recall1"] == 0.0 and steps["b", 98]["recall0"] == 1.0
+    assert len(steps) == 3 * 98 and steps[None, 1]["recall1"] == 0.5
+    odd = spark.createDataFrame([(float("inf"),), (float("-inf"),), (1e300,), (-5.0,), (None,)], "s double")
+    assert [r[0] for r in odd.select(thresholds_below(F.col("s"))).collect()] == [98, 0, 98, 0, 0]
