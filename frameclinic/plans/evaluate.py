@@ -2,8 +2,9 @@
 
 Folds are a column: every (variant, seed, held-out fold) is a key group whose
 statistics come from the states of the other folds, and one set of jobs fits and
-scores the whole grid for naive Bayes. Rows stand once a seed, and are cleaned once
-a method, under the fold that holds them out. The other models need one Spark ML fit per
+scores the whole grid for naive Bayes; perceptrons and boosted trees of all groups
+are trained side by side in the same jobs. Rows stand once a seed, and are cleaned once
+a method, under the fold that holds them out. Forests need one Spark ML fit per
 group; those run from a small driver thread pool on shared input.
 """
 
@@ -11,22 +12,25 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import nan_to_null, ref, roles_by_type
+from ..functions.columns import join_same, nan_to_null, ref, roles_by_type
 from ..functions.levels import level_label
 from ..operators.cleaning import FittedCleaning
 from ..operators.complements import ComplementFit, fit_complements
 from ..operators.damage import VARIANT, fit_damage
 from ..operators.folds import assign_folds, fold_table
 from ..operators.labels import label_table
+from ..operators.boosting import fit_boosters, score_boosters
 from ..operators.metrics import roc_auc
-from ..operators.models import assembled, get_estimator
+from ..operators.models import BINS, assembled, get_estimator
 from ..operators.naive_bayes import score_gaussian_nb
+from ..operators.perceptron import fit_perceptrons, score_perceptrons
 from ..sources.workspace import materialise, small_table
 from ..specs import DamageProfile, DatasetSpec, GridProfile
 
@@ -34,6 +38,8 @@ RUN_KEYS = (*VARIANT, "cv_repeat", "cv_seed")
 FOLD_KEYS = (*RUN_KEYS, "held_out")
 # Concurrent Spark ML fits.
 FIT_THREADS = 4
+# Models that are trained in the same jobs.
+MODELS_TOGETHER = 64
 
 
 def variant_table(
@@ -149,6 +155,60 @@ def cv_seed_of(group: tuple) -> int:
     return group[FOLD_KEYS.index("cv_seed")]
 
 
+def _feature_rows(folded: DataFrame, fit: ComplementFit, spec: DatasetSpec, method: str, numbers: dict[tuple, int]) -> DataFrame:
+    """model, in_training, label, digest and features of every row for each side it is trained or scored on.
+
+    Each side cleans a row in its own way, so features differ from side to side; they are made in place, without a shuffle.
+    """
+    held = small_table(folded.sparkSession, [[h] for h in range(fit.folds)], T.StructType([T.StructField("held_out", T.IntegerType())]))
+    rows = folded.crossJoin(F.broadcast(held)).withColumn("__label", ref(spec.target)).withColumn("__key", ref(spec.row_key))
+    keep = [*FOLD_KEYS, "fold", "__label", "__key"]
+    matrix = fit.cleaning.transform(rows, method, keep=keep)
+    features = [F.coalesce(ref(c).cast("double"), F.lit(0.0)) for c in matrix.columns if c not in keep]
+    schema = T.StructType([*matrix.select(*FOLD_KEYS).schema.fields, T.StructField("model", T.IntegerType())])
+    table = small_table(folded.sparkSession, [[*k[:-1], n] for k, n in numbers.items() if k[-1] == method], schema)
+    return join_same(matrix, F.broadcast(table), FOLD_KEYS).select(
+        "model",
+        (F.col("fold") != F.col("held_out")).alias("in_training"),
+        F.col("__label").cast("int").alias("label"),
+        F.xxhash64("cv_seed", "__key").alias("digest"),
+        F.array(*features).cast("array<double>").alias("features"),
+    )
+
+
+def cross_validate_together(
+    table: DataFrame, spec: DatasetSpec, methods: Sequence[str], models: Sequence[str], folds: int, seeds: Sequence[int],
+    params: dict | None = None,
+) -> DataFrame:
+    """Detail rows for perceptrons and boosted trees: all sides, methods and variants are trained in the same jobs."""
+    folded = folded_rows(table, spec, folds, seeds)
+    fit = fit_by_fold(folded, table, spec, methods, folds)
+    every = [(*g, m) for g in fit.cleaning.groups for m in methods_of(g, methods)]
+    params, parts = params or {}, []
+    for begin in range(0, len(every), MODELS_TOGETHER):
+        numbers = {k: n for n, k in enumerate(every[begin : begin + MODELS_TOGETHER], begin)}
+        own = [_feature_rows(folded, fit, spec, m, numbers) for m in dict.fromkeys(k[-1] for k in numbers)]
+        rows = materialise(reduce(DataFrame.unionByName, own), "features")
+        of_model = {n: cv_seed_of(k) for k, n in numbers.items()}
+        training, test = rows.where("in_training"), rows.where("not in_training")
+        schema = T.StructType([T.StructField("model", T.IntegerType()), *[T.StructField(k, T.IntegerType()) for k in FOLD_KEYS], T.StructField("method", T.StringType())])
+        names = small_table(table.sparkSession, [[n, *k] for k, n in numbers.items()], schema)
+        for model in models:
+            p = params.get(model, {})
+            if model == "MLP":
+                fitted = fit_perceptrons(training, of_model, int(p.get("hidden", 100)), int(p.get("iterations", 2000)))
+                scored = score_perceptrons(test, fitted)
+            else:
+                fitted = fit_boosters(
+                    training, of_model, int(p.get("rounds", 250)), int(p.get("depth", 4)), float(p.get("step", 0.05)),
+                    float(p.get("rows", 0.9)), float(p.get("columns", 0.9)), int(p.get("bins", BINS)),
+                )
+                scored = score_boosters(test, fitted)
+            aucs = roc_auc(scored, "score", "label", ["model"]).join(F.broadcast(names), "model")
+            parts.append(run_details(aucs, spec.name, model))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def cross_validate_models(
     table: DataFrame,
     spec: DatasetSpec,
@@ -227,7 +287,14 @@ def run_grid(
     parts = []
     if "NB" in grid.models:
         parts.append(cross_validate_nb(table, spec, grid.methods, grid.folds, grid.cv_seeds))
-    others = [m for m in grid.models if m != "NB"]
+    together = [m for m in grid.models if m in ("MLP", "XGBoost")]
+    if together:
+        parts.append(
+            cross_validate_together(
+                table, spec, grid.methods, together, grid.folds, grid.cv_seeds, dict(grid.model_params)
+            )
+        )
+    others = [m for m in grid.models if m not in ("NB", *together)]
     if others:
         parts.append(
             cross_validate_models(

@@ -324,18 +324,22 @@ def auc_sql(source: str, keys: list[str], label: str = "label", score: str = "sc
 
 
 NB_METHODS = ("raw", "fill", "remove", "all")
+FAST_METHODS = ("raw", "fill", "remove_fill", "fill_norm", "all")
+FULL_VARIANTS = tuple((level, repeat) for level in (20, 40, 60) for repeat in (1, 2, 3, 4, 5))
+B_VARIANTS = tuple((level, repeat) for level in (10, 20, 30, 40, 50) for repeat in (1, 2, 3))
+FAST_VARIANTS = tuple((level, repeat) for level in (20, 40, 60) for repeat in (1, 2))
 
 
-def nb_details() -> str:
+def nb_details(variants=((20, 1), (40, 2)), methods=NB_METHODS, seeds=(101, 202), folds=3, profile="A") -> str:
     """CTEs ending in ``details``: the naive Bayes runs of the labelled documents."""
     damage = damaged(
         DOCS_SRC, "doc_id", ["doc_id", "quality"], ["n_chars"], {"lang": "VARCHAR", "source": "VARCHAR"},
-        [(20, 1), (40, 2)], "A",
+        list(variants), profile,
     )
     keys = FOLD_KEYS
-    rows = by_fold(damage, DOCS_SRC, "doc_id", "quality", "n_chars, lang, source", 3, [101, 202])
+    rows = by_fold(damage, DOCS_SRC, "doc_id", "quality", "n_chars, lang, source", folds, list(seeds))
     parts, aucs = [], []
-    for m in NB_METHODS:
+    for m in methods:
         only = "" if m == "raw" else " WHERE damage_level > 0"
         parts.append(f"{m}_train AS (SELECT * EXCLUDE (quality), quality AS label, true AS tr FROM train{only})")
         parts.append(f"{m}_all AS (SELECT * FROM {m}_train UNION ALL SELECT * EXCLUDE (quality), quality, false FROM test{only})")
@@ -632,6 +636,10 @@ ORACLE: dict[str, str] = {
         {r6('accuracy')} AS accuracy FROM best WHERE place = 1""",
     "threshold_report": threshold_report(),
     "nb_cv_auc": f"{nb_details()} SELECT * FROM details",
+    "nb_grid_fast": f"{nb_details(FAST_VARIANTS, FAST_METHODS)} SELECT * FROM details",
+    "nb_grid_full": f"{nb_details(FULL_VARIANTS, tuple(METHODS), (101, 202, 303, 404, 505), 5)} SELECT * FROM details",
+    "nb_grid_10_50": f"{nb_details(B_VARIANTS, FAST_METHODS, (101, 202, 303), 4, 'B')} SELECT * FROM details",
+    "stored_variant_study": f"{nb_details(FAST_VARIANTS, FAST_METHODS)} SELECT * FROM details",
     "nb_study": f"{nb_details()}, summed AS ({summary_sql('details', 6)}) {delta_sql('summed', 6)}",
     "result_summary": f"WITH {RUNS} SELECT * FROM summed",
     "baseline_delta": f"WITH {RUNS} {delta_sql('summed', 5)}",

@@ -31,7 +31,7 @@ from frameclinic.sources.tables import (
     write_variants,
 )
 from frameclinic.sources.workspace import materialise, new_folder
-from frameclinic.specs import GRID_FAST, PROFILE_A, PROFILE_B, RECIPES, DatasetSpec, GridProfile
+from frameclinic.specs import GRID_10_50, GRID_FAST, GRID_FULL, PROFILE_A, PROFILE_B, RECIPES, DatasetSpec, GridProfile
 
 ORDERS = DatasetSpec(
     name="orders", target="o_orderstatus", row_key="o_orderkey", continuous=("o_totalprice",),
@@ -495,6 +495,16 @@ def nb_grid_fast(spark, folder) -> DataFrame:
     return evaluate.run_grid(labelled_docs(spark, folder), DOCS, PROFILE_A, replace(GRID_FAST, models=("NB",)))
 
 
+def nb_grid_full(spark, folder) -> DataFrame:
+    """Naive Bayes over the whole full grid: 15 variants, eight methods, five seeds, five folds."""
+    return evaluate.run_grid(labelled_docs(spark, folder), DOCS, PROFILE_A, replace(GRID_FULL, models=("NB",)))
+
+
+def nb_grid_10_50(spark, folder) -> DataFrame:
+    """Naive Bayes over the whole grid of the milder profile."""
+    return evaluate.run_grid(labelled_docs(spark, folder), DOCS, PROFILE_B, replace(GRID_10_50, models=("NB",)))
+
+
 def stored_variant_study(spark, folder) -> DataFrame:
     """The fast grid's variants are stored, listed, resolved and read, and naive Bayes is evaluated on what was read."""
     path = new_folder(spark, "stored")
@@ -527,9 +537,8 @@ MODEL_VARIANTS, MODEL_METHODS, MODEL_SEEDS = ((20, 1),), ("raw", "all"), (101,)
 def _model_cv(model: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark, folder) -> DataFrame:
         table_ = evaluate.variant_table(labelled_docs(spark, folder), DOCS, PROFILE_A, MODEL_VARIANTS)
-        return evaluate.cross_validate_models(
-            table_, DOCS, MODEL_METHODS, [model], CV_FOLDS, MODEL_SEEDS, GRID_FAST.model_params
-        )
+        validate = evaluate.cross_validate_models if model == "RF" else evaluate.cross_validate_together
+        return validate(table_, DOCS, MODEL_METHODS, [model], CV_FOLDS, MODEL_SEEDS, dict(GRID_FAST.model_params))
 
     return run
 
@@ -776,7 +785,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         impute_median, impute_mode, standardise, one_hot, one_hot_long, minmax, dummies, dummies_drop_first,
         repair_by_variant, repaired_files, map_target, labelled_file, text_to_number, grid, resolve_variant,
         stratified_folds, holdout_split, fold_stats, clean_by_fold, nb_scores, auc, auc_of_discounts, roc_points,
-        threshold_metrics, threshold_search, threshold_report, nb_cv_auc, nb_study, nb_grid_fast, stored_variant_study,
+        threshold_metrics, threshold_search, threshold_report, nb_cv_auc, nb_study, nb_grid_fast, nb_grid_full, nb_grid_10_50, stored_variant_study,
         repaired_files_all, feature_importance,
         zscore_outliers, winsorise, drop_outlier_rows, impute_mean, robust_scale, distinct_by_group, quantiles_narrowed,
         auc_ranges, roc_ranges, auc_gaps, auc_gaps_ranges, roc_gaps, threshold_metrics_gaps, threshold_search_gaps,
