@@ -44,7 +44,8 @@ MARKS = b".,!?;:"
 class WordTokenizer:
     """Token ids of a text, word by word between ASCII spaces, with the ids of words already seen remembered.
 
-    The vocabulary's splitting never joins what such a space parts, so the ids are those of the whole text.
+    The vocabulary's splitting never joins what such a space parts, so the ids are those of the whole text. A control
+    string inside a text has its own id, as the tokenizer gives it; it is matched in its own case only.
     """
 
     def __init__(self, vocabulary: str):
@@ -52,7 +53,6 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
-        self.tokenizer.encode_special_tokens = True
         numbers = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(numbers.values()) + 1, bool)
         self.ends_word[[n for token, n in numbers.items() if token.endswith("</w>")]] = True
@@ -84,7 +84,7 @@ class WordTokenizer:
             core, tail = w, b""
             if w[-1] in MARKS and w[-2:-1].isalnum():
                 core, tail = w[:-1], w[-1:]
-            parts[w] = (core.lower() if core.isascii() else core), tail
+            parts[w] = (core.lower() if core.isascii() and b"<|" not in core else core), tail
         self._encode(list({x for part in parts.values() for x in part if x not in known}))
         for w, (core, tail) in parts.items():
             known[w] = known[core] + known[tail]

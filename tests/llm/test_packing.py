@@ -24,7 +24,6 @@ def test_every_id_in_one_piece(spark, length):
     rows = [r for r in rows if r[0] not in (None, 10)] + [(None, "no number"), (10, "same"), (10, "same")]
     got = pieces(spark, rows, length)
     tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
     for number, text in rows:
         ids = tokenizer.encode(text or "", add_special_tokens=False).ids + [2]
         own = got[got.doc_id.isna() if number is None else got.doc_id == number].sort_values(["sequence_id", "offset"])
@@ -77,3 +76,18 @@ def test_cuts_are_the_cheapest():
 
 def test_empty_table(spark):
     assert len(pieces(spark, [])) == 0
+
+
+def test_control_strings_have_the_tokenizers_ids():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from frameclinic.llm.packing import WordTokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain, own = Tokenizer.from_file(path), WordTokenizer(open(path, encoding="utf-8").read())
+    texts = ["hello <|endoftext|> there", "hello<|endoftext|>there", "<|startoftext|>abc", "<|ENDOFTEXT|> x", "a <|endoftext|>. B<|startoftext|><|endoftext|>!",
+             "<|endoftext|", "É<|endoftext|>É, <|EndOfText|>.", "<| endoftext |>", "Case? CASE! case."]
+    coded = own.ids([t.encode() for t in texts])
+    for text, ids in zip(texts, coded):
+        assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, text
