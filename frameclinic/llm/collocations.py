@@ -31,6 +31,8 @@ PERIOD = 24
 SIEVE = 1 << 26
 #: Bytes of chunks whose phrases are counted together in a task.
 TOGETHER = 8 << 20
+#: Shares of a language's candidates that are ranked apart before its best are ranked together.
+SHARES = 256
 #: The language of texts without one.
 NO_LANGUAGE = "und"
 
@@ -235,8 +237,12 @@ def mine_collocations(docs: DataFrame, longest: int = 3, least: int = 10, inside
     inner = inner.select("lang", F.array_join(F.slice("w", F.col("at"), F.col("size")), " ").alias("phrase"), F.col("a").alias("around"))
     inner = inner.groupBy("lang", "phrase").agg(F.max("around").alias("around"))
     alone = scored.join(inner, ["lang", "phrase"], "left").where(f"around is null or 100 * around < {int(inside)} * a")
-    order = Window.partitionBy("lang").orderBy(F.desc("cut.score"), F.desc("a"), "phrase")
-    best = alone.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+    # a language's best are among the best of its shares, so no task ranks all of its candidates
+    place = [F.desc("cut.score"), F.desc("a"), F.asc("phrase")]
+    shares = alone.withColumn("share", F.pmod(F.xxhash64("phrase"), F.lit(SHARES)))
+    first = F.row_number().over(Window.partitionBy("lang", "share").orderBy(*place))
+    best = shares.withColumn("rank", first).where(F.col("rank") <= most)
+    best = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*place))).where(F.col("rank") <= most)
     return best.join(total, "lang").select(
         "lang",
         F.col("rank").cast("long").alias("rank"),
