@@ -105,15 +105,22 @@ def roc_points(
     label: str,
     keys: Sequence[str] = (),
     rows_per_task: int = SCORES_PER_TASK,
+    corners: bool = False,
 ) -> DataFrame:
     """(fpr, tpr, threshold) per distinct score: rates when predicting score >= threshold.
 
-    Every curve starts at (0, 0), with the threshold infinity.
+    Every curve starts at (0, 0), with the threshold infinity. With ``corners`` points on the straight line between
+    their neighbours are left out, as are scores that no labelled row has; the area stays the same.
     """
     counts = materialise(score_counts(df, score, label, keys), "scores")
+    told = counts
+    if corners:
+        told = materialise(with_corners(counts.where("pos + neg > 0"), keys, rows_per_task), "corners")
     ordered = running_sums(
-        counts, keys, "score", ["pos", "neg"], descending=True, rows_per_task=rows_per_task
+        told, keys, "score", ["pos", "neg"], descending=True, rows_per_task=rows_per_task
     )
+    if corners:
+        ordered = ordered.where("corner")
     totals = counts.groupBy(*keys).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
     joined = join_same(ordered, broadcast_if_small(totals), list(keys))
     start = totals.select(
@@ -131,6 +138,26 @@ def roc_points(
     return points.unionByName(start)
 
 
+def with_corners(counts: DataFrame, keys: Sequence[str], rows_per_task: int = SCORES_PER_TASK) -> DataFrame:
+    """Adds ``corner``: does the curve turn at this score, or end there?
+
+    A score's step on the curve is (neg, pos); it turns where the next lower score's step has another direction. Scores
+    are looked at in value ranges, and the last one of a range is compared with the first of the next range that has any.
+    """
+    keys, n = list(keys), counts.count()
+    ranged = counts.repartitionByRange(max(1, -(-n // rows_per_task)), "score").withColumn("piece", F.spark_partition_id())
+    ranged = materialise(ranged, "ranges")
+    step = F.struct("pos", "neg")
+    within = ranged.withColumn("next", F.lead(step).over(Window.partitionBy(*keys, "piece").orderBy(F.desc("score"))))
+    firsts = ranged.groupBy(*keys, "piece").agg(F.max_by(step, "score").alias("first"))
+    beyond = F.lead("first").over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy(F.desc("piece")))  # a row for each range
+    firsts = firsts.select(*keys, "piece", beyond.alias("after"))
+    joined = join_same(within, firsts, [*keys, "piece"]).withColumn("next", F.coalesce("next", "after"))
+    exact = "decimal(38,0)"
+    straight = F.col("pos").cast(exact) * F.col("next.neg") == F.col("neg").cast(exact) * F.col("next.pos")
+    return joined.select(*keys, "score", "pos", "neg", (~F.coalesce(straight, F.lit(False))).alias("corner"))
+
+
 def thresholds_below(score: Column) -> Column:
     """How many of the thresholds i/100, i = 1..98, are below ``score``; a missing score is above none.
 

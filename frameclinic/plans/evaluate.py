@@ -282,7 +282,13 @@ def run_grid(
     df: DataFrame, spec: DatasetSpec, profile: DamageProfile, grid: GridProfile
 ) -> DataFrame:
     """Detail rows of a dataset over a whole grid profile."""
-    variants = [(lv, rp) for lv in grid.levels for rp in grid.damage_repeats]
+    return run_variants(df, spec, profile, grid, [(lv, rp) for lv in grid.levels for rp in grid.damage_repeats])
+
+
+def run_variants(
+    df: DataFrame, spec: DatasetSpec, profile: DamageProfile, grid: GridProfile, variants: Sequence[tuple[int, int]]
+) -> DataFrame:
+    """Detail rows of the undamaged table and the given (level, repeat) variants, for a grid's methods and models."""
     table = variant_table(df, spec, profile, variants)
     parts = []
     if "NB" in grid.models:

@@ -330,14 +330,27 @@ B_VARIANTS = tuple((level, repeat) for level in (10, 20, 30, 40, 50) for repeat
 FAST_VARIANTS = tuple((level, repeat) for level in (20, 40, 60) for repeat in (1, 2))
 
 
-def nb_details(variants=((20, 1), (40, 2)), methods=NB_METHODS, seeds=(101, 202), folds=3, profile="A") -> str:
+def corners(source: str, keys: list[str]) -> str:
+    """SELECT of the curve's corners: where the next lower score's step has another direction."""
+    k = f"{', '.join(keys)}, " if keys else ""
+    part = f"PARTITION BY {', '.join(keys)}" if keys else ""
+    return f"""SELECT {k}{r6('score')} AS threshold, {r6('fpr')} AS fpr, {r6('tpr')} AS tpr FROM (
+        SELECT *, sum(neg) OVER w / CAST(sum(neg) OVER ({part}) AS DOUBLE) AS fpr,
+          sum(pos) OVER w / CAST(sum(pos) OVER ({part}) AS DOUBLE) AS tpr,
+          coalesce(pos * lead(neg) OVER w = neg * lead(pos) OVER w, false) AS straight
+        FROM (SELECT {k}score, count(*) FILTER (WHERE label = 1) AS pos, count(*) FILTER (WHERE label = 0) AS neg
+          FROM {source} GROUP BY {k}score) WINDOW w AS ({part} ORDER BY score DESC)) WHERE NOT straight
+      UNION ALL SELECT DISTINCT {k}CAST('infinity' AS DOUBLE), 0.0, 0.0 FROM {source}"""
+
+
+def nb_details(variants=((20, 1), (40, 2)), methods=NB_METHODS, seeds=(101, 202), folds=3, profile="A", source=DOCS_SRC, dataset="documents") -> str:
     """CTEs ending in ``details``: the naive Bayes runs of the labelled documents."""
     damage = damaged(
-        DOCS_SRC, "doc_id", ["doc_id", "quality"], ["n_chars"], {"lang": "VARCHAR", "source": "VARCHAR"},
+        source, "doc_id", ["doc_id", "quality"], ["n_chars"], {"lang": "VARCHAR", "source": "VARCHAR"},
         list(variants), profile,
     )
     keys = FOLD_KEYS
-    rows = by_fold(damage, DOCS_SRC, "doc_id", "quality", "n_chars, lang, source", folds, list(seeds))
+    rows = by_fold(damage, source, "doc_id", "quality", "n_chars, lang, source", folds, list(seeds))
     parts, aucs = [], []
     for m in methods:
         only = "" if m == "raw" else " WHERE damage_level > 0"
@@ -348,7 +361,7 @@ def nb_details(variants=((20, 1), (40, 2)), methods=NB_METHODS, seeds=(101, 202)
         parts.append(naive_bayes(keys, f"{m}_ctrain", f"{m}_ctest", ["doc_id"], ["n_chars"], ["lang", "source"], f"{m}_"))
         aucs.append(f"SELECT '{m}' AS method, * FROM ({auc_sql(f'{m}_scored', keys)})")
     return f"""WITH {rows}, {', '.join(parts)}, aucs AS ({' UNION ALL '.join(aucs)}),
-    details AS (SELECT 'documents' AS dataset,
+    details AS (SELECT '{dataset}' AS dataset,
       CASE WHEN damage_level = 0 THEN 'ORYGINALNY' ELSE damage_level || '%' END AS damage_level,
       method, 'NB' AS model, damage_repeat, cv_repeat, cv_seed, round(avg(auc), 4) AS auc
       FROM aucs GROUP BY ALL)"""
@@ -637,6 +650,15 @@ ORACLE: dict[str, str] = {
     "threshold_report": threshold_report(),
     "nb_cv_auc": f"{nb_details()} SELECT * FROM details",
     "nb_grid_fast": f"{nb_details(FAST_VARIANTS, FAST_METHODS)} SELECT * FROM details",
+    "resumed_study": f"""SELECT * FROM ({nb_details(FAST_VARIANTS, FAST_METHODS)} {summary_sql('details', 6)})
+        UNION ALL SELECT * FROM ({nb_details(FAST_VARIANTS, FAST_METHODS, source=DOCS_SRC + ' WHERE n_chars < 2000', dataset='short')}
+        {summary_sql('details', 6)})""",
+    "stored_stand_in": f"""WITH {damaged_customers([(20, 1), (20, 2), (40, 1)], 'A')} SELECT damage_level, damage_repeat,
+        count(*) AS n_rows, count(c_acctbal) AS n_acctbal, {r6('sum(c_acctbal)', 2)} AS sum_acctbal,
+        count(c_nationkey) AS n_nationkey, CAST(sum(c_nationkey) AS BIGINT) AS sum_nationkey
+        FROM dirty GROUP BY damage_level, damage_repeat""",
+    "roc_corners": f"WITH {RANKED} {corners('r', [])}",
+    "roc_corners_gaps": f"WITH g AS ({GAPS}) {corners('g', ['flag'])}",
     "nb_grid_full": f"{nb_details(FULL_VARIANTS, tuple(METHODS), (101, 202, 303, 404, 505), 5)} SELECT * FROM details",
     "nb_grid_10_50": f"{nb_details(B_VARIANTS, FAST_METHODS, (101, 202, 303), 4, 'B')} SELECT * FROM details",
     "stored_variant_study": f"{nb_details(FAST_VARIANTS, FAST_METHODS)} SELECT * FROM details",

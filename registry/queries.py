@@ -21,12 +21,17 @@ from frameclinic.operators.quantiles import exact_quantiles
 from frameclinic.plans import evaluate
 from frameclinic.plans.grid import build_grid, resolve_variants
 from frameclinic.plans.repair import repair_variants, write_repaired
+from frameclinic.plans.study import resume_study
 from frameclinic.sources.tables import (
     load_dataset,
+    named_variants,
     read_delimited,
+    read_located,
     read_variants,
     stored_variants,
+    variant_name,
     with_row_key,
+    write_named,
     write_results,
     write_variants,
 )
@@ -505,6 +510,52 @@ def nb_grid_10_50(spark, folder) -> DataFrame:
     return evaluate.run_grid(labelled_docs(spark, folder), DOCS, PROFILE_B, replace(GRID_10_50, models=("NB",)))
 
 
+def resumed_study(spark, folder) -> DataFrame:
+    """The fast grid's study over two tables in two goes: one level first, then what is left of the whole grid."""
+    path = new_folder(spark, "study")
+    tables = {"documents": labelled_docs(spark, folder), "short": labelled_docs(spark, folder).where("n_chars < 2000")}
+    specs = {n: replace(DOCS, name=n) for n in tables}
+    grid = replace(GRID_FAST, models=("NB",))
+    resume_study(dict(list(tables.items())[:1]), PROFILE_A, replace(grid, levels=(20,), methods=("raw", "fill")), path, specs)
+    detail = resume_study(tables, PROFILE_A, grid, path, specs)
+    return summary.summarise(detail, digits=6)
+
+
+def stored_stand_in(spark, folder) -> DataFrame:
+    """Variants stored by name, one level without a repeat, are listed, resolved and read from where they lie."""
+    path = new_folder(spark, "named")
+    stored = [(20, 1, 1), (20, 2, 2), (40, 1, None)]
+    dirty = materialise(damage.inject(customers(spark, folder), CUSTOMERS, PROFILE_A, variants=[s[:2] for s in stored]), "dirty")
+    features = [f for f in dirty.schema.fields if not f.name.startswith("damage_")]
+    for level, repeat, name in stored:
+        one = dirty.where((F.col("damage_level") == level) & (F.col("damage_repeat") == repeat))
+        write_named(one.select(*[f.name for f in features]), path, variant_name("customer", level, name))
+    wanted = spark.createDataFrame(
+        [("customer", lv, rp) for lv in (20, 40, 60) for rp in (1, 2, 3)], "dataset string, damage_level int, damage_repeat int"
+    )
+    back = read_located(spark, resolve_variants(wanted, named_variants(spark, path)), T.StructType(features))
+    return rounded(
+        back.groupBy("damage_level", "damage_repeat").agg(
+            F.count("*").alias("n_rows"),
+            F.count("c_acctbal").alias("n_acctbal"),
+            F.sum("c_acctbal").alias("sum_acctbal"),
+            F.count("c_nationkey").alias("n_nationkey"),
+            F.sum("c_nationkey").alias("sum_nationkey"),
+        ),
+        2,
+    )
+
+
+def roc_corners(spark, folder) -> DataFrame:
+    """Only the corners of the curve, with an order cut into many ranges."""
+    return rounded(metrics.roc_points(_ranked_orders(spark, folder), "score", "label", rows_per_task=300, corners=True))
+
+
+def roc_corners_gaps(spark, folder) -> DataFrame:
+    """Corners of several curves with long straight stretches, keys and scores missing."""
+    return rounded(metrics.roc_points(_gaps(spark, folder), "score", "label", ["flag"], rows_per_task=5, corners=True))
+
+
 def stored_variant_study(spark, folder) -> DataFrame:
     """The fast grid's variants are stored, listed, resolved and read, and naive Bayes is evaluated on what was read."""
     path = new_folder(spark, "stored")
@@ -785,7 +836,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         impute_median, impute_mode, standardise, one_hot, one_hot_long, minmax, dummies, dummies_drop_first,
         repair_by_variant, repaired_files, map_target, labelled_file, text_to_number, grid, resolve_variant,
         stratified_folds, holdout_split, fold_stats, clean_by_fold, nb_scores, auc, auc_of_discounts, roc_points,
-        threshold_metrics, threshold_search, threshold_report, nb_cv_auc, nb_study, nb_grid_fast, nb_grid_full, nb_grid_10_50, stored_variant_study,
+        threshold_metrics, threshold_search, threshold_report, nb_cv_auc, nb_study, nb_grid_fast, nb_grid_full, nb_grid_10_50, resumed_study, stored_stand_in, roc_corners, roc_corners_gaps, stored_variant_study,
         repaired_files_all, feature_importance,
         zscore_outliers, winsorise, drop_outlier_rows, impute_mean, robust_scale, distinct_by_group, quantiles_narrowed,
         auc_ranges, roc_ranges, auc_gaps, auc_gaps_ranges, roc_gaps, threshold_metrics_gaps, threshold_search_gaps,
