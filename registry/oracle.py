@@ -7,6 +7,11 @@ METHODS = {
     "remove": (True, False, False), "remove_fill": (True, True, False), "remove_norm": (True, False, True),
     "fill_norm": (False, True, True), "all": (True, True, True),
 }
+#: Folders of the repaired files.
+SUFFIXES = {
+    "norm": "1_norm", "fill": "2_fill", "remove": "3_remove", "remove_fill": "4_remove_fill", "remove_norm": "5_remove_norm",
+    "fill_norm": "6_fill_norm", "all": "7_all",
+}
 PROFILES = {
     "A": (1000, "[25.0, 50.0, 100.0, -25.0]", 10, 0),
     "B": (5000, "[20.0, 40.0, 80.0, -20.0]", 8, 50),
@@ -586,6 +591,13 @@ ORACLE: dict[str, str] = {
         {cleaned(['damage_level', 'damage_repeat'], 'dirty', 'dirty', ['c_acctbal', 'c_nationkey'], [], 'remove_fill')}
         SELECT damage_level, damage_repeat, count(*) AS n_rows, {r6('sum(c_acctbal)', 2)} AS sum_acctbal,
         {r6('sum(c_nationkey)', 2)} AS sum_nationkey FROM clean GROUP BY damage_level, damage_repeat""",
+    "repaired_files_all": " UNION ALL ".join(
+        f"""SELECT * FROM (WITH {damaged_customers([(20, 1), (60, 5)], 'A')},
+        {cleaned(['damage_level', 'damage_repeat'], 'dirty', 'dirty', ['c_acctbal', 'c_nationkey'], [], m)}
+        SELECT damage_level, damage_repeat, '{suffix}' AS suffix, count(*) AS n_rows, {r6('sum(c_acctbal)', 2)} AS sum_acctbal,
+        {r6('sum(c_nationkey)', 2)} AS sum_nationkey FROM clean GROUP BY damage_level, damage_repeat)"""
+        for m, suffix in SUFFIXES.items()
+    ),
     "map_target": """SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 1 ELSE 0 END AS o_orderstatus, o_totalprice
         FROM orders WHERE o_orderstatus IN ('F', 'O')""",
     "labelled_file": f"""SELECT CASE o_orderstatus WHEN 'F' THEN 1 ELSE 0 END AS o_orderstatus, o_orderpriority,
@@ -736,4 +748,5 @@ ORACLE.update({
     "baseline_gaps": f"""WITH {RUNS.replace("l_returnflag AS dataset", "CASE WHEN l_returnflag <> 'R' THEN l_returnflag END AS dataset")}
         {delta_sql('summed', 5).replace('ON s.dataset = b.dataset', 'ON s.dataset IS NOT DISTINCT FROM b.dataset')}""",
 })
+ORACLE["saved_recipe"] = order_matrix("all")
 ORACLE.update({f"clean_{m}": order_matrix(m) for m in METHODS})

@@ -18,6 +18,7 @@ from frameclinic.operators.folds import assign_folds, hash_split
 from frameclinic.operators.labels import drop_columns, label_table, require_positive_class
 from frameclinic.operators.naive_bayes import fit_gaussian_nb, score_gaussian_nb
 from frameclinic.operators.quantiles import exact_quantiles
+from frameclinic.operators.stages import RecipeCleaner, RecipeModel
 from frameclinic.plans import evaluate
 from frameclinic.plans.grid import build_grid, resolve_variants
 from frameclinic.plans.repair import repair_variants, write_repaired
@@ -302,6 +303,14 @@ def _clean(method: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
+def saved_recipe(spark, folder) -> DataFrame:
+    """The whole recipe fitted as a pipeline stage, saved, loaded and applied."""
+    dirty = materialise(_dirty_orders(spark, folder).drop("damage_level", "damage_repeat"), "dirty")
+    path = new_folder(spark, "recipe")
+    RecipeCleaner(method="all", keep=["o_orderkey", "o_orderstatus"]).fit(dirty).save(path)
+    return rounded(RecipeModel.load(path).transform(dirty))
+
+
 def repair_by_variant(spark, folder) -> DataFrame:
     """Two damaged variants, each repaired with its own statistics."""
     dirty = materialise(_dirty_orders(spark, folder, ((20, 1), (40, 2))), "dirty")
@@ -834,7 +843,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         distinct_counts, quantiles, inject_missing, inject_outliers_a, inject_outliers_b, inject_noise_a,
         inject_noise_b, dirty_variant, dirty_variant_b, variant_grid, variant_round_trip, impute_constant,
         impute_median, impute_mode, standardise, one_hot, one_hot_long, minmax, dummies, dummies_drop_first,
-        repair_by_variant, repaired_files, map_target, labelled_file, text_to_number, grid, resolve_variant,
+        saved_recipe, repair_by_variant, repaired_files, map_target, labelled_file, text_to_number, grid, resolve_variant,
         stratified_folds, holdout_split, fold_stats, clean_by_fold, nb_scores, auc, auc_of_discounts, roc_points,
         threshold_metrics, threshold_search, threshold_report, nb_cv_auc, nb_study, nb_grid_fast, nb_grid_full, nb_grid_10_50, resumed_study, stored_stand_in, roc_corners, roc_corners_gaps, stored_variant_study,
         repaired_files_all, feature_importance,
