@@ -434,6 +434,11 @@ def fit_cleaning(
     category_stats: dict[tuple, dict[str, CategoryStats]] = {g: {} for g in groups}
     if categorical:
         counts = _value_counts(source, keys, categorical)
+        # Near the limit the estimate does not decide: values are counted.
+        doubted = [c for c in categorical if MAX_CATEGORIES / SURELY < most[c] < MAX_CATEGORIES * SURELY]
+        if doubted:
+            sizes = counts.where(F.col("column").isin(doubted)).groupBy(*keys, "column").count()
+            most |= {r["column"]: r["most"] for r in sizes.groupBy("column").agg(F.max("count").alias("most")).collect()}
         listed = [c for c in categorical if most[c] <= MAX_CATEGORIES]
         totals_schema = T.StructType(
             [*key_schema.fields, T.StructField("column", T.StringType()), T.StructField("total", T.LongType())]

@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from frameclinic.operators.cleaning import MAX_CATEGORIES, fit_cleaning, value_shares
 from frameclinic.operators.summary import boxplot_stats
@@ -147,3 +148,10 @@ def test_nan_is_no_value_to_quantiles_and_box_plots(spark):
     df = spark.createDataFrame([("g", float(i)) for i in range(9)] + [("g", float("nan"))], "g string, v double")
     box = boxplot_stats(df, "g", "v").first()
     assert (box["median"], box["n_outliers"], box["n"]) == (4.0, 0, 9)
+
+
+def test_the_limit_of_categories_is_exact(spark):
+    """1,000 values are listed and 1,001 are not, whatever an estimate says."""
+    df = spark.range(4004).select(*[F.concat(F.lit("v"), (F.col("id") % n).cast("string")).alias(f"c{n}") for n in (999, 1000, 1001)])
+    found = fit_cleaning(df, methods=["fill"]).category_stats[()]
+    assert [len(found[f"c{n}"].vocabulary or ()) for n in (999, 1000, 1001)] == [999, 1000, 0]
