@@ -100,3 +100,17 @@ def test_moments_merge_without_cancelling():
     n, mean, var = merge([(len(p), p.mean(), p.var()) for p in parts] + [(0, 0.0, 0.0)])
     whole = np.concatenate(parts)
     assert n == 254 and mean == pytest.approx(whole.mean(), rel=1e-15) and var == pytest.approx(whole.var(), rel=1e-3)
+
+
+def test_wide_vocabularies_need_no_wide_columns(spark):
+    """1,500 categories, more than one-hot columns may have: naive Bayes counts them and scores the held-out rows."""
+    df = spark.range(6000).select(
+        "id", F.lit(1).alias("run"), (F.col("id") % 4).cast("int").alias("fold"), (F.col("id") % 3 == 0).cast("int").alias("y"),
+        F.concat(F.lit("w"), (F.col("id") % 1500).cast("string")).alias("wide"),
+    )
+    fit = fit_complements(df, [], ["wide"], "y", ["run"], 4, ["fill"])
+    model = fit.naive_bayes(spark, lambda group: ["fill"]).drop("method")
+    assert fit.cleaning.category_stats[1, 0]["wide"].vocabulary is None and model.agg(F.max(F.size("hot"))).first()[0] > 1000
+    test = fit.cleaning.clean(df.withColumn("held_out", F.col("fold")), "fill")
+    scored = score_gaussian_nb(test, model, [], ["wide"], ["run", "held_out"])
+    assert scored.where("score is null").count() == 0 and scored.count() == 6000
