@@ -5,7 +5,7 @@ A byte goes if some string of ``width`` bytes that covers it also starts anywher
 Suffix orders need the strings that may be equal side by side. Every window of ``width`` bytes holds an anchor: the
 slice of ``ANCHOR`` bytes with the least hash among the slices inside it. Equal windows hold equal anchors at equal
 places, so it is enough to compare the neighbourhoods (blocks) of equal anchors. Anchors that occur once settle
-their windows at once, and so do blocks that occur twice. The blocks that differ, with one of each repeated one, are
+their windows at once, and so do blocks that occur twice, within a task before anything is shuffled. The blocks that differ, with one of each repeated one, are
 split by the place of the window's start into four strips. All windows of a strip share a core, so only strips of
 equal core can hold equal windows; the core is one symbol, the bytes left and right of it are one each, and the
 strips of a core are ordered by ``suffix_order``: equal windows stand next to each other there. Of cores with very many
@@ -19,24 +19,28 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from frameclinic.llm.common import RollingHash, binary_values, broadcast_checked, mix, steps, tidy, utf8
+from frameclinic.llm.common import RollingHash, binary_values, broadcast_checked, mix, slices, steps, tidy, utf8
 from frameclinic.llm.lyndon import suffix_order
 from frameclinic.sources.workspace import materialise
 
 #: Bytes of an anchor; at most the width of the windows.
 ANCHOR = 100
 #: Strips a block's windows are split into, and strips of one core that are ordered together.
-STRIPS, TOGETHER = 4, 4_000
+STRIPS, TOGETHER = 4, 1_000
 #: Rows of one anchor that are held in memory.
 HOLD = 50_000
 #: Rows of one anchor within a step from which on its blocks are dealt out one by one.
 HOT = 32
-#: Rows of anchors: one of many, one of an anchor that is hot in its step, a sign that an anchor is hot elsewhere.
-PLAIN, DEALT, SIGN = 0, 1, 2
+#: Rows of anchors: one of many, one of an anchor that is hot in its step, a sign that an anchor is hot elsewhere, a
+#: stretch settled before the shuffle; MANY is added where the row stands for several equal blocks.
+PLAIN, DEALT, SIGN, DONE, MANY = 0, 1, 2, 3, 4
+#: Blocks met more than OFTEN times in a step are remembered by the task (SHOWN of them), so that each is sent once.
+OFTEN, SHOWN = 3, 1 << 16
 
 
 def _window_extreme(values: np.ndarray, width: int, least: bool) -> np.ndarray:
@@ -95,7 +99,17 @@ def _anchor_rows(width: int):
         block = roll.of(left, right) ^ ((at - left).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         yield every[at], block, at - offsets[r], r
 
+    names = ["anchor", "block", "doc_id", "spot", "kind"]
+
+    def stretches(place: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, start and stop of what settled anchors cover, overlapping ones as one."""
+        start, stop = np.maximum(place - (width - ANCHOR), 0), place + width
+        new = np.concatenate([[True], (r[1:] != r[:-1]) | (start[1:] > stop[:-1])])
+        last = np.concatenate([np.flatnonzero(new)[1:] - 1, [len(r) - 1]])
+        return r[new], start[new], stop[last]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shown = signed = np.empty(0, np.uint64)
         for batch in batches:
             data, offsets = binary_values(batch.column("text"))
             ids, marks = batch.column("doc_id"), batch.column("mark").to_numpy().astype(np.int64)
@@ -105,31 +119,57 @@ def _anchor_rows(width: int):
                 else:
                     found = many(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 for f, block, place, r in found:
+                    pair = mix(f ^ mix(block))
+                    each, head, at, times = np.unique(pair, return_index=True, return_inverse=True, return_counts=True)
+                    before = shown[np.minimum(np.searchsorted(shown, each), len(shown) - 1)] == each if len(shown) else times < 0
+                    again = (times > 1) | before
+                    # a block met twice is settled; one row of it goes on, unless this task has sent one already
+                    stays = ~again[at]
+                    stays[head[~before]] = True
+                    done = np.flatnonzero(again[at])
+                    if len(done):
+                        own, start, stop = stretches(place[done], r[done])
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                pa.array(mix(start.astype(np.uint64) + mix(pair[done[: len(own)]])).view(np.int64)),
+                                pa.array(stop),
+                                ids.slice(a, b - a).take(pa.array(own)),
+                                pa.array((marks[a + own] << 32) | start),
+                                pa.array(np.full(len(own), DONE, np.int8)),
+                            ],
+                            names=names,
+                        )
+                        shown = np.union1d(shown if len(shown) < SHOWN else shown[:0], each[times > OFTEN])
+                    f, block, place, r, pair, often = f[stays], block[stays], place[stays], r[stays], pair[stays], again[at][stays]
                     each, at, times = np.unique(f, return_inverse=True, return_counts=True)
                     hot = times[at] >= HOT
-                    signs = each[times >= HOT]
+                    signs = np.setdiff1d(each[times >= HOT], signed)
+                    signed = np.union1d(signed if len(signed) < SHOWN else signed[:0], signs)
                     none = np.zeros(len(signs), np.int64)
-                    key = np.where(hot, mix(f ^ mix(block)), f)
+                    kind = np.where(hot, DEALT, PLAIN) + np.where(often, MANY, 0)
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(np.concatenate([key, signs]).view(np.int64)),
+                            pa.array(np.concatenate([np.where(hot, pair, f), signs]).view(np.int64)),
                             pa.array(np.concatenate([block.view(np.int64), none])),
                             ids.slice(a, b - a).take(pa.array(np.concatenate([r, none]), mask=np.arange(len(r) + len(none)) >= len(r))),
                             pa.array(np.concatenate([(marks[a + r] << 32) | place, none])),
-                            pa.array(np.concatenate([np.where(hot, DEALT, PLAIN), none + SIGN]).astype(np.int8)),
+                            pa.array(np.concatenate([kind, none + SIGN]).astype(np.int8)),
                         ],
-                        names=["anchor", "block", "doc_id", "spot", "kind"],
+                        names=names,
                     )
 
     return run
 
 
-_FOUND = "settled boolean, doc_id long, spot long, copies int"
+_FOUND = "settled boolean, doc_id long, spot long, copies int, stop long"
 
 
 def _sorted_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by anchor and block: blocks met twice are settled, the other blocks of repeated anchors are not.
 
+    Stretches settled before the shuffle pass through, with their start as spot and their stop; a row that stands for
+    several blocks counts as two.
+
     For an anchor with open blocks one row of each settled block comes along to be compared with. Rows of an anchor
     that is hot where they come from are dealt out by their block, so none of them waits for the others: they are
     open unless their block is settled, and a sign keeps the anchor's other rows open and shows its settled blocks. Rows of an anchor beyond HOLD
@@ -142,7 +182,8 @@ def _sorted_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         new_b = new_k | np.concatenate([[True], b[1:] != b[:-1]])
         row_k, row_b = np.cumsum(new_k) - 1, np.cumsum(new_b) - 1
         size = np.bincount(row_k)
-        times = np.where(kind == SIGN, 0, np.bincount(row_b)[row_b])
+        often, kind = kind >= MANY, kind % MANY
+        times = np.where(kind == SIGN, 0, np.bincount(row_b, 1 + often).astype(np.int64)[row_b])
         sure = (kind == DEALT) | part
         opened = (times == 1) & ((size[row_k] > 1) | sure)
         # a sign says that rows of the anchor lie elsewhere, which may hold the settled blocks too
@@ -155,13 +196,21 @@ def _sorted_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                     ids.take(pa.array(rows)),
                     pa.array(s[rows]),
                     pa.array(times[rows].astype(np.int32)),
+                    pa.nulls(len(rows), pa.int64()),
                 ],
-                names=["settled", "doc_id", "spot", "copies"],
+                names=names,
             )
 
+    names = ["settled", "doc_id", "spot", "copies", "stop"]
     held, part_of = None, None
     for batch in _and_end(batches):
         if batch is not None:
+            done = pc.equal(batch.column("kind"), DONE)
+            ready, batch = batch.filter(done), batch.filter(pc.invert(done))
+            if ready.num_rows:
+                n = ready.num_rows
+                told = [pa.array(np.full(n, True)), ready.column("doc_id"), ready.column("spot"), pa.array(np.full(n, 2, np.int32)), ready.column("block")]
+                yield pa.RecordBatch.from_arrays(told, names=names)
             held = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
         if held is None or not held.num_rows:
             continue
@@ -194,15 +243,16 @@ def _strips(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = binary_values(batch.column("text"))
-            places = batch.column("places").to_pylist()
+            places = batch.column("places")
             for x, y in steps(offsets):
                 part = data[offsets[x] : offsets[y]]
-                roll, raw = RollingHash(part), part.tobytes()
-                many = np.array([len(places[i]) for i in range(x, y)])
+                roll = RollingHash(part)
+                some = places.slice(x, y - x)
+                many, flat = some.value_lengths().to_numpy(), some.flatten()
                 row = np.repeat(np.arange(x, y), many)
                 begin, end = offsets[row] - offsets[x], offsets[row + 1] - offsets[x]
-                at = begin + np.array([p["spot"] & 0xFFFFFFFF for i in range(x, y) for p in places[i]], np.int64)
-                copies = np.array([p["copies"] for i in range(x, y) for p in places[i]], np.int32)
+                at = begin + (flat.field("spot").to_numpy() & 0xFFFFFFFF)
+                copies = flat.field("copies").to_numpy()
                 for i in range(STRIPS):
                     a, b = at + edges[i], at + edges[i + 1] - 1
                     low, high = np.maximum(a, begin), np.minimum(b + width, end)
@@ -219,8 +269,8 @@ def _strips(width: int):
                             batch.column("mark").take(pa.array(own)),
                             pa.array(low - begin[good]),
                             pa.array(copies[good]),
-                            pa.array([raw[u:v] for u, v in zip(low.tolist(), b.tolist())], pa.binary()),
-                            pa.array([raw[u:v] for u, v in zip((a + width).tolist(), high.tolist())], pa.binary()),
+                            slices(part, low, b).cast(pa.binary()),
+                            slices(part, a + width, high).cast(pa.binary()),
                         ],
                         names=names,
                     )
@@ -258,45 +308,36 @@ def equal_windows(strips: Sequence[tuple[bytes, bytes]], width: int) -> Iterator
 def _ordered(width: int):
     """Strips sorted by core (and part) -> repeated stretches (window null); for cores in parts also their windows."""
     names = ["window", "doc_id", "mark", "start", "stop"]
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
+    kinds_of = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
     reach = width - ANCHOR
     symbols = [(reach + 1) * (i + 1) // STRIPS - (reach + 1) * i // STRIPS for i in range(STRIPS)]
 
-    def settle(rows: list[dict], out: list[tuple]) -> None:
-        parts = rows[0]["parts"] > 1
-        alike: dict[int, list[dict]] = {}
-        for r in rows:
-            alike.setdefault(r["strip"], []).append(r)
-        strips = [v[0] for v in alike.values()]
-        often = [len(v) > 1 or v[0]["copies"] > 1 for v in alike.values()]
+    def settle(strips: list[dict], out: list[tuple]) -> None:
+        """Orders one strip of each kind; ``often`` ones are settled already and only show what else is repeated."""
+        parts = strips[0]["parts"] > 1
         # a window is one symbol for the core and as many bytes as the strip has further starts
-        size = symbols[rows[0]["core_strip"]]
-        hit = [[False] * (len(r["left"]) + 1) for r in strips]
-        if len(strips) > 1 or parts:
-            for run in equal_windows([(r["left"], r["right"]) for r in strips], size):
-                spots = {(strips[j]["doc_id"], strips[j]["mark"], strips[j]["first"] + o) for j, o in run}
-                again = len(spots) > 1 or any(often[j] for j, _ in run)
-                if again:
-                    for j, o in run:
-                        hit[j][o] = True
-                if parts:  # what is repeated here is so for every equal window of other parts
-                    j, o = run[0]
-                    r = strips[j]
-                    window = hashlib.blake2b(
-                        rows[0]["core"].to_bytes(8, "big", signed=True) + bytes(r["left"][o:]) + b"|" + bytes(r["right"][: size - 1 - len(r["left"]) + o]),
-                        digest_size=8,
-                    ).digest()
-                    at = r["first"] + o
-                    row = (int.from_bytes(window, "big", signed=True), r["doc_id"], r["mark"], at, at + width)
-                    out += [row] * (2 if again else 1)
-        for j, group in enumerate(alike.values()):
-            # equal strips: every window of theirs is repeated
-            last = min(len(group[0]["left"]), len(group[0]["left"]) + 1 + len(group[0]["right"]) - size)
-            flags = [True] * (last + 1) if often[j] else hit[j]
-            edge = np.flatnonzero(np.diff(np.array([False, *flags, False], np.int8))).reshape(-1, 2).tolist()
-            for r in group:
-                if r["copies"] == 1:
-                    out += [(None, r["doc_id"], r["mark"], r["first"] + a, r["first"] + b - 1 + width) for a, b in edge]
+        size = symbols[strips[0]["core_strip"]]
+        hit = [bytearray(len(r["left"]) + 1) for r in strips]
+        for run in equal_windows([(r["left"], r["right"]) for r in strips], size):
+            spots = {(strips[j]["doc_id"], strips[j]["mark"], strips[j]["first"] + o) for j, o in run}
+            again = len(spots) > 1 or any(strips[j]["often"] for j, _ in run)
+            if again:
+                for j, o in run:
+                    hit[j][o] = 1
+            if parts:  # what is repeated here is so for every equal window of other parts
+                j, o = run[0]
+                r = strips[j]
+                window = hashlib.blake2b(
+                    r["core"].to_bytes(8, "big", signed=True) + r["left"][o:] + b"|" + r["right"][: size - 1 - len(r["left"]) + o],
+                    digest_size=8,
+                ).digest()
+                at = r["first"] + o
+                row = (int.from_bytes(window, "big", signed=True), r["doc_id"], r["mark"], at, at + width)
+                out += [row] * (2 if again else 1)
+        for r, flags in zip(strips, hit):
+            if not r["often"]:
+                edge = np.flatnonzero(np.diff(np.frombuffer(b"\0" + flags + b"\0", np.int8))).reshape(-1, 2).tolist()
+                out += [(None, r["doc_id"], r["mark"], r["first"] + a, r["first"] + b - 1 + width) for a, b in edge]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -305,26 +346,45 @@ def _ordered(width: int):
                 held = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
             if held is None or not held.num_rows:
                 continue
-            core, part = held.column("core").to_numpy(), held.column("part").to_numpy()
+            core, part, strip = (held.column(c).to_numpy() for c in ("core", "part", "strip"))
             new = np.concatenate([[True], (core[1:] != core[:-1]) | (part[1:] != part[:-1])])
             cut = len(core) if batch is None else int(np.flatnonzero(new)[-1])
-            which = np.cumsum(new[:cut]) - 1
-            lone = np.bincount(which)[which] == 1 if cut else np.empty(0, bool)
-            keep = ~lone | (held.column("parts").to_numpy()[:cut] > 1)
-            done = held.slice(0, cut).append_column("group", pa.array(which)).filter(pa.array(keep))
-            out: list[tuple] = []
-            rows: list[dict] = []
-            for small in done.to_batches(max_chunksize=5_000):
+            done, held = held.slice(0, cut), held.slice(cut)
+            if not cut:
+                continue
+            # rows of a group (core and part), and the kinds of strips in it
+            fresh = new[:cut] | np.concatenate([[True], strip[1:cut] != strip[: cut - 1]])
+            head, kind, group = np.flatnonzero(fresh), np.cumsum(fresh) - 1, np.cumsum(new[:cut]) - 1
+            copies = done.column("copies").to_numpy()
+            often = (np.bincount(kind) > 1) | (copies[head] > 1)
+            rows = np.flatnonzero(often[kind] & (copies == 1))
+            if len(rows):  # equal strips: every window of theirs is repeated
+                some = done.select(["doc_id", "mark", "first", "core_strip", "left", "right"]).take(pa.array(rows))
+                left, right = (pc.binary_length(some.column(c)).to_numpy().astype(np.int64) for c in ("left", "right"))
+                last = np.minimum(left, left + 1 + right - np.array(symbols)[some.column("core_strip").to_numpy()])
+                first = some.column("first").to_numpy()
+                whole = [pa.nulls(len(rows), pa.int64()), some.column("doc_id"), some.column("mark"), pa.array(first), pa.array(first + last + width)]
+                yield from pa.Table.from_arrays(whole, names=names).to_batches()
+            of = group[head]
+            parted = done.column("parts").to_numpy()[head] > 1
+            wanted = (np.bincount(of)[of] > 1) & (np.bincount(of, ~often)[of] > 0) | parted
+            kinds = done.take(pa.array(head[wanted]))
+            kinds = kinds.append_column("group", pa.array(of[wanted])).append_column("often", pa.array(often[wanted]))
+            strips: list[dict] = []
+            for small in kinds.to_batches(max_chunksize=1_000):
+                out: list[tuple] = []
                 for r in small.to_pylist():
-                    if rows and r["group"] != rows[0]["group"]:
-                        settle(rows, out)
-                        rows = []
-                    rows.append(r)
-            if rows:
-                settle(rows, out)
+                    if strips and r["group"] != strips[0]["group"]:
+                        settle(strips, out)
+                        strips = []
+                    strips.append(r)
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds_of)], names=names)
+            out = []
+            if strips:
+                settle(strips, out)
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
-            held = held.slice(cut)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds_of)], names=names)
 
     return run
 
@@ -412,7 +472,10 @@ def remove_repeats(docs: DataFrame, width: int = 200, keep: tuple[str, ...] = ()
     found = found.withColumn("mark", F.shiftright("spot", 32).cast("int"))
     place = F.col("spot").bitwiseAND(0xFFFFFFFF)
     settled = found.where("settled").select(
-        "doc_id", "mark", F.greatest(place - (width - ANCHOR), F.lit(0)).alias("start"), (place + width).alias("stop")
+        "doc_id",
+        "mark",
+        F.when(F.col("stop").isNull(), F.greatest(place - (width - ANCHOR), F.lit(0))).otherwise(place).alias("start"),
+        F.coalesce("stop", place + width).alias("stop"),
     )
     opened = found.where("not settled").groupBy("doc_id", "mark").agg(F.collect_list(F.struct("spot", "copies")).alias("places"))
     opened = materialise(opened, "suffix-open")

@@ -190,3 +190,22 @@ def test_anchors_at_the_end_of_a_long_text(spark):
     text = text.tobytes().decode()
     got = M.remove_repeats(documents(spark, [(1, text), (2, text)])).collect()
     assert [(r.n_bytes, r.n_removed) for r in got] == [(len(text), len(text))] * 2
+
+
+def test_a_block_in_all_batches_is_sent_once_a_task(spark):
+    """A passage in all texts: the rows that meet in one task grow with the tasks, not with the texts."""
+    rng = random.Random(8)
+    passage = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=700))
+    rows = [(i, " ".join(words(rng, 3)) + passage + " ".join(words(rng, 3))) for i in range(3_000)]
+    table = pa.table(
+        {
+            "doc_id": pa.array([r[0] for r in rows], pa.int64()),
+            "mark": pa.array([0] * len(rows), pa.int32()),
+            "text": pa.array([r[1].encode() for r in rows], pa.binary()),
+        }
+    )
+    sent = pa.Table.from_batches(list(M._anchor_rows(200)(iter(table.to_batches(max_chunksize=500))))).to_pandas()
+    sent = sent[sent.kind != M.DONE]
+    assert sent.groupby(["anchor", "block"]).size().max() == 1 and (sent.kind % M.MANY == M.DEALT).any()
+    assert (sent.kind >= M.MANY).sum() < 20
+    check(spark, rows[:300] + [(5000 + i, passage[i * 100 :]) for i in range(6)] + passages(9))
