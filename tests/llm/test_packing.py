@@ -91,3 +91,23 @@ def test_control_strings_have_the_tokenizers_ids():
     coded = own.ids([t.encode() for t in texts])
     for text, ids in zip(texts, coded):
         assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, text
+
+
+def test_words_merged_together_have_the_tokenizers_ids(monkeypatch):
+    """New words of many kinds, remembered or forgotten again, in short texts and in one long text."""
+    rng = random.Random(12)
+    plain, own = Tokenizer.from_file(PATH), M.WordTokenizer(open(PATH, encoding="utf-8").read())
+    monkeypatch.setattr(M, "REMEMBERED", 500)
+    monkeypatch.setattr(M, "STEP_CHARS", 3_000)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFG"
+
+    def word():
+        w = "".join(rng.choices(letters, k=rng.choice([1, 2, 3, 5, 8, 13, 40, 63, 64, 70])))
+        return w + rng.choice(["", "", "", ".", ",", "!?", "'s", "é", "ß", "İ", "ﬁ", "9", "日本", "́", "\x00", "<|endoftext|>", "<|EndOfText|>."])
+
+    texts = ["".join(word() + rng.choice([" ", "\n", "\t ", " ", "\x1f"]) for _ in range(rng.randrange(120))) for _ in range(80)]
+    texts += [" ".join(texts), "x" * 9_000 + " " + "y." * 5_000, "", " ", ".", "a", "aa" * 30 + " aaaa aaa aa"]
+    expected = [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert [own.ids([t.encode()])[0] for t in texts] == expected
+    assert own.ids([t.encode() for t in texts]) == expected
+    assert len(own.keys) < 20_000
