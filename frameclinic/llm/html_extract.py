@@ -29,12 +29,15 @@ BOILER_WORDS = (
     "consent notice gdpr newsletter subscribe signup popup modal overlay alert disclaimer comment comments reply replies respond discussion "
     "disqus footer copyright legal colophon pagination pager login search form skip complementary contentinfo dialog"
 )
+#: Side parts in which an article element is a teaser or a reply, never the page's own article.
+CLOSED_TAGS = "nav footer aside menu dialog"
 HEADER_WORDS = "header masthead topbar"
 MAIN_TAGS = "article main"
 MAIN_WORDS = "article content post entry main story body text"
 
 _SILENT, _VOID, _INLINE = set(SILENT.split()), set(VOID.split()), set(INLINE.split())
 _BOILER_TAGS, _BOILER, _HEADER = set(BOILER_TAGS.split()), set(BOILER_WORDS.split()), set(HEADER_WORDS.split())
+_CLOSED = set(CLOSED_TAGS.split())
 _MAIN_TAGS, _MAIN = set(MAIN_TAGS.split()), set(MAIN_WORDS.split())
 
 _TOKEN = re.compile(
@@ -133,14 +136,16 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
     """The page's text blocks in order: text, words, linked words, in a main part, in a side part.
 
     A block ends at every tag that is not inline; comments, scripts, styles and other silent elements are left out;
-    an unclosed one reaches to the end. Text is unescaped and its white space made single spaces.
+    an unclosed one reaches to the end. Text is unescaped and its white space made single spaces. The page's first
+    article or main element is no side part for the names of what wraps it (a page-wide form, a layout with a side bar).
     """
     out: list[tuple[str, int, int, int, int]] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, side, main
+    stack: list[tuple[str, int, bool]] = []  # element, change of side, main
     text: list[str] = []
     linked: list[str] = []
     in_link = 0
     side = main = 0
+    met = False
 
     def close() -> None:
         if text:
@@ -196,6 +201,10 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
                     main -= stack[-1][2]
                     stack.pop()
                 s, k = _part(tag, m["rest"], main > 0)
+                if tag in _MAIN_TAGS and not s:
+                    if side and not met and not any(x[0] in _CLOSED for x in stack):
+                        s = -side
+                    met = met or side + s == 0
                 stack.append((tag, s, k))
                 side += s
                 main += k

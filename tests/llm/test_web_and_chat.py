@@ -129,3 +129,16 @@ def test_odd_urls(spark):
     want = [(1, *empty), (2, *empty), (3, *empty), (3, *empty), (None, "www.example.org", "/es/", "example.org/es/", "block")]
     assert got == sorted(want, key=str)
     assert U.judge_urls(pages.limit(0), RULES).count() == 0
+
+
+def test_an_article_in_a_wrapper_named_like_a_side_part():
+    prose = "This is the article that the page was written for and it says a lot. " * 3
+    side = "<aside><article><p>A teaser for another page of this site.</p></article></aside>"
+    reply = '<div class="comments"><article><p>A reply of somebody who read it all.</p></article></div>'
+    for head, tail in (
+        ('<div class="layout has-sidebar">', "</div>"),
+        ('<form id="aspnetForm">', "</form>"),
+        ('<div class="layout has-sidebar"><form>', "</form></div>"),
+    ):
+        page = f"<html><body>{side}{head}<nav>Home</nav><article><p>{prose}</p></article><p>Menu</p>{reply}{tail}{side}</body></html>"
+        assert H.main_text(H.blocks(page), H.train()) == prose.strip()
