@@ -1,9 +1,10 @@
 """Language identification with bit-sliced Bloom filters over n-grams.
 
-One table of 2**16 rows holds the filters of all languages: bit l of a row belongs to language l. An n-gram's three
-rows, and-ed, are the set of languages that may contain it. A text's n-grams are looked up together, counted per
-language, and the counts are corrected for the share of false positives of each language's filter; the largest
-corrected count decides.
+One table holds the filters of all languages: bit l of a row belongs to language l, and a row has as many 64-bit
+words as the languages need. It has 2**16 rows, or more if a language has more n-grams than fill these to an eighth
+per probe. An n-gram's three rows, and-ed, are the set of languages that may contain it. A text's n-grams are looked
+up together, counted per language, and the counts are corrected for the share of false positives of each language's
+filter; the largest corrected count decides.
 """
 
 from __future__ import annotations
@@ -13,14 +14,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from frameclinic.llm.common import binary_values, steps, tidy, utf8
-from frameclinic.sources.workspace import materialise
+from frameclinic.sources.workspace import small_table
 
 GRAM, ROW_BITS = 4, 16
+#: Counts of texts times languages that one step of a decision holds.
+COUNTS = 1 << 21
 _PROBES = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
 UNKNOWN = "und"
 
@@ -33,7 +36,7 @@ _FOLD[128:] = np.arange(128, 256)
 
 @dataclass
 class Filters:
-    """The learned table: ``rows`` of language bits, the languages in ascending order, their false-positive shares."""
+    """The learned table: ``rows`` of words of language bits, the languages in ascending order, their false-positive shares."""
 
     languages: list[str]
     rows: np.ndarray
@@ -43,13 +46,17 @@ class Filters:
     @staticmethod
     def of(grams: dict[str, np.ndarray], documents: dict[str, int]) -> Filters:
         languages = sorted(grams)
-        if len(languages) > 64:
-            raise ValueError("one table holds at most 64 languages")
-        rows = np.zeros(1 << ROW_BITS, np.uint64 if len(languages) > 8 else np.uint8)
-        for bit, language in enumerate(languages):
+        most = max(map(len, grams.values()), default=0)
+        row_bits = max(ROW_BITS, (8 * most - 1).bit_length())
+        word = 64 if len(languages) > 8 else 8
+        words = max(1, -(-len(languages) // word))
+        rows = np.zeros((1 << row_bits, words), np.uint64 if word == 64 else np.uint8, order="F")
+        full = np.zeros(len(languages))
+        for number, language in enumerate(languages):
+            column, bit = rows[:, number // word], rows.dtype.type(1 << number % word)
             for probe in _PROBES:
-                rows[_slot(grams[language], probe)] |= rows.dtype.type(1 << bit)
-        full = np.array([np.count_nonzero(rows & rows.dtype.type(1 << b)) for b in range(len(languages))])
+                column[_slot(grams[language], probe, row_bits)] |= bit
+            full[number] = np.count_nonzero(column & bit)
         top = max(range(len(languages)), key=lambda b: (documents[languages[b]], -b), default=0)
         return Filters(languages, rows, (full / len(rows)) ** len(_PROBES), top)
 
@@ -57,14 +64,16 @@ class Filters:
         """n-grams of each text, and of them those of each language, false positives taken out."""
         codes, owner_edges = ngrams(data, offsets)
         total = np.diff(owner_edges)
-        found = self.rows[_slot(codes, _PROBES[0])]
-        for probe in _PROBES[1:]:
-            found &= self.rows[_slot(codes, probe)]
         out = np.zeros((len(total), len(self.languages)))
         some = np.flatnonzero(total)
-        for bit in range(len(self.languages) if len(some) else 0):
-            hit = (found >> found.dtype.type(bit)) & found.dtype.type(1)
-            out[some, bit] = np.add.reduceat(hit, owner_edges[some], dtype=np.int64)
+        kind, word = self.rows.dtype.type, self.rows.dtype.itemsize * 8
+        slots = [_slot(codes, probe, len(self.rows).bit_length() - 1) for probe in _PROBES]
+        for number in range(len(self.languages) if len(some) else 0):
+            if number % word == 0:
+                column = self.rows[:, number // word]
+                found = column[slots[0]] & column[slots[1]] & column[slots[2]]
+            hit = (found >> kind(number % word)) & kind(1)
+            out[some, number] = np.add.reduceat(hit, owner_edges[some], dtype=np.int64)
         out = (out - total[:, None] * self.false_share) / (1 - np.minimum(self.false_share, 0.999))
         return total, np.maximum(out, 0)
 
@@ -72,6 +81,10 @@ class Filters:
         """Index of each text's language (-1: no letter) and the language's share of all languages' counts."""
         if not self.languages:
             return np.full(len(offsets) - 1, -1), np.zeros(len(offsets) - 1)
+        room = max(1, COUNTS // len(self.languages))
+        if len(offsets) - 1 > room:
+            parts = [self.decide(data, offsets[a : a + room + 1]) for a in range(0, len(offsets) - 1, room)]
+            return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
         _, counts = self.counts(data, offsets)
         every = counts.sum(axis=1)
         best = np.where(every > 0, counts.argmax(axis=1), self.most_frequent)
@@ -80,8 +93,8 @@ class Filters:
         return np.where(lettered, best, -1), np.where(lettered, score, 0.0)
 
 
-def _slot(codes: np.ndarray, probe: np.uint32) -> np.ndarray:
-    return ((codes ^ (codes >> np.uint32(15))) * probe) >> np.uint32(32 - ROW_BITS)
+def _slot(codes: np.ndarray, probe: np.uint32, row_bits: int = ROW_BITS) -> np.ndarray:
+    return ((codes ^ (codes >> np.uint32(15))) * probe) >> np.uint32(32 - row_bits)
 
 
 def ngrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -140,27 +153,30 @@ def learn(docs: DataFrame, per_language: int = 2_000, grams: int = 8_000) -> Fil
 
     Learns from about ``per_language`` texts of each language, chosen by the digest of their number: the bound of
     the sample. Each language gets its ``grams`` n-grams that stand in the most texts, so all filters are equally
-    full (ties by code). Rows with a null text or language are left out.
+    full (ties by code). Every distinct value of lang is a language, however many there are. Rows with a null text or
+    language are left out.
     """
     rows = docs.where("text is not null and lang is not null")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
-        return Filters([], np.zeros(1 << ROW_BITS, np.uint8), np.zeros(0), 0)
-    share = F.lit(0.0)
-    for language, n in sizes.items():
-        share = F.when(F.col("lang") == language, min(1.0, per_language / n)).otherwise(share)
-    drawn = rows.where(F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1_000_000)) < share * 1_000_000)
+        return Filters.of({}, {})
+    schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("share", T.DoubleType())])
+    shares = small_table(docs.sparkSession, [(language, min(1.0, per_language / n)) for language, n in sizes.items()], schema)
+    rows = rows.join(F.broadcast(shares), "lang")
+    drawn = rows.where(F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1_000_000)) < F.col("share") * 1_000_000)
     counts = (
         drawn.select(utf8("text").alias("text"), "lang")
         .mapInArrow(tidy(_document_grams), "lang string, gram long, n long")
         .groupBy("lang", "gram")
         .agg(F.sum("n").alias("n"))
     )
-    counts = materialise(counts, "language-grams")
-    best = {}
-    for language in sizes:  # a bounded top list of each
-        top = counts.where(F.col("lang") == language).orderBy(F.desc("n"), "gram").limit(grams).select("gram").collect()
-        best[language] = np.array([r["gram"] for r in top], np.uint32)
+    order = (F.desc("n"), "gram")
+    for share in (F.pmod("gram", F.lit(16)), F.lit(0)):  # in shares of a language first
+        place = F.row_number().over(Window.partitionBy("lang", share).orderBy(*order))
+        counts = counts.withColumn("place", place).where(F.col("place") <= grams)
+    top = counts.select("lang", "gram").toPandas()
+    best = {language: np.empty(0, np.uint32) for language in sizes}
+    best.update((language, own.to_numpy(np.uint32)) for language, own in top.groupby("lang")["gram"])
     return Filters.of(best, sizes)
 
 

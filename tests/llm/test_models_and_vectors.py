@@ -57,6 +57,33 @@ def test_filters_return_every_language_of_a_gram():
     assert (f.false_share < 0.01).all()
 
 
+def test_any_number_of_languages(spark):
+    """150 spellings of three languages, and a table that grows with the n-grams."""
+    rows = [(i, text, f"{lang}-{i % 50:02d}") for i, text, lang in labelled(6, 900)]
+    filters = L.learn(documents(spark, rows))
+    assert len(filters.languages) == 150 and filters.rows.shape == (1 << 16, 3)
+    got = L.predict(documents(spark, rows), filters, ("lang",)).collect()
+    assert np.mean([r.lang[:2] == r.lang_pred[:2] for r in got]) > 0.98
+    grams = {f"{k:03d}": np.arange(k * 700, k * 700 + 700, dtype=np.uint32) for k in range(130)}
+    grams["all"] = np.arange(91_000, dtype=np.uint32)
+    f = L.Filters.of(grams, dict.fromkeys(grams, 1))
+    assert len(f.rows) == 1 << 20 and (f.false_share < 0.1).all()
+    for number, name in enumerate(f.languages):
+        found = [f.rows[L._slot(grams[name], probe, 20), number // 64] for probe in L._PROBES]
+        assert ((found[0] & found[1] & found[2]) >> np.uint64(number % 64) & np.uint64(1)).all()
+
+
+def test_decisions_do_not_depend_on_the_step(monkeypatch):
+    grams = {"en": np.frombuffer(b"the his ", np.uint32), "de": np.frombuffer(b"der sich", np.uint32)}
+    f = L.Filters.of(grams, {"en": 1, "de": 2})
+    raw = [b"the his the", b"", b"der", b"sich sich", b"12", b"zzzzzz"]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+    whole = f.decide(data, offsets)
+    monkeypatch.setattr(L, "COUNTS", 4)
+    for a, b in zip(whole, f.decide(data, offsets)):
+        assert (a == b).all()
+
+
 def test_ngrams_stay_inside_texts():
     texts = ["abc", "", "ab  c!d", "éa", "x", "wxyz"]
     raw = [t.encode() for t in texts]
