@@ -294,7 +294,7 @@ def _value_counts(df: DataFrame, keys: list[str], categorical: Sequence[str]) ->
         *[F.struct(F.lit(c).alias("column"), ref(c).cast("string").alias("value")) for c in categorical]
     )
     return (
-        df.select(*keys, F.inline(cells))
+        df.select(*keys, F.inline(cells.cast("array<struct<column:string,value:string>>")))
         .where(F.col("value").isNotNull())
         .groupBy(*keys, "column", "value")
         .agg(F.count("*").alias("n"))
@@ -319,11 +319,14 @@ def _distinct_values(source: DataFrame, keys: list[str], columns: Sequence[str],
 def value_shares(df: DataFrame, categorical: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """Relative frequency of each value among the non-null values of its column."""
     keys = list(keys)
-    present = df.groupBy(*keys).agg(*[F.count(ref(c)).alias(f"n{i}") for i, c in enumerate(categorical)])
+    present = df.groupBy(*keys).agg(
+        F.count("*").alias("__rows"), *[F.count(ref(c)).alias(f"n{i}") for i, c in enumerate(categorical)]
+    )
     cells = F.array(
         *[F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("total")) for i, c in enumerate(categorical)]
     )
     # Joining by column would put a whole vocabulary in one task.
+    cells = cells.cast("array<struct<column:string,total:bigint>>")
     totals = broadcast_if_small(present.select(*keys, F.inline(cells)))
     counts = _value_counts(df, keys, categorical)
     return join_same(counts, totals, [*keys, "column"]).select(

@@ -63,4 +63,5 @@ def one_hot_long(df: DataFrame, columns: Sequence[str], row_key: Sequence[str])
             for c in columns
         ]
     )
+    cells = cells.cast("array<struct<feature:string,value:double>>")
     return df.select(*row_key, F.inline(cells)).where(F.col("feature").isNotNull())
