@@ -22,41 +22,51 @@ class RuleTrie:
     """
 
     def __init__(self, rules: Sequence[tuple[str, str, str]]):
-        self.root: dict = {"labels": {}, "path": None}
+        # Nodes are numbers and the tables are flat: the trie is broadcast built, and reaches any depth.
+        self.nodes = 1
+        self.children: dict[tuple[int, str], int] = {}  # by host label, or by path segment
+        self.paths: dict[int, int] = {}  # where the paths of a host begin
+        self.ends: dict[tuple[int, str], tuple[str, str]] = {}  # what the next segment may start with
+        self.longest: dict[int, int] = {}
         for host, path, verdict in rules:
-            node = self.root
+            node = 0
             for label in reversed(host.split(".")) if host else ():
-                node = node["labels"].setdefault(label, {"labels": {}, "path": None})
+                node = self._child(self.children, (node, label))
             *whole, last = path.split("/")
-            node["path"] = node["path"] or {"segments": {}, "ends": {}}
-            step = node["path"]
+            step = self._child(self.paths, node)
             for segment in whole:
-                step = step["segments"].setdefault(segment, {"segments": {}, "ends": {}})
-            step["ends"][last] = (host + path, verdict)
+                step = self._child(self.children, (step, segment))
+            self.ends[step, last] = (host + path, verdict)
+            self.longest[step] = max(len(last), self.longest.get(step, 0))
 
-    @staticmethod
-    def _by_path(step: dict, path: str) -> tuple[str, str] | None:
+    def _child(self, table: dict, key) -> int:
+        if key not in table:
+            table[key] = self.nodes
+            self.nodes += 1
+        return table[key]
+
+    def _by_path(self, step: int, path: str) -> tuple[str, str] | None:
         best = None
         for segment in path.split("/"):
-            for size in range(len(segment), -1, -1) if step["ends"] else ():
-                if segment[:size] in step["ends"]:
-                    best = step["ends"][segment[:size]]
+            for size in range(min(len(segment), self.longest.get(step, -1)), -1, -1):
+                if (step, segment[:size]) in self.ends:
+                    best = self.ends[step, segment[:size]]
                     break
-            step = step["segments"].get(segment)
+            step = self.children.get((step, segment))
             if step is None:
                 break
         return best
 
     def match(self, host: str, path: str) -> tuple[str, str] | None:
         """(rule, verdict) of the longest rule, None if none fits."""
-        fits, node = None, self.root
+        fits, node = None, 0
         for label in (None, *reversed(host.split("."))) if host else (None,):
             if label is not None:
-                node = node["labels"].get(label)
+                node = self.children.get((node, label))
                 if node is None:
                     break
-            if node["path"] is not None:
-                fits = self._by_path(node["path"], path) or fits
+            if node in self.paths:
+                fits = self._by_path(self.paths[node], path) or fits
         return fits
 
 
@@ -85,10 +95,10 @@ def judge_urls(
     """
     if len(rules) > MOST_RULES:
         raise ValueError(f"more than {MOST_RULES} rules")
-    shared = pages.sparkSession.sparkContext.broadcast(list(rules))
+    shared = pages.sparkSession.sparkContext.broadcast(RuleTrie(rules))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = RuleTrie(shared.value)
+        trie: RuleTrie = shared.value
         for batch in batches:
             parts = [split_url(u) for u in batch.column("__url").to_pylist()]
             found = [trie.match(*p) or (None, default) for p in parts]

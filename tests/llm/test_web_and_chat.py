@@ -105,8 +105,8 @@ def test_chat_tables(spark):
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
 
-def brute_match(host, path):
-    fits = [r for r in RULES if (host == r[0] or host.endswith("." + r[0])) and path.startswith(r[1])]
+def brute_match(host, path, rules=RULES):
+    fits = [r for r in rules if (host == r[0] or host.endswith("." + r[0])) and path.startswith(r[1])]
     best = max(fits, key=lambda r: (r[0].count("."), len(r[1])), default=None)
     return (best[0] + best[1], best[2]) if best else (None, "allow")
 
@@ -121,6 +121,26 @@ def test_longest_rule(host, path, rest):
     assert (U.RuleTrie(RULES).match(got_host, got_path) or (None, "allow")) == brute_match(got_host, got_path)
 
 
+def test_random_rules():
+    rng = random.Random(21)
+    host = lambda: ".".join(rng.choice("ab") for _ in range(rng.randrange(1, 4)))
+    path = lambda: "".join(rng.choice(["/", "x", "xy", "y/"]) for _ in range(rng.randrange(5)))
+    for _ in range(60):
+        rules = list({(h, p): (h, p, rng.choice(["allow", "block"])) for h, p in ((host(), "/" + path()) for _ in range(12))}.values())
+        trie = U.RuleTrie([(*rules[0][:2], "other"), *rules])  # of equal rules the last one counts
+        for _ in range(60):
+            h, p = host(), "/" + path()
+            assert (trie.match(h, p) or (None, "allow")) == brute_match(h, p, rules)
+
+
+def test_many_and_deep_rules(spark):
+    deep = "/" + "s/" * 5_000
+    rules = [(f"h{i}.example", "/", "block") for i in range(60_000)] + [("x." * 3_000 + "net", deep, "block")]
+    urls = ["http://h59999.example/a", "http://h60000.example/a", f"http://{'x.' * 3_000}net{deep}end", "http://net/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(4)
+    assert {r.page_id: r.verdict for r in U.judge_urls(pages, rules).collect()} == {0: "block", 1: "allow", 2: "block", 3: "allow"}
+
+
 def test_odd_urls(spark):
     rows = [(1, None, "h"), (2, "no scheme", "h"), (None, "https://www.example.org/es/?q", "h"), (3, "x://", "h"), (3, "x://", "h")]
     pages = spark.createDataFrame(rows, "page_id long, url string, host string")
