@@ -25,8 +25,12 @@ from frameclinic.sources.workspace import materialise
 
 #: Pivots, nearest pivots that describe a vector, pivots that candidates share.
 PIVOTS, NEAREST, SHARED = 64, 7, 3
-#: Vectors of one block, and of it in one matrix product.
-BLOCK, PRODUCT = 8192, 1024
+#: Pivots of the sample lie at less than this cosine: the order of pivots inside one cluster would be chance.
+APART = 0.7
+#: Vectors of one block, and of it in one matrix product; bytes of a block's vectors.
+BLOCK, PRODUCT, BLOCK_BYTES = 8192, 1024, 16 << 20
+#: Bytes of the sample that pivots are chosen from, as doubles.
+SAMPLE_BYTES = 32 << 20
 
 
 def _orders(pivots: np.ndarray, vectors: np.ndarray) -> np.ndarray:
@@ -165,9 +169,11 @@ def _and_end(batches):
 def choose_pivots(vectors: DataFrame, sample: int = 20_000) -> dict[int, np.ndarray]:
     """For each dimension PIVOTS far-apart unit vectors out of about ``sample`` rows, chosen by the digest of their number.
 
-    Takes the vector farthest from those taken so far, again and again; too few vectors are filled up at random.
+    Of very long vectors only as many are drawn as SAMPLE_BYTES hold.
+    Takes the vector farthest from those taken so far, again and again, while one lies APART; random directions fill up.
     """
-    total = vectors.count()
+    total, widest = vectors.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    sample = min(sample, SAMPLE_BYTES // (8 * max(widest or 0, 1)))
     rows = vectors.where(F.pmod(F.xxhash64(F.lit(8), "vec_id"), F.lit(1_000_000)) < 1_000_000 * min(1.0, sample / max(total, 1)))
     sizes = {r["n"] for r in vectors.select(F.size("embedding").alias("n")).where("embedding is not null").distinct().collect()}
     drawn: dict[int, list] = {n: [] for n in sizes if n > 0}
@@ -180,14 +186,15 @@ def choose_pivots(vectors: DataFrame, sample: int = 20_000) -> dict[int, np.ndar
     out = {}
     for n, found in drawn.items():
         rng = np.random.default_rng(n)
-        fill = rng.normal(size=(max(0, PIVOTS - len(found)), n))
-        pool = np.concatenate([np.array(found).reshape(-1, n), fill / np.linalg.norm(fill, axis=1, keepdims=True)])
-        taken, near = [0], pool @ pool[0]
-        while len(taken) < PIVOTS:
+        fill = rng.normal(size=(PIVOTS, n))
+        pool = np.array(found).reshape(-1, n)
+        taken, near = [], np.full(len(pool), -1.0)
+        while len(taken) < PIVOTS and near.min(initial=np.inf) < APART:
             taken.append(int(near.argmin()))
             near = np.maximum(near, pool @ pool[taken[-1]])
             near[taken] = np.inf
-        out[n] = pool[taken]
+        fill /= np.linalg.norm(fill, axis=1, keepdims=True)
+        out[n] = np.concatenate([pool[taken], fill[: PIVOTS - len(taken)]])
     return out
 
 
@@ -213,13 +220,15 @@ def similar_vectors(vectors: DataFrame, least: float = 0.9) -> DataFrame:
         "pivot-classes",
     )
     listed = materialise(classes.select("id", "raw", "near").mapInArrow(tidy(_lists(kind)), "key long, id long"), "pivot-lists")
+    widest = classes.agg(F.max(F.length("raw"))).first()[0] or 1
+    block = max(1, min(BLOCK, BLOCK_BYTES // widest))
     sizes = listed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    sizes = sizes.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    sizes = sizes.select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     met = listed.join(sizes, "key").withColumn("block", F.pmod(F.hash("id"), F.col("blocks")))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "id")
     found = (
-        met.join(broadcast_checked(classes.select("id", "copies", "raw", "near"), 700), "id")
+        met.join(broadcast_checked(classes.select("id", "copies", "raw", "near"), 200 + widest), "id")
         .repartition("key", "p", "q")
         .sortWithinPartitions("key", "p", "q")
         .mapInArrow(tidy(_verified(least, kind)), "id long, links long, root long")

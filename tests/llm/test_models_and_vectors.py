@@ -180,3 +180,17 @@ def V_row(w):
     from pyspark.sql import Row
 
     return Row(vec_id=w[0], n_links=w[1], component_id=w[2], kept=w[3])
+
+
+def test_blocks_and_sample_bounded_by_bytes(spark, monkeypatch):
+    """Small byte bounds change neither the links nor the components."""
+    rng = np.random.default_rng(31)
+    centre = rng.normal(size=(4, 24))
+    rows = [(i, (centre[i % 4] + 0.05 * rng.normal(size=24)).tolist()) for i in range(240)] + [(900, None), (901, [0.0] * 24)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = sorted(map(tuple, V.similar_vectors(table).collect()))
+    monkeypatch.setattr(V, "BLOCK_BYTES", 24 * 8 * 17)
+    assert sorted(map(tuple, V.similar_vectors(table).collect())) == want
+    assert {r[1] for r in want if r[0] < 900} == {59} and {r[2] for r in want} == {0, 1, 2, 3, 900, 901}
+    monkeypatch.setattr(V, "SAMPLE_BYTES", 24 * 8 * 30)
+    assert V.choose_pivots(table)[24].shape == (V.PIVOTS, 24)
