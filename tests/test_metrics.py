@@ -3,6 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from frameclinic.operators import metrics
 from frameclinic.operators.metrics import (
     roc_auc,
     roc_points,
@@ -129,3 +130,28 @@ def test_missing_scores_are_below_every_threshold(spark):
     assert len(steps) == 3 * 98 and steps[None, 1]["recall1"] == 0.5
     odd = spark.createDataFrame([(float("inf"),), (float("-inf"),), (1e300,), (-5.0,), (None,)], "s double")
     assert [r[0] for r in odd.select(thresholds_below(F.col("s"))).collect()] == [98, 0, 98, 0, 0]
+
+
+def test_ranges_are_many_but_tasks_are_few(spark, monkeypatch):
+    """Five scores to a range: 4,000 of them are not cut into hundreds of tasks, and all come out right."""
+    written, longest = {}, {}
+
+    def recorded(df, label):
+        written[label] = df.rdd.getNumPartitions()
+        out = materialise(df, label)
+        if label == "ranges":
+            longest[label] = out.groupBy("piece").count().agg({"count": "max"}).first()[0]
+        return out
+
+    materialise = metrics.materialise
+    monkeypatch.setattr(metrics, "materialise", recorded)
+    rng = np.random.default_rng(4)
+    frame = pd.DataFrame({"g": np.arange(4000) % 2, "score": rng.permutation(4000) / 4000, "label": rng.integers(0, 2, 4000)})
+    df = spark.createDataFrame(frame)
+    for r in roc_auc(df, "score", "label", ["g"], rows_per_task=5).collect():
+        assert r["auc"] == pytest.approx(brute_auc(frame[frame.g == r["g"]]), abs=1e-12)
+    assert written["ranges"] <= spark.sparkContext.defaultParallelism and longest["ranges"] == 5
+    order = ["g", "threshold", "fpr", "tpr"]
+    for corners in (False, True):
+        few, one = (roc_points(df, "score", "label", ["g"], n, corners=corners).select(order).toPandas() for n in (5, 10_000))
+        assert few.sort_values(order).values.tolist() == one.sort_values(order).values.tolist()
