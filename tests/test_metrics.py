@@ -155,3 +155,20 @@ def test_ranges_are_many_but_tasks_are_few(spark, monkeypatch):
     for corners in (False, True):
         few, one = (roc_points(df, "score", "label", ["g"], n, corners=corners).select(order).toPandas() for n in (5, 10_000))
         assert few.sort_values(order).values.tolist() == one.sort_values(order).values.tolist()
+
+
+def test_rows_that_stand_for_several(spark, monkeypatch):
+    """Counted rows give the area of the rows they stand for; many small key groups are not cut into ranges."""
+
+    def never(*_):
+        raise AssertionError("no group is large")
+
+    monkeypatch.setattr(metrics, "in_ranges", never)
+    frame = scores()
+    frame["n"] = np.random.default_rng(5).integers(1, 4, len(frame))
+    every = frame.loc[frame.index.repeat(frame.n)]
+    found = roc_auc(spark.createDataFrame(frame), "score", "label", ["g"], rows_per_task=int(frame.groupby("g").score.nunique().max()), alike="n")
+    for r in found.collect():
+        own = every[every.g == r["g"]]
+        assert r["auc"] == pytest.approx(brute_auc(own), abs=1e-12)
+        assert (r["n_pos"], r["n_neg"]) == ((own.label == 1).sum(), (own.label == 0).sum())
