@@ -100,3 +100,18 @@ def test_rows_without_a_forest_have_no_score(spark):
     )
     got = {r.model: (r.n, r.scored) for r in got.collect()}
     assert got[0][0] == 20 and got[0][1] > 0 and got[1] == (20, 0)
+
+
+def test_all_values_of_features_that_have_few(spark):
+    """Exactly 128 values are few, whatever an estimate says, and however rare they are; more are cut at quantiles."""
+    rng = np.random.default_rng(9)
+    few = rng.normal(size=(20, 128))
+    wide = rng.normal(size=6000)
+    data = [(i % 2, [float(c[i // 2 if i < 256 else 0]) for c in few] + ([float(wide[i])] if i % 2 else []), 0, i) for i in range(6000)]
+    edges = binned.bin_edges(spark.createDataFrame(data, SCHEMA).repartition(5))
+    assert [len(edges[m]) for m in (0, 1)] == [20, 21]
+    for m in (0, 1):
+        for found, values in zip(edges[m], few):
+            assert found.tolist() == np.unique(values)[:-1].tolist()
+    ranks = np.searchsorted(np.sort(wide[1::2]), edges[1][20], "right")
+    assert len(ranks) == 255 and np.abs(ranks - np.arange(1, 256) * 3000 / 256).max() <= 3000 / 2560 + 1

@@ -1,3 +1,5 @@
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,6 +9,7 @@ from frameclinic.operators.cleaning import fit_cleaning
 from frameclinic.operators.encoding import dummies, one_hot_long
 from frameclinic.operators.labels import label_table, require_positive_class
 from frameclinic.operators.models import get_estimator
+from frameclinic.plans import evaluate
 from frameclinic.plans.evaluate import run_grid
 from frameclinic.plans.grid import build_grid, resolve_variants
 from frameclinic.sources.tables import load_dataset, read_delimited
@@ -38,6 +41,18 @@ def test_grid_study_orders_recipes(spark):
     assert auc[(ORIGINAL, "raw", "RF")] > 0.9
 
 
+def test_models_of_a_grid_share_one_fit(spark, monkeypatch):
+    """Naive Bayes and forests of a grid use the same sides, fitted once; naive Bayes finds what it finds alone."""
+    fits, fit = [], evaluate.fit_complements
+    monkeypatch.setattr(evaluate, "fit_complements", lambda *args, **named: fits.append(1) or fit(*args, **named))
+    spec = DatasetSpec("toy", "y", "id", continuous=("x", "z"))
+    grid = GridProfile("toy", ("raw",), ("NB", "RF"), (20,), (1,), (101,), 2, {"RF": {"trees": 2, "depth": 3}})
+    both = run_grid(labelled(spark), spec, PROFILE_A, grid)
+    assert len(fits) == 1
+    alone = run_grid(labelled(spark), spec, PROFILE_A, replace(grid, models=("NB",)))
+    assert sorted(map(tuple, both.where("model = 'NB'").collect())) == sorted(map(tuple, alone.collect()))
+
+
 @pytest.mark.parametrize("grid,tasks", [(GRID_FULL, 484), (GRID_FAST, 93), (GRID_10_50, 304)])
 def test_grid_sizes(spark, grid, tasks):
     assert build_grid(spark.createDataFrame([("d",)], "dataset string"), grid).count() == tasks
